@@ -50,6 +50,11 @@ def series_by_year(model: AttendanceModel) -> DataFrame:
     )
 
 
-def series_wide(model: AttendanceModel, years: list[int]) -> DataFrame:
-    """All recurring series as a matrix with one column per given year."""
-    return series_matrix(recurring_series(model.competitions, model.attendance), years)
+def series_wide(model: AttendanceModel) -> DataFrame:
+    """All recurring series as a matrix with one column per year in which any series ran.
+
+    Column names have to be known when a DataFrame is built, so the short list of years is read
+    first, from the events alone.
+    """
+    series = recurring_series(model.competitions, model.attendance)
+    return series_matrix(series, series.years.first()["years"])

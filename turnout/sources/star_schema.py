@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 
 from turnout.sources.tables import Sources
 
+# The columns in use, declared so that no footer has to be read to plan a query.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "part": "p_partkey bigint, p_type string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
 
 def _competition_id(supplier: Column, month_key: Column) -> Column:
     return F.concat(supplier.cast("string"), F.lit("-"), month_key.cast("string"))
@@ -105,8 +116,7 @@ def _customer_countries(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _sales(tables: dict[str, DataFrame]) -> DataFrame:
-    orders = tables["orders"].select("o_orderkey", "o_custkey")
-    return _line_items(tables).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return _line_items(tables).join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def _results(tables: dict[str, DataFrame]) -> DataFrame:
@@ -148,6 +158,8 @@ def _persons(tables: dict[str, DataFrame]) -> DataFrame:
 
 def star_schema_sources(spark: SparkSession, directory: str) -> Sources:
     """Sources over ``<directory>/{lineitem,orders,...}.parquet``."""
-    names = ("lineitem", "orders", "part", "supplier", "customer", "nation", "region")
-    tables = {name: spark.read.parquet(f"{directory}/{name}.parquet") for name in names}
+    tables = {
+        name: spark.read.schema(schema).parquet(f"{directory}/{name}.parquet")
+        for name, schema in SCHEMAS.items()
+    }
     return Sources(_competitions(tables), _results(tables), _persons(tables))
