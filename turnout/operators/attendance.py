@@ -51,29 +51,21 @@ def current_persons(persons: DataFrame) -> DataFrame:
     )
 
 
-def first_dates(results: DataFrame, competitions: DataFrame) -> DataFrame:
-    """Date of each person's first event, in any country, cancelled events included.
+def participations(results: DataFrame) -> DataFrame:
+    """Distinct (event, person) pairs of all results.
 
-    A minimum ignores duplicates, so results are not deduplicated first: each task pre-aggregates
-    its rows per person, and that is all that is shuffled, however many rows one person has.
+    Grouped on both keys and pre-aggregated in every task, so neither a crowded event nor a busy
+    person gathers in one task. Everything else starts from this table, and Spark shuffles it once.
     """
-    return (
-        results.select("competition_id", "person_id")
-        .join(competitions.select("competition_id", "date"), "competition_id")
-        .groupBy("person_id")
-        .agg(F.min("date").alias("first_comp_date"))
-    )
-
+    return results.select("competition_id", "person_id").distinct()
 
-def participations(results: DataFrame, competitions: DataFrame) -> DataFrame:
-    """Distinct (event, person) pairs of the given events.
 
-    The semi join runs before the deduplication so that only the events asked for are shuffled.
-    """
+def first_dates(pairs: DataFrame, competitions: DataFrame) -> DataFrame:
+    """Date of each person's first event, in any country, cancelled events included."""
     return (
-        results.select("competition_id", "person_id")
-        .join(competitions.select("competition_id"), "competition_id", "left_semi")
-        .distinct()
+        pairs.join(competitions.select("competition_id", "date"), "competition_id")
+        .groupBy("person_id")
+        .agg(F.min("date").alias("first_comp_date"))
     )
 
 
@@ -88,13 +80,12 @@ def build_attendance(sources: Sources, country: str, lenient_dates: bool = False
     """Attendance of one country, with debuts judged over the whole history of all countries."""
     every_event = with_dates(sources.competitions, lenient_dates)
     events = held_in(every_event, country).withColumn("quarter", quarter_of(F.col("month")))
-    firsts = first_dates(sources.results, every_event)
-    pairs = participations(sources.results, events).join(
-        events.select("competition_id", *EVENT_COLUMNS), "competition_id"
-    )
+    pairs = participations(sources.results)
+    firsts = first_dates(pairs, every_event)
+    at_home = pairs.join(events.select("competition_id", *EVENT_COLUMNS), "competition_id")
     return AttendanceModel(
         competitions=events,
-        attendance=mark_debuts(pairs, firsts),
+        attendance=mark_debuts(at_home, firsts),
         persons=current_persons(sources.persons),
         first_dates=firsts,
     )

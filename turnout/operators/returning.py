@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnout.operators.attendance import participations
+
 
 def returning_newcomers(
     competitions: DataFrame, results: DataFrame, year: int, country: str
@@ -21,7 +23,7 @@ def returning_newcomers(
         datetime.date(year, 1, 1), datetime.date(year, 12, 31)
     )
     candidates = dated.where((F.col("country_id") == country) & ends_in_year)
-    pairs = results.select("competition_id", "person_id").distinct()
+    pairs = participations(results)
     careers = (
         pairs.join(
             dated.select(F.col("id").alias("competition_id"), "start_date"), "competition_id", "left"

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnout.operators.attendance import AttendanceModel, build_attendance
 from turnout.operators.cohorts import debuts, followups, return_counts
-from turnout.operators.periods import last_years
 from turnout.operators.returning import returning_newcomers
 from turnout.plans import activity, attraction, newcomers, recurring, summary, travel, trends
+from turnout.plans.workspace import Workspace
+from turnout.session import configure
 from turnout.sources.star_schema import star_schema_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,24 @@ RETURN_YEAR = 1998
 SMALL_FIELD = 10
 
 
-def load_model(spark: SparkSession, directory: str, years: int | None = None) -> AttendanceModel:
-    model = build_attendance(star_schema_sources(spark, directory), COUNTRY)
-    return last_years(model, years)
+_open: dict[tuple[str, str], Workspace] = {}
+
+
+def workspace(spark: SparkSession, directory: str) -> Workspace:
+    """The workspace of a directory. One is open at a time; the previous one is released."""
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _open:
+        close_workspace(spark)
+        sources = star_schema_sources(configure(spark), directory)
+        _open[key] = Workspace(sources, COUNTRY, MAP_YEAR)
+    return _open[key]
+
+
+def close_workspace(spark: SparkSession) -> None:
+    for application, directory in list(_open):
+        kept = _open.pop((application, directory))
+        if application == spark.sparkContext.applicationId:
+            kept.release()
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -42,45 +57,20 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _report(plan: Callable[..., DataFrame], years: int | None = None, **options) -> Query:
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        return rounded(plan(load_model(spark, directory, years), **options))
+        return rounded(plan(workspace(spark, directory).model_of_last(years), **options))
 
     return query
 
 
-def _source_table(name: str) -> Query:
-    return lambda spark, directory: getattr(star_schema_sources(spark, directory), name)
-
+def _shared(build: Callable[[Workspace], DataFrame]) -> Query:
+    return lambda spark, directory: rounded(build(workspace(spark, directory)))
 
-def _model_table(build: Callable[[AttendanceModel], DataFrame], years: int | None = None) -> Query:
-    return lambda spark, directory: rounded(build(load_model(spark, directory, years)))
 
-
-def _returning(spark: SparkSession, directory: str) -> DataFrame:
-    sources = star_schema_sources(spark, directory)
+def _returning(shared: Workspace) -> DataFrame:
+    sources = shared.sources
     return returning_newcomers(sources.competitions, sources.results, RETURN_YEAR, COUNTRY)
 
 
-def _map(spark: SparkSession, directory: str) -> travel.YearMap:
-    return travel.year_map(star_schema_sources(spark, directory), MAP_YEAR, COUNTRY)
-
-
-def _density_all(spark: SparkSession, directory: str) -> DataFrame:
-    return rounded(travel.density_all(_map(spark, directory)))
-
-
-def _regions(spark: SparkSession, directory: str) -> DataFrame:
-    return travel.regions(_map(spark, directory))
-
-
-def _travel(build: Callable[[travel.YearMap, DataFrame, DataFrame], DataFrame]) -> Query:
-    def query(spark: SparkSession, directory: str) -> DataFrame:
-        map_ = _map(spark, directory)
-        region_of = travel.regions(map_)
-        return rounded(build(map_, region_of, travel.spread(map_, region_of)))
-
-    return query
-
-
 REPORTS: dict[str, Query] = {
     "q01_comps_per_quarter": _report(trends.competitions_per_quarter),
     "q02_comps_per_month": _report(trends.competitions_per_month),
@@ -103,13 +93,13 @@ REPORTS: dict[str, Query] = {
     "q20_city_bubbles": _report(attraction.city_bubbles),
     "q21_by_calendar_month": _report(attraction.by_calendar_month),
     "q22_by_event": _report(attraction.by_event_offered),
-    "q23_returning_newcomers": _returning,
-    "q24_density_all": _density_all,
-    "q25_regions": _regions,
-    "q26_person_spread": _travel(lambda map_, regions, spread: spread),
-    "q27_globetrotters": _travel(lambda map_, regions, spread: travel.globetrotters(map_, spread)),
-    "q28_density_locals": _travel(lambda map_, regions, spread: travel.density_locals(map_, spread)),
-    "q29_region_summary": _travel(travel.locals_by_region),
+    "q23_returning_newcomers": _shared(_returning),
+    "q24_density_all": _shared(lambda w: travel.density_all(w.map)),
+    "q25_regions": _shared(lambda w: w.regions),
+    "q26_person_spread": _shared(lambda w: w.spread),
+    "q27_globetrotters": _shared(lambda w: travel.globetrotters(w.map, w.spread)),
+    "q28_density_locals": _shared(lambda w: travel.density_locals(w.map, w.spread)),
+    "q29_region_summary": _shared(lambda w: travel.locals_by_region(w.map, w.regions, w.spread)),
     "q30_period_summary": _report(summary.period_summary),
 }
 
@@ -153,18 +143,18 @@ VARIANTS: dict[str, Query] = {
 }
 
 TABLES: dict[str, Query] = {
-    "table_competitions": _source_table("competitions"),
-    "table_results": _source_table("results"),
-    "table_persons": _source_table("persons"),
-    "table_current_persons": _model_table(lambda m: m.persons),
-    "table_first_dates": _model_table(lambda m: m.first_dates),
-    "table_attendance": _model_table(lambda m: m.attendance),
-    "table_attendance_last2": _model_table(lambda m: m.attendance, 2),
-    "table_debuts": _model_table(lambda m: debuts(m.attendance)),
-    "table_followups": _model_table(lambda m: followups(m.attendance)),
-    "table_return_counts": _model_table(lambda m: return_counts(m.attendance)),
-    "table_competition_stats": _model_table(attraction.competition_stats),
-    "table_series_by_year": _model_table(recurring.series_by_year),
+    "table_competitions": _shared(lambda w: w.sources.competitions),
+    "table_results": _shared(lambda w: w.sources.results),
+    "table_persons": _shared(lambda w: w.sources.persons),
+    "table_current_persons": _shared(lambda w: w.model.persons),
+    "table_first_dates": _shared(lambda w: w.model.first_dates),
+    "table_attendance": _report(lambda m: m.attendance),
+    "table_attendance_last2": _report(lambda m: m.attendance, 2),
+    "table_debuts": _report(lambda m: debuts(m.attendance)),
+    "table_followups": _report(lambda m: followups(m.attendance)),
+    "table_return_counts": _report(lambda m: return_counts(m.attendance)),
+    "table_competition_stats": _report(attraction.competition_stats),
+    "table_series_by_year": _report(recurring.series_by_year),
     "table_series_matrix": _report(recurring.series_wide),
 }
 

@@ -6,7 +6,7 @@ result. Every rule is an expression on the given tables, so the work grows with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnout.sources.tables import Sources
@@ -23,29 +23,46 @@ SCHEMAS = {
 }
 
 
-def _competition_id(supplier: Column, month_key: Column) -> Column:
-    return F.concat(supplier.cast("string"), F.lit("-"), month_key.cast("string"))
-
-
-def _person_id(customer: Column, part: Column) -> Column:
-    return F.concat(
-        F.lit("P"), customer.cast("string"), F.lit("-"), (part % 8).cast("string")
-    )
+# The text keys of an event and of a person.
+COMPETITION_ID = "concat(l_suppkey, '-', month_key)"
+PERSON_ID = "concat('P', o_custkey, '-', l_partkey % 8)"
+
+# How the attributes of an event follow from its supplier, month and nation.
+COMPETITION_COLUMNS = (
+    f"{COMPETITION_ID} as id",
+    """case when l_suppkey % 5 = 0 then concat_ws(' ', s_name, 'Edition', month_key)
+            when l_suppkey % 5 in (1, 2) then concat_ws(' ', s_name, year(start_date))
+            else concat_ws(' ', s_name, month(start_date), year(start_date)) end as name""",
+    "concat_ws(' ', n_name, l_suppkey % 10) as cell_name",
+    "n_name as city_name",
+    "r_name as country_id",
+    "year(start_date) as year",
+    "month(start_date) as month",
+    "day(start_date) as day",
+    "start_date",
+    "end_date",
+    "if((l_suppkey * 31 + month_key) % 17 = 0, 1, 0) as cancelled",
+    """case when l_suppkey % 11 <> 0 then cast(
+         49000000 + s_nationkey % 5 * 1200000 + l_suppkey % 3 * 50000 as bigint)
+       end as latitude_microdegrees""",
+    """case when l_suppkey % 11 <> 0 then cast(
+         14000000 + case s_nationkey div 5 when 0 then 0 when 1 then 900000
+                    else s_nationkey div 5 * 2000000 end + l_suppkey % 4 * 150000 as bigint)
+       end as longitude_microdegrees""",
+    "case when l_suppkey % 13 <> 0 then specs end as event_specs",
+)
 
 
 def _line_items(tables: dict[str, DataFrame]) -> DataFrame:
-    day = F.col("l_shipdate").cast("date")
-    return tables["lineitem"].select(
+    return tables["lineitem"].selectExpr(
         "l_orderkey", "l_partkey", "l_suppkey",
-        day.alias("day"),
-        (F.year(day) * 100 + F.month(day)).alias("month_key"),
+        "cast(l_shipdate as date) as day",
+        "year(l_shipdate) * 100 + month(l_shipdate) as month_key",
     )
 
 
-def _nation_regions(tables: dict[str, DataFrame]) -> DataFrame:
-    return tables["nation"].join(
-        tables["region"], F.col("n_regionkey") == F.col("r_regionkey")
-    ).select("n_nationkey", "n_name", "r_name")
+def _nations(tables: dict[str, DataFrame]) -> DataFrame:
+    return tables["nation"].join(tables["region"], F.expr("n_regionkey = r_regionkey"))
 
 
 def _event_specs(tables: dict[str, DataFrame]) -> DataFrame:
@@ -53,106 +70,63 @@ def _event_specs(tables: dict[str, DataFrame]) -> DataFrame:
 
     Deduplicated before the list is built; a part type comes from a short fixed vocabulary.
     """
-    parts = tables["part"].select("p_partkey", F.lower("p_type").alias("spec"))
     return (
         _line_items(tables)
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .select("l_suppkey", "month_key", "spec")
+        .join(tables["part"], F.expr("l_partkey = p_partkey"))
+        .selectExpr("l_suppkey", "month_key", "lower(p_type) as spec")
         .distinct()
         .groupBy("l_suppkey", "month_key")
-        .agg(F.array_join(F.sort_array(F.collect_list("spec")), " ").alias("specs"))
+        .agg(F.expr("array_join(sort_array(collect_list(spec)), ' ') as specs"))
     )
 
 
 def _competitions(tables: dict[str, DataFrame]) -> DataFrame:
-    months = (
+    """The left join on the grouping keys is dropped by the optimizer when event_specs is unused."""
+    return (
         _line_items(tables)
         .groupBy("l_suppkey", "month_key")
         .agg(F.min("day").alias("start_date"), F.max("day").alias("end_date"))
+        .join(_event_specs(tables), ["l_suppkey", "month_key"], "left")
+        .join(tables["supplier"], F.expr("l_suppkey = s_suppkey"))
+        .join(_nations(tables), F.expr("s_nationkey = n_nationkey"))
+        .selectExpr(*COMPETITION_COLUMNS)
     )
-    # The left join on the grouping keys is dropped by the optimizer when event_specs is unused.
-    rows = (
-        months.join(_event_specs(tables), ["l_suppkey", "month_key"], "left")
-        .join(tables["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(_nation_regions(tables), F.col("s_nationkey") == F.col("n_nationkey"))
-    )
-    supplier, nation, month_key = F.col("l_suppkey"), F.col("s_nationkey"), F.col("month_key")
-    year, month = F.year("start_date"), F.month("start_date")
-    located = supplier % 11 != 0
-    latitude = 49000000 + (nation % 5) * 1200000 + (supplier % 3) * 50000
-    column = F.floor(nation / 5)
-    longitude = (
-        14000000
-        + F.when(column == 0, 0).when(column == 1, 900000).otherwise(column * 2000000)
-        + (supplier % 4) * 150000
-    )
-    name = (
-        F.when(supplier % 5 == 0, F.concat_ws(" ", "s_name", F.lit("Edition"), month_key))
-        .when((supplier % 5).isin(1, 2), F.concat_ws(" ", "s_name", year))
-        .otherwise(F.concat_ws(" ", "s_name", month, year))
-    )
-    return rows.select(
-        _competition_id(supplier, month_key).alias("id"),
-        name.alias("name"),
-        F.concat_ws(" ", "n_name", supplier % 10).alias("cell_name"),
-        F.col("n_name").alias("city_name"),
-        F.col("r_name").alias("country_id"),
-        year.alias("year"),
-        month.alias("month"),
-        F.dayofmonth("start_date").alias("day"),
-        "start_date",
-        "end_date",
-        F.when((supplier * 31 + month_key) % 17 == 0, 1).otherwise(0).alias("cancelled"),
-        F.when(located, latitude).cast("bigint").alias("latitude_microdegrees"),
-        F.when(located, longitude).cast("bigint").alias("longitude_microdegrees"),
-        F.when(supplier % 13 != 0, F.col("specs")).alias("event_specs"),
-    )
-
-
-def _customer_countries(tables: dict[str, DataFrame]) -> DataFrame:
-    return tables["customer"].join(
-        _nation_regions(tables), F.col("c_nationkey") == F.col("n_nationkey")
-    ).select("c_custkey", "c_name", F.col("r_name").alias("c_country"))
-
-
-def _sales(tables: dict[str, DataFrame]) -> DataFrame:
-    return _line_items(tables).join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def _results(tables: dict[str, DataFrame]) -> DataFrame:
-    # One row per customer, so that the optimizer can drop the join when the country is unused.
+    """One row per customer on the right, so that an unused country costs no join."""
     countries = (
-        _customer_countries(tables).groupBy("c_custkey").agg(F.max("c_country").alias("c_country"))
+        tables["customer"]
+        .join(_nations(tables), F.expr("c_nationkey = n_nationkey"))
+        .groupBy("c_custkey")
+        .agg(F.max("r_name").alias("person_country_id"))
     )
     return (
-        _sales(tables)
-        .join(countries, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .select(
-            _competition_id(F.col("l_suppkey"), F.col("month_key")).alias("competition_id"),
-            _person_id(F.col("o_custkey"), F.col("l_partkey")).alias("person_id"),
-            F.col("c_country").alias("person_country_id"),
+        _line_items(tables)
+        .join(tables["orders"], F.expr("l_orderkey = o_orderkey"))
+        .join(countries, F.expr("o_custkey = c_custkey"), "left")
+        .selectExpr(
+            f"{COMPETITION_ID} as competition_id", f"{PERSON_ID} as person_id", "person_country_id"
         )
     )
 
 
 def _persons(tables: dict[str, DataFrame]) -> DataFrame:
-    families = (
-        _sales(tables).select("o_custkey", (F.col("l_partkey") % 8).alias("family")).distinct()
-    )
-    known = families.join(_customer_countries(tables), F.col("o_custkey") == F.col("c_custkey"))
-    versions = F.when(F.col("o_custkey") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(
-        F.array(F.lit(1))
-    )
-    return known.select(
-        _person_id(F.col("o_custkey"), F.col("family")).alias("person_id"),
-        F.explode(versions).alias("sub_id"),
-        "c_name",
-        "c_country",
-    ).select(
-        "person_id",
-        "sub_id",
-        F.when(F.col("sub_id") == 1, F.col("c_name")).otherwise("old").alias("name"),
-        F.col("c_country").alias("country_id"),
+    """A current record per person; every tenth customer's persons have an outdated one too."""
+    return (
+        tables["lineitem"]
+        .join(tables["orders"], F.expr("l_orderkey = o_orderkey"))
+        .selectExpr("o_custkey", f"{PERSON_ID} as person_id")
+        .distinct()
+        .join(tables["customer"], F.expr("o_custkey = c_custkey"))
+        .join(_nations(tables), F.expr("c_nationkey = n_nationkey"))
+        .selectExpr(
+            "person_id",
+            "explode(if(o_custkey % 10 = 0, array(1, 2), array(1))) as sub_id",
+            "c_name",
+            "r_name as country_id",
+        )
+        .selectExpr("person_id", "sub_id", "if(sub_id = 1, c_name, 'old') as name", "country_id")
     )
 
 
