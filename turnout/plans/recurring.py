@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from turnout.functions.text import shorten
 from turnout.operators.attendance import AttendanceModel
-from turnout.operators.series import dense_series_years, recurring_series, series_matrix, top_series
+from turnout.operators.series import (
+    dense_years,
+    held_years,
+    recurring_series,
+    series_matrix,
+    series_years,
+    top_series,
+)
 
 # Series drawn, and the part of the maximum above which a cell is dark.
 HEATMAP_SERIES = 30
@@ -15,13 +22,17 @@ TREND_SERIES = 10
 DARK_ABOVE = 0.65
 
 
+def _series(model: AttendanceModel) -> DataFrame:
+    return recurring_series(model.competitions, model.attendance)
+
+
 def series_heatmap(model: AttendanceModel, limit: int = HEATMAP_SERIES) -> DataFrame:
     """Cells of the ``limit`` leading series, empty years included, with text and shade.
 
     The window for the overall maximum spans ``limit`` series times the years of the data.
     """
-    series = recurring_series(model.competitions, model.attendance)
-    cells = dense_series_years(top_series(series, limit), series)
+    series = _series(model)
+    cells = dense_years(top_series(series, limit), series_years(series))
     n = F.col("n_competitors")
     peak = F.max(n).over(Window.partitionBy())
     return cells.select(
@@ -33,10 +44,8 @@ def series_heatmap(model: AttendanceModel, limit: int = HEATMAP_SERIES) -> DataF
 
 def series_trend(model: AttendanceModel, limit: int = TREND_SERIES) -> DataFrame:
     """Attendance of the leading series in the years they were held."""
-    series = recurring_series(model.competitions, model.attendance)
     return (
-        top_series(series, limit)
-        .join(series.yearly.where(F.col("n_competitors") > 0), "series")
+        held_years(top_series(_series(model), limit))
         .select("rank", shorten(F.col("label")).alias("label"), "year", "n_competitors")
         .orderBy("rank", "year")
     )
@@ -44,8 +53,8 @@ def series_trend(model: AttendanceModel, limit: int = TREND_SERIES) -> DataFrame
 
 def series_by_year(model: AttendanceModel) -> DataFrame:
     """All recurring series, long form, empty years included."""
-    series = recurring_series(model.competitions, model.attendance)
-    return dense_series_years(series.ranking, series).select(
+    series = _series(model)
+    return dense_years(series, series_years(series)).select(
         "series", "label", "year", "n_competitors", "editions", "total"
     )
 
@@ -54,7 +63,7 @@ def series_wide(model: AttendanceModel) -> DataFrame:
     """All recurring series as a matrix with one column per year in which any series ran.
 
     Column names have to be known when a DataFrame is built, so the short list of years is read
-    first, from the events alone.
+    first.
     """
-    series = recurring_series(model.competitions, model.attendance)
-    return series_matrix(series, series.years.first()["years"])
+    series = _series(model)
+    return series_matrix(series, series_years(series).first()["years"])
