@@ -66,7 +66,7 @@ def _linked_cubes(points: DataFrame, radius_km: float, pair_budget: int) -> Data
     of places.
     """
     cubes = boxes(points, 0)
-    offsets = F.array(*[F.lit(offset).cast("bigint") for offset in _neighbour_offsets()])
+    offsets = F.expr(f"array({', '.join(f'{offset}L' for offset in _neighbour_offsets())})")
     pairs = (
         prefixed(cubes, "a")
         .withColumn("offset", F.explode(offsets))
@@ -83,11 +83,11 @@ def _linked_cubes(points: DataFrame, radius_km: float, pair_budget: int) -> Data
         near = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
         direct = point_pairs(pending.where(small), points, level).where(near <= radius_km)
         linked = linked.unionByName(direct.select("a_root", "b_root").distinct())
-        large = pending.where(~small)
-        if level == DEPTH or large.isEmpty():
+        if level == DEPTH or judged.where("open").where(~small).isEmpty():
             break
         linked = cut(linked)
-        pairs = refine(large.join(linked, ["a_root", "b_root"], "left_anti"), points, level)
+        large = pending.where(~small).join(linked, ["a_root", "b_root"], "left_anti")
+        pairs = refine(large, points, level)
         level += STEP
     return linked.select(F.col("a_root").alias("u"), F.col("b_root").alias("v"))
 
