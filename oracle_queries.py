@@ -438,7 +438,7 @@ def q22(years=None):
     return _model(
         f"""SELECT event_id, CASE event_id {whens} ELSE event_id END AS event_name,
                round(avg_pct, 6) AS avg_pct, n_comps, round(overall, 6) AS overall_avg,
-               CASE WHEN avg_pct >= overall THEN 'above' ELSE 'below' END AS band
+               CASE WHEN round(avg_pct, 9) >= round(overall, 9) THEN 'above' ELSE 'below' END AS band
         FROM (SELECT event_id, avg(pct_newcomers) AS avg_pct, count(DISTINCT competition_id) AS n_comps
               FROM (SELECT competition_id, pct_newcomers, unnest(string_split(event_specs, ' ')) AS event_id
                     FROM stats WHERE event_specs IS NOT NULL)
@@ -492,7 +492,7 @@ def q27():
     return _with(
         """SELECT CAST(row_number() OVER (ORDER BY spread_km DESC, person_id) AS INTEGER) AS rank, name,
                n_starts, n_regions, round(spread_km, 6) AS spread_km
-        FROM (SELECT * REPLACE (round(spread_km, 9) AS spread_km) FROM spread) QUALIFY rank <= 10""",
+        FROM (SELECT * REPLACE (round(spread_km, 6) AS spread_km) FROM spread) QUALIFY rank <= 10""",
         MAP, REGIONS, SPREAD,
     )
 

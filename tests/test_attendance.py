@@ -181,7 +181,7 @@ def test_starts_beyond_the_cap(spark):
     m = starts_model(spark, [19, 20, 21])
     full = {b: n for _, b, n, _ in rows(activity.starts_histogram(m))}
     assert len(full) == 20 and full[19] == 1 and full[20] == 2 and sum(full.values()) == 3
-    drawn = {b: n for _, b, n, _ in rows(activity.starts_histogram(m, range_mode="reference"))}
+    drawn = {b: n for _, b, n, _ in rows(activity.starts_histogram(m, range_mode="drawn"))}
     assert len(drawn) == 19 and drawn[19] == 2 and sum(drawn.values()) == 2
     assert rows(activity.starts_histogram(m).select("median_n").distinct()) == [(20.0,)]
 

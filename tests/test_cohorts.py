@@ -79,7 +79,7 @@ def test_returns_beyond_the_cap(spark):
     m = returns_model(spark, [0, 24, 25, 26])
     full = {b: n for b, n, *_ in rows(newcomers.return_distribution(m))}
     assert len(full) == 26 and (full[0], full[24], full[25]) == (1, 1, 2)
-    drawn = {b: n for b, n, *_ in rows(newcomers.return_distribution(m, range_mode="reference"))}
+    drawn = {b: n for b, n, *_ in rows(newcomers.return_distribution(m, range_mode="drawn"))}
     assert len(drawn) == 25 and drawn[24] == 2 and sum(drawn.values()) == 3
     head = newcomers.return_distribution(m).first()
     assert (head.n_never, head.n_total, head.pct_never) == (1, 4, 25.0)

@@ -8,8 +8,9 @@ import os
 import pytest
 
 from tests.tiny import HOME, competition, rows, sources
-from turnout import build_attendance, read_delimited, read_tables
+from turnout import build_attendance, last_years, read_delimited, read_tables
 from turnout.plans import bundle, newcomers
+from turnout.sources.store import read_model, write_model
 from turnout.sources.tables import COMPETITIONS, RESULTS, conform, sources_from
 
 COMPETITION_LINES = [
@@ -123,3 +124,16 @@ def test_csv_reports(spark, folder):
     path = bundle.write_returning_newcomers(raw, folder, 2021, HOME)
     report = spark.read.option("header", True).csv(path)
     assert rows(report) == [("c2021", "Cup 2021", "1", "0")]
+
+
+def test_stored_model_is_pruned_by_year(spark, folder):
+    _, m = small_model(spark)
+    write_model(m, folder)
+    stored = read_model(spark, folder)
+    columns = m.attendance.columns
+    assert rows(stored.attendance, *columns) == rows(m.attendance)
+    assert rows(newcomers.retention(stored)) == rows(newcomers.retention(m))
+    recent = last_years(stored, 1).attendance
+    assert rows(recent, *columns) == rows(last_years(m, 1).attendance)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "Subquery" in plan

@@ -57,7 +57,8 @@ def participations(results: DataFrame) -> DataFrame:
     Grouped on both keys and pre-aggregated in every task, so neither a crowded event nor a busy
     person gathers in one task. Everything else starts from this table, and Spark shuffles it once.
     """
-    return results.select("competition_id", "person_id").distinct()
+    keyed = results.where(F.col("competition_id").isNotNull() & F.col("person_id").isNotNull())
+    return keyed.select("competition_id", "person_id").distinct()
 
 
 def first_dates(pairs: DataFrame, competitions: DataFrame) -> DataFrame:
@@ -70,10 +71,28 @@ def first_dates(pairs: DataFrame, competitions: DataFrame) -> DataFrame:
 
 
 def mark_debuts(attendance: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Adds ``first_comp_date`` and ``is_newcomer``: the event is on the person's first date."""
-    return attendance.join(firsts, "person_id").withColumn(
-        "is_newcomer", F.col("date") == F.col("first_comp_date")
+    """Adds ``is_newcomer``: the event is on the person's first date.
+
+    Joined on person and date, so the rows of a person who is everywhere are spread by day.
+    """
+    debut_days = firsts.select(
+        "person_id", F.col("first_comp_date").alias("date"), F.lit(True).alias("is_newcomer")
     )
+    return attendance.join(debut_days, ["person_id", "date"], "left").withColumn(
+        "is_newcomer", F.coalesce("is_newcomer", F.lit(False))
+    )
+
+
+def with_person_columns(attendance: DataFrame, per_person: DataFrame, how: str = "inner") -> DataFrame:
+    """Attendance with the columns of a table that has one row per person.
+
+    The table is joined to the person's distinct days first, of which there are no more than days
+    in the calendar, and the result to the rows by person and day. A join by person alone would
+    send every row of a busy person to one task, and the adaptive skew split does not apply
+    where the other side comes straight from an aggregate on the same key.
+    """
+    days = attendance.select("person_id", "date").distinct().join(per_person, "person_id")
+    return attendance.join(days, ["person_id", "date"], how)
 
 
 def build_attendance(sources: Sources, country: str, lenient_dates: bool = False) -> AttendanceModel:
@@ -83,9 +102,12 @@ def build_attendance(sources: Sources, country: str, lenient_dates: bool = False
     pairs = participations(sources.results)
     firsts = first_dates(pairs, every_event)
     at_home = pairs.join(events.select("competition_id", *EVENT_COLUMNS), "competition_id")
+    # The left join costs nothing in reports that do not read first_comp_date: its right side has
+    # one row per key, so the optimizer drops it.
+    attendance = with_person_columns(mark_debuts(at_home, firsts), firsts, "left")
     return AttendanceModel(
         competitions=events,
-        attendance=mark_debuts(at_home, firsts),
+        attendance=attendance,
         persons=current_persons(sources.persons),
         first_dates=firsts,
     )

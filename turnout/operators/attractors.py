@@ -54,6 +54,8 @@ def share_by_list_element(
         F.sum("pct_newcomers").alias("pct_sum"), F.count(F.lit(1)).alias("listings")
     )
     overall = stats.agg(F.avg("pct_newcomers")).scalar()
+    # Rounded, as an element every event lists has the overall mean up to the order of its sum.
+    reaches_average = F.round("avg_pct", 9) >= F.round("overall_avg", 9)
     return (
         per_event.groupBy("event_id")
         .agg(
@@ -62,5 +64,5 @@ def share_by_list_element(
         )
         .withColumn("event_name", display_name(F.col("event_id"), names))
         .withColumn("overall_avg", overall)
-        .withColumn("band", F.when(F.col("avg_pct") >= F.col("overall_avg"), "above").otherwise("below"))
+        .withColumn("band", F.when(reaches_average, "above").otherwise("below"))
     )

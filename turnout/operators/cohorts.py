@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnout.functions.dates import days_between, quarter_label, quarter_of
 from turnout.functions.numbers import percentage_one_decimal
+from turnout.operators.attendance import with_person_columns
 
 # Retention windows in days, both ends included.
 RETENTION_WINDOWS = {"3m": 90, "6m": 180, "12m": 365}
@@ -28,30 +29,33 @@ def debuts(attendance: DataFrame) -> DataFrame:
 
 def followups(attendance: DataFrame) -> DataFrame:
     """Every attendance of the newcomers with the days since their debut; the debut is day 0."""
-    first = debuts(attendance)
-    return (
-        attendance.select("person_id", "competition_id", "date")
-        .join(first, "person_id")
-        .withColumn("days_after", days_between(F.col("date"), F.col("debut_date")))
+    rows = attendance.select("person_id", "competition_id", "date")
+    return with_person_columns(rows, debuts(attendance)).withColumn(
+        "days_after", days_between(F.col("date"), F.col("debut_date"))
     )
 
 
 def newcomer_histories(attendance: DataFrame) -> DataFrame:
     """One row per newcomer: debut, days to the first return (null if none), number of returns.
 
-    A newcomer's debut date is the ``first_comp_date`` on each of their rows, so retention needs
-    no join of debuts to follow-ups: one aggregate per person, pre-aggregated in every task. Who
-    first returns after d days has returned within every window of d days or more.
+    A newcomer's rows are either on the debut day, and then marked as newcomer, or later. So
+    retention needs no join of debuts to follow-ups: one aggregate per person, pre-aggregated in
+    every task. Who first returns after d days has returned within every window of d days or more.
     """
-    days_after = days_between(F.col("date"), F.col("first_comp_date"))
     return (
         attendance.groupBy("person_id")
         .agg(
-            F.min(F.when(F.col("is_newcomer"), F.col("first_comp_date"))).alias("debut_date"),
-            F.min(F.when(days_after > 0, days_after)).alias("days_to_return"),
-            F.count_if(days_after > 0).alias("returns"),
+            F.min(F.when(F.col("is_newcomer"), F.col("date"))).alias("debut_date"),
+            F.min(F.when(~F.col("is_newcomer"), F.col("date"))).alias("return_date"),
+            F.count_if(~F.col("is_newcomer")).alias("returns"),
         )
         .where(F.col("debut_date").isNotNull())
+        .select(
+            "person_id",
+            "debut_date",
+            days_between(F.col("return_date"), F.col("debut_date")).alias("days_to_return"),
+            "returns",
+        )
     )
 
 

@@ -28,14 +28,14 @@ def unit_bins(
     """Aggregate giving an array of ``struct(bin, n)`` from ``first`` up to the largest value.
 
     ``overflow``: bins ``first .. cap``, the last one holds ``cap`` and everything above.
-    ``reference``: bins ``first .. cap - 1``, the last one is closed on both sides and so also
-    holds ``cap``; larger values fall outside the drawn range.
+    ``drawn``: the range of the chart, bins ``first .. cap - 1``. The last one is closed on both
+    sides and so also holds ``cap``; larger values fall outside the chart.
     Bins inside the range are present even when empty.
     """
     v, w = F.col(value), F.col(weight)
     if range_mode == "overflow":
         last, inside = cap, F.lit(True)
-    elif range_mode == "reference":
+    elif range_mode == "drawn":
         last, inside = cap - 1, v <= cap
     else:
         raise ValueError(f"unknown range_mode {range_mode!r}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnout.operators.cohorts import debuts, followups, return_counts
+from turnout.operators.periods import last_years
 from turnout.operators.returning import returning_newcomers
 from turnout.plans import activity, attraction, newcomers, recurring, summary, travel, trends
 from turnout.plans.workspace import Workspace
@@ -129,16 +130,16 @@ LAST_YEARS: dict[str, Query] = {
 }
 
 VARIANTS: dict[str, Query] = {
-    "q08_starts_histogram_drawn_range": _report(activity.starts_histogram, range_mode="reference"),
+    "q08_starts_histogram_drawn_range": _report(activity.starts_histogram, range_mode="drawn"),
     "q08_starts_histogram_cap3": _report(activity.starts_histogram, cap=3),
     "q08_starts_histogram_cap3_drawn_range": _report(
-        activity.starts_histogram, cap=3, range_mode="reference"
+        activity.starts_histogram, cap=3, range_mode="drawn"
     ),
     "q15_return_distribution_drawn_range": _report(
-        newcomers.return_distribution, range_mode="reference"
+        newcomers.return_distribution, range_mode="drawn"
     ),
     "q15_return_distribution_cap4_drawn_range": _report(
-        newcomers.return_distribution, cap=4, range_mode="reference"
+        newcomers.return_distribution, cap=4, range_mode="drawn"
     ),
 }
 
@@ -148,8 +149,8 @@ TABLES: dict[str, Query] = {
     "table_persons": _shared(lambda w: w.sources.persons),
     "table_current_persons": _shared(lambda w: w.model.persons),
     "table_first_dates": _shared(lambda w: w.model.first_dates),
-    "table_attendance": _report(lambda m: m.attendance),
-    "table_attendance_last2": _report(lambda m: m.attendance, 2),
+    "table_attendance": _shared(lambda w: w.full_model.attendance),
+    "table_attendance_last2": _shared(lambda w: last_years(w.full_model, 2).attendance),
     "table_debuts": _report(lambda m: debuts(m.attendance)),
     "table_followups": _report(lambda m: followups(m.attendance)),
     "table_return_counts": _report(lambda m: return_counts(m.attendance)),

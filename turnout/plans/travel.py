@@ -67,7 +67,8 @@ def spread(
 
 def globetrotters(map_: YearMap, travel: DataFrame, limit: int = TOP_TRAVELLERS) -> DataFrame:
     named = travel.join(map_.persons.select("person_id", "name"), "person_id")
-    order = [F.desc("spread_km"), F.asc("person_id")]
+    # To the millimetre, so that equal distances tie whatever order their terms were added in.
+    order = [F.desc(F.round("spread_km", 6)), F.asc("person_id")]
     return top_ranked(named, order, limit).select(
         "rank", "name", "n_starts", "n_regions", "spread_km"
     )

@@ -31,13 +31,19 @@ class Workspace:
         self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
+    @cached_property
+    def full_model(self) -> AttendanceModel:
+        """Every column, nothing kept."""
+        return build_attendance(self.sources, self.country)
+
     @cached_property
     def model(self) -> AttendanceModel:
-        model = build_attendance(self.sources, self.country)
+        """What the reports read; none of them reads ``first_comp_date`` of an attendance."""
+        model = self.full_model
         return replace(
             model,
             competitions=self._keep(model.competitions),
-            attendance=self._keep(model.attendance),
+            attendance=self._keep(model.attendance.drop("first_comp_date")),
         )
 
     def model_of_last(self, years: int | None) -> AttendanceModel:
