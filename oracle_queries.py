@@ -528,6 +528,16 @@ def q30():
     )
 
 
+def q31():
+    return _with(
+        """SELECT (SELECT count(*) FROM ev) AS n_comps, (SELECT count(*) FROM map_att) AS n_starts,
+               (SELECT count(DISTINCT person_id) FROM map_att) AS n_persons,
+               (SELECT count(*) FROM spread) AS n_own,
+               (SELECT count(*) FROM spread WHERE is_local) AS n_locals""",
+        MAP, REGIONS, SPREAD,
+    )
+
+
 def table_series_matrix():
     columns = ", ".join(
         f'CAST(coalesce(sum(n_competitors) FILTER (year = {y}), 0) AS BIGINT) AS "{y}"' for y in range(1995, 2002)
@@ -569,6 +579,7 @@ def all_oracles() -> dict[str, str]:
         "q28_density_locals": q28(),
         "q29_region_summary": q29(),
         "q30_period_summary": q30(),
+        "q31_map_summary": q31(),
         "q01_comps_per_quarter_last5": q01(5),
         "q02_comps_per_month_last1": q02(1),
         "q03_comps_ytd_last3": q03(3),

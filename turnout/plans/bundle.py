@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from turnout.operators.attendance import AttendanceModel
 from turnout.operators.periods import last_years, period_label, period_suffix
 from turnout.operators.returning import returning_newcomers
-from turnout.plans import activity, attraction, newcomers, recurring, summary, trends
+from turnout.plans import activity, attraction, newcomers, recurring, summary, travel, trends
 from turnout.sources.sinks import write_table
 from turnout.sources.tables import Sources
 
@@ -73,6 +73,29 @@ def write_bundle(
             df.unpersist()
 
 
+def write_year_map(map_: travel.YearMap, directory: str, format: str = "parquet") -> list[tuple[str, str]]:
+    """Write the tables of a year's map; regions and travel spread are computed once."""
+    kept = [map_.events.persist(StorageLevel.MEMORY_AND_DISK), map_.participants.persist(StorageLevel.MEMORY_AND_DISK)]
+    try:
+        region_of = travel.regions(map_).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(region_of)
+        trips = travel.spread(map_, region_of).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(trips)
+        tables = (
+            ("map_density_all", "Persons per place", travel.density_all(map_)),
+            ("map_density_locals", "Locals per place", travel.density_locals(map_, trips)),
+            ("map_regions", "Region of every event", region_of),
+            ("map_person_spread", "Travel spread per person", trips),
+            ("map_globetrotters", "Farthest travellers", travel.globetrotters(map_, trips)),
+            ("map_region_summary", "Locals per region", travel.locals_by_region(map_, region_of, trips)),
+            ("map_summary", "Events, starts, persons and locals", travel.map_summary(map_, trips)),
+        )
+        return [(write_table(df, f"{directory}/{name}", format), title) for name, title, df in tables]
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
 def write_cohort_summary(model: AttendanceModel, directory: str, years: int | None = None) -> str:
     """The cohort table as CSV with a header."""
     rows = newcomers.retention(last_years(model, years))

@@ -102,6 +102,7 @@ REPORTS: dict[str, Query] = {
     "q28_density_locals": _shared(lambda w: travel.density_locals(w.map, w.spread)),
     "q29_region_summary": _shared(lambda w: travel.locals_by_region(w.map, w.regions, w.spread)),
     "q30_period_summary": _report(summary.period_summary),
+    "q31_map_summary": _shared(lambda w: travel.map_summary(w.map, w.spread)),
 }
 
 LAST_YEARS: dict[str, Query] = {

@@ -65,6 +65,26 @@ def spread(
     return person_spread(starts).withColumn("is_local", is_local(max_spread_km, max_regions))
 
 
+def map_summary(map_: YearMap, travel: DataFrame) -> DataFrame:
+    """One row: events, starts and persons on the map, and how many of its own are locals.
+
+    The three counts of one row each are added up over a union, so that nothing has to be crossed.
+    """
+    starts = map_.participants.groupBy("person_id").agg(F.count(F.lit(1)).alias("starts"))
+    parts = [
+        map_.events.select(F.lit(1).alias("n_comps")),
+        starts.select(F.col("starts").alias("n_starts"), F.lit(1).alias("n_persons")),
+        travel.select(F.lit(1).alias("n_own"), F.col("is_local").cast("int").alias("n_locals")),
+    ]
+    rows = parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+    return rows.agg(
+        *[
+            F.coalesce(F.sum(name), F.lit(0)).alias(name)
+            for name in ("n_comps", "n_starts", "n_persons", "n_own", "n_locals")
+        ]
+    )
+
+
 def globetrotters(map_: YearMap, travel: DataFrame, limit: int = TOP_TRAVELLERS) -> DataFrame:
     named = travel.join(map_.persons.select("person_id", "name"), "person_id")
     # To the millimetre, so that equal distances tie whatever order their terms were added in.
