@@ -32,22 +32,15 @@ def unit_bins(
     sides and so also holds ``cap``; larger values fall outside the chart.
     Bins inside the range are present even when empty.
     """
-    v, w = F.col(value), F.col(weight)
     if range_mode == "overflow":
-        last, inside = cap, F.lit(True)
+        last, open_end = cap, f"{value} >= {cap}"
     elif range_mode == "drawn":
-        last, inside = cap - 1, v <= cap
+        last, open_end = cap - 1, f"{value} in ({cap - 1}, {cap})"
     else:
         raise ValueError(f"unknown range_mode {range_mode!r}")
-    placed = F.when(inside, F.least(v, F.lit(last)))
-    bins = F.array(
-        *[
-            F.struct(
-                F.lit(b).cast("bigint").alias("bin"),
-                F.coalesce(F.sum(F.when(placed == b, w)), F.lit(0)).alias("n"),
-            )
-            for b in range(first, last + 1)
-        ]
+    members = {b: f"{value} = {b}" for b in range(first, last)} | {last: open_end}
+    bins = ", ".join(
+        f"struct({b}L as bin, coalesce(sum({weight}) filter (where {member}), 0L) as n)"
+        for b, member in members.items()
     )
-    top = F.greatest(F.max(v), F.lit(first))
-    return F.filter(bins, lambda item: item["bin"] <= top)
+    return F.expr(f"filter(array({bins}), item -> item.bin <= greatest(max({value}), {first}))")

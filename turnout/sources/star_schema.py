@@ -25,7 +25,8 @@ SCHEMAS = {
 
 # The text keys of an event and of a person.
 COMPETITION_ID = "concat(l_suppkey, '-', month_key)"
-PERSON_ID = "concat('P', o_custkey, '-', l_partkey % 8)"
+FAMILY = "l_partkey % 8"
+PERSON_ID = "concat('P', o_custkey, '-', family)"
 
 # How the attributes of an event follow from its supplier, month and nation.
 COMPETITION_COLUMNS = (
@@ -105,6 +106,7 @@ def _results(tables: dict[str, DataFrame]) -> DataFrame:
         _line_items(tables)
         .join(tables["orders"], F.expr("l_orderkey = o_orderkey"))
         .join(countries, F.expr("o_custkey = c_custkey"), "left")
+        .withColumn("family", F.expr(FAMILY))
         .selectExpr(
             f"{COMPETITION_ID} as competition_id", f"{PERSON_ID} as person_id", "person_country_id"
         )
@@ -116,12 +118,12 @@ def _persons(tables: dict[str, DataFrame]) -> DataFrame:
     return (
         tables["lineitem"]
         .join(tables["orders"], F.expr("l_orderkey = o_orderkey"))
-        .selectExpr("o_custkey", f"{PERSON_ID} as person_id")
+        .selectExpr("o_custkey", f"{FAMILY} as family")
         .distinct()
         .join(tables["customer"], F.expr("o_custkey = c_custkey"))
         .join(_nations(tables), F.expr("c_nationkey = n_nationkey"))
         .selectExpr(
-            "person_id",
+            f"{PERSON_ID} as person_id",
             "explode(if(o_custkey % 10 = 0, array(1, 2), array(1))) as sub_id",
             "c_name",
             "r_name as country_id",
