@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from turnout import build_attendance, last_years
+from turnout.operators.cohorts import debuts, followups, return_counts
+from turnout.operators.regions import geo_regions
 from turnout.plans import activity, newcomers, trends
+from turnout.plans.workspace import Workspace
 from turnout.sources.star_schema import star_schema_sources
 
 
@@ -85,3 +88,35 @@ def test_outer_join_gives_the_same_split(model):
     joined = counted[0].join(counted[1], ["year", "quarter"], "full_outer").na.fill(0)
     columns = ("newcomers", "returning")
     assert by_quarter(joined, *columns) == by_quarter(activity.new_vs_returning(model), *columns)
+
+
+def test_never_returned_is_a_set_difference(model):
+    """Those without returns are the debutants minus the ones with a later event."""
+    later = followups(model.attendance).where("days_after > 0").select("person_id").distinct()
+    never = debuts(model.attendance).join(later, "person_id", "left_anti").select("person_id")
+    counted = return_counts(model.attendance)
+    assert never.exceptAll(counted.where("returns = 0").select("person_id")).isEmpty()
+    assert never.count() == counted.where("returns = 0").count()
+    both = never.withColumn("returns", F.lit(0)).unionByName(
+        followups(model.attendance).where("days_after > 0").groupBy("person_id").agg(F.count("*").alias("returns"))
+    )
+    assert both.exceptAll(counted.select("person_id", "returns")).isEmpty()
+
+
+def test_spread_is_zero_exactly_where_places_coincide(spark):
+    w = Workspace(star_schema_sources(spark, f"{DATA}/sf0.01"), "AMERICA", 1998)
+    places = (
+        w.map.participants.join(w.map.events, "competition_id")
+        .groupBy("person_id")
+        .agg(F.count_distinct("lat", "lon").alias("places"))
+    )
+    odd = w.spread.join(places, "person_id").where((F.col("spread_km") == 0) != (F.col("places") == 1))
+    assert odd.isEmpty()
+    w.release()
+
+
+def test_region_labels_do_not_depend_on_row_order(spark):
+    w = Workspace(star_schema_sources(spark, f"{DATA}/sf0.01"), "AMERICA", 1998)
+    shuffled = w.map.events.repartition(5).orderBy(F.xxhash64("competition_id"))
+    assert geo_regions(shuffled).exceptAll(w.regions).isEmpty()
+    w.release()

@@ -59,6 +59,20 @@ def _judged(pairs: DataFrame, radius_km: float) -> DataFrame:
     )
 
 
+def _edges(linked: DataFrame) -> DataFrame:
+    return linked.select(F.col("a_root").alias("u"), F.col("b_root").alias("v"))
+
+
+def _not_yet_connected(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs of cubes that no chain of links joins: only there another link makes a difference."""
+    clusters = cut(connected_components(_edges(linked)))
+    for side in ("a", "b"):
+        names = {"node": f"{side}_root", "component": f"{side}_component"}
+        pairs = pairs.join(clusters.withColumnsRenamed(names), f"{side}_root", "left")
+    component_a = F.coalesce("a_component", "a_root")
+    return pairs.where(component_a != F.coalesce("b_component", "b_root"))
+
+
 def _linked_cubes(points: DataFrame, radius_km: float, pair_budget: int) -> DataFrame:
     """Pairs of neighbouring cubes (u, v) that hold two places within the radius.
 
@@ -86,10 +100,9 @@ def _linked_cubes(points: DataFrame, radius_km: float, pair_budget: int) -> Data
         if level == DEPTH or judged.where("open").where(~small).isEmpty():
             break
         linked = cut(linked)
-        large = pending.where(~small).join(linked, ["a_root", "b_root"], "left_anti")
-        pairs = refine(large, points, level)
+        pairs = refine(_not_yet_connected(pending.where(~small), linked), points, level)
         level += STEP
-    return linked.select(F.col("a_root").alias("u"), F.col("b_root").alias("v"))
+    return _edges(linked)
 
 
 def geo_regions(
