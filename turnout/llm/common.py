@@ -14,6 +14,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Bounds of what a Python worker gets at once; long texts fill a batch by bytes, not by rows.
+ARROW_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session. Partition counts and memory are the cluster's."""
+    for key, value in ARROW_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def packed(df: DataFrame) -> DataFrame:
     """One struct column ``row`` with every column of ``df``.
 

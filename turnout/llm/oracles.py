@@ -44,13 +44,12 @@ def _spans(kind: int, pattern: str, group: int, least: int) -> str:
     """Matches with their gaps: a match starts where the gaps and matches before it end."""
     return f"""
   SELECT id, {kind} AS kind, CAST(ends - size AS BIGINT) AS s, CAST(ends AS BIGINT) AS e FROM (
-    SELECT id, size, value, sum(gap + size) OVER (PARTITION BY id ORDER BY k) AS ends FROM (
-      SELECT id, k, length(gaps[k]) AS gap, length(found[k]) AS size, length(vals[k]) AS value FROM (
+    SELECT id, length(m) AS size, length(v) AS value, sum(length(gap) + length(m)) OVER (PARTITION BY id ORDER BY k) AS ends FROM (
+      SELECT id, unnest(found) AS m, unnest(vals) AS v, unnest(gaps[1:len(found)]) AS gap, unnest(range(len(found))) AS k FROM (
         SELECT id, string_split_regex(body, '{pattern}') AS gaps,
           regexp_extract_all(body, '{pattern}') AS found,
-          regexp_extract_all(body, '{pattern}', {group}) AS vals,
-          unnest(range(1, len(regexp_extract_all(body, '{pattern}')) + 1)) AS k
-        FROM docs))) WHERE value >= {least}"""
+          regexp_extract_all(body, '{pattern}', {group}) AS vals
+        FROM docs WHERE regexp_matches(body, '{pattern}')))) WHERE value >= {least}"""
 
 
 _ASSIGN = (
@@ -58,11 +57,13 @@ _ASSIGN = (
     "[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 )
 
+_ACCESS, _HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
+
 OP2 = f"""
 WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS body FROM documents),
 spans AS ({_spans(0, _ASSIGN, 2, 6)}
-  UNION ALL {_spans(1, 'AKIA[A-Z0-9]+', 0, 20)}
-  UNION ALL {_spans(2, '[0-9a-f]+', 0, 24)}),
+  UNION ALL {_spans(1, _ACCESS, 0, 20)}
+  UNION ALL {_spans(2, _HEX, 0, 24)}),
 listed AS (
   SELECT id, CAST(count(*) FILTER (kind = 0) AS BIGINT) AS n_assign,
     CAST(count(*) FILTER (kind = 1) AS BIGINT) AS n_access, CAST(count(*) FILTER (kind = 2) AS BIGINT) AS n_hex,

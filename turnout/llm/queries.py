@@ -7,13 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import chat, exact_dedup, mixing, secret_ledger, sharding
+from turnout.llm import (
+    bpe,
+    chat,
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    mixing,
+    secret_ledger,
+    sharding,
+    simhash,
+    toxicity,
+)
+from turnout.llm.common import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return configure(spark).read.parquet(f"{directory}/{name}.parquet")
+
+
+def vocabulary_path() -> str:
+    """The registered queries use an installed public vocabulary; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_mixing(spark: SparkSession, directory: str) -> DataFrame:
@@ -40,6 +59,19 @@ def op2_secrets(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op3_embeddings(spark: SparkSession, directory: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, directory, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _table(spark, directory, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, directory, "labels")))
+
+
+def op5_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, directory, "documents"))
+
+
 def op6_sharding(spark: SparkSession, directory: str) -> DataFrame:
     placed = sharding.assign_shards(_table(spark, directory, "documents"))
     return placed.select(
@@ -57,6 +89,17 @@ def op7_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return exact_dedup.find_duplicates(_table(spark, directory, "documents"))
 
 
+def op8_language(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _table(spark, directory, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op9_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary(vocabulary_path())
+    docs = _table(spark, directory, "documents")
+    return bpe.with_digest(bpe.decode(bpe.encode(docs, vocabulary), vocabulary))
+
+
 HARD_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -88,7 +131,12 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op2_secrets": op2_secrets,
+        "op3_embeddings": op3_embeddings,
+        "op4_toxicity": op4_toxicity,
+        "op5_simhash": op5_simhash,
         "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_language": op8_language,
+        "op9_bpe": op9_bpe,
         "op10_chat": op10_chat,
     }
