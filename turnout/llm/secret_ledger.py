@@ -179,21 +179,14 @@ def scan(docs: DataFrame, ledger_path: str | None = None, path: str = "doc_id")
 
 def span_list(kinds: list[str]) -> Column:
     """``kind:start:end`` of all kinds, by start and then by the order of ``kinds``, comma-joined."""
-    marked = F.concat(
-        *[
-            F.transform(
-                k,
-                lambda s, i=i: F.struct(
-                    s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")
-                ),
-            )
-            for i, k in enumerate(kinds)
-        ]
-    )
+    def marked(kind: int):
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"))
+
+    every = F.concat(*[F.transform(k, marked(i)) for i, k in enumerate(kinds)])
     names = F.array(*[F.lit(k) for k in kinds])
     return F.array_join(
         F.transform(
-            F.array_sort(marked),
+            F.array_sort(every),
             lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"]),
         ),
         ",",
