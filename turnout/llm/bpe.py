@@ -7,7 +7,9 @@ of documents they occur in. Ids are put back by position, and decoded by a join
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +31,8 @@ WORDS = (
 TABLE_WORDS, TABLE_WORD_CHARS = 1 << 17, 64
 # A task counts words until it knows so many, then hands on those it met at least twice.
 COUNTED_AT_ONCE, LEAST_IN_TASK = 200_000, 2
-ROWS = 512
+# Other words that a task remembers, and documents it encodes at once.
+REMEMBERED, ROWS = 100_000, 512
 
 
 class Vocabulary:
@@ -48,6 +51,7 @@ class Vocabulary:
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
 
     def encoder(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(self.text)
@@ -171,24 +175,43 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, limit: int = TABLE_WORDS) ->
     on the bounded table of frequent words.
     """
     words = split_words(docs, vocabulary)
+    run = _encoding(vocabulary, _shared_table(words, vocabulary, limit))
+    doc_id = words.schema["doc_id"].dataType.simpleString()
+    return words.mapInArrow(run, f"doc_id {doc_id}, ids array<int>")
+
+
+def _shared_table(words: DataFrame, vocabulary: Vocabulary, limit: int):
+    """The table of frequent words on every executor, ids as bytes of :func:`_width`."""
     table = word_table(words, vocabulary, limit).toArrow()
-    joined = docs.sparkSession.sparkContext.broadcast(
-        (table.column("word").to_pylist(), [np.array(i, np.uint16 if _small(vocabulary) else np.uint32).tobytes() for i in table.column("ids").to_pylist()])
-    )
-    width = np.uint16 if _small(vocabulary) else np.uint32
+    runs = [np.array(ids, _width(vocabulary)).tobytes() for ids in table.column("ids").to_pylist()]
+    return words.sparkSession.sparkContext.broadcast((table.column("word").to_pylist(), runs))
+
+
+def _width(vocabulary: Vocabulary) -> type:
+    return np.uint16 if len(vocabulary.pieces) <= 1 << 16 else np.uint32
+
+
+def _encoding(vocabulary: Vocabulary, table):
+    """Batches (doc_id, words) to (doc_id, ids): each distinct word is looked up or encoded once."""
+    width = _width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
-        known = dict(zip(*joined.value))
+        known = dict(zip(*table.value))
+        remembered: dict[str, bytes] = {}
         for batch in batches:
             for part in _slices(batch):
                 column = part.column(1)
                 spelled = column.flatten().dictionary_encode()
                 distinct = spelled.dictionary.to_pylist()
-                runs = [known.get(w) for w in distinct]
+                runs = [known.get(w) or remembered.get(w) for w in distinct]
                 new = [k for k, r in enumerate(runs) if r is None]
+                if len(remembered) + len(new) > REMEMBERED:
+                    remembered.clear()
                 for k, ids in zip(new, encoder([distinct[k] for k in new])):
                     runs[k] = np.array(ids, width).tobytes()
+                    if len(remembered) < REMEMBERED and len(distinct[k]) <= TABLE_WORD_CHARS:
+                        remembered[distinct[k]] = runs[k]
                 flat = np.frombuffer(b"".join(runs), width)
                 sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // flat.itemsize
                 index = spelled.indices.to_numpy()
@@ -199,19 +222,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, limit: int = TABLE_WORDS) ->
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
-    doc_id = words.schema["doc_id"].dataType.simpleString()
-    return words.mapInArrow(run, f"doc_id {doc_id}, ids array<int>")
-
-
-def _small(vocabulary: Vocabulary) -> bool:
-    return len(vocabulary.pieces) <= 1 << 16
+    return run
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, ids, text): ids joined with their pieces, whose bytes are read as UTF-8.
-
-    Bytes that are no UTF-8 become replacement characters. The table of pieces is the vocabulary.
-    """
+def _decoding(vocabulary: Vocabulary):
+    """Batches (doc_id, ids) to (doc_id, ids, text): ids joined with their pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.frombuffer(b"".join(vocabulary.pieces), np.uint8)
@@ -219,37 +234,52 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         starts = np.cumsum(sizes) - sizes
         for batch in batches:
             texts = []
-            for k in range(batch.num_rows):
-                ids = batch.column(1)[k].values.to_numpy().astype(np.int64)
+            for ids in _lists(batch.column(1)):
                 texts.append(_gather(flat, starts, sizes, ids).tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"]
             )
 
+    return run
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy()
+    for low, high in zip(offsets[:-1], offsets[1:]):
+        yield values[low:high]
+
+
+def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids, text): ids joined with their pieces, whose bytes are read as UTF-8.
+
+    Bytes that are no UTF-8 become replacement characters. The table of pieces is the vocabulary.
+    """
     doc_id = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {doc_id}, ids array<int>, text string")
+    schema = f"doc_id {doc_id}, ids array<int>, text string"
+    return encoded.select("doc_id", "ids").mapInArrow(_decoding(vocabulary), schema)
 
 
-def with_digest(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids, text)."""
-    import hashlib
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, limit: int = TABLE_WORDS) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): :func:`encode`, then :func:`decode`, and digests.
+
+    The steps run one after the other in one Python worker per task, which saves the ids a way
+    through the JVM and the executor the memory of further workers.
+    """
+    words = split_words(docs, vocabulary)
+    encoding = _encoding(vocabulary, _shared_table(words, vocabulary, limit))
+    decoding = _decoding(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = []
-            for k in range(batch.num_rows):
-                ids = batch.column(1)[k].values.to_numpy()
-                digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+        for batch in decoding(encoding(batches)):
+            ids = [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in _lists(batch.column(1))]
+            texts = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.string()), batch.column(1), batch.column(2)],
-                names=["doc_id", "ids_sha256", "ids", "text"],
+                [batch.column(0), batch.column(1), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
+                names=["doc_id", "ids", "ids_sha256", "decoded_sha256"],
             )
 
-    doc_id = decoded.schema["doc_id"].dataType.simpleString()
-    hashed = decoded.mapInArrow(run, f"doc_id {doc_id}, ids_sha256 string, ids array<int>, text string")
-    return hashed.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids_sha256",
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    doc_id = words.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {doc_id}, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    coded = words.mapInArrow(run, schema)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_sha256", "decoded_sha256")

@@ -96,9 +96,13 @@ def find_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``dropped``; all columns stay. A null doc_id matches a null."""
+    """The rows of ``docs`` whose doc_id is not in ``dropped``, with all their columns.
+
+    Rows are addressed by doc_id, so rows that repeat one go or stay together, and those without
+    one stay.
+    """
     gone = dropped.select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = packed(docs).join(apart(gone), field("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    kept = packed(docs).join(apart(gone), field("doc_id") == F.col("gone_id"), "left_anti")
     return kept.select("row.*")
 
 

@@ -95,9 +95,8 @@ def op8_language(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, directory: str) -> DataFrame:
-    vocabulary = bpe.Vocabulary(vocabulary_path())
     docs = _table(spark, directory, "documents")
-    return bpe.with_digest(bpe.decode(bpe.encode(docs, vocabulary), vocabulary))
+    return bpe.round_trip(docs, bpe.Vocabulary(vocabulary_path())).drop("ids")
 
 
 HARD_TEXT = "\\### Assistant: </turn> ok"

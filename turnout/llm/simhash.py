@@ -17,84 +17,99 @@ from turnout.llm.graph import components, forest
 WORDS = 3
 SEED = 42
 RADIUS = 3
-# A link of at most RADIUS bits leaves at least two of five parts of the fingerprint untouched, so
-# the ten pairs of parts are keys that miss no link.
+# A link of at most three bits leaves at least two of five parts of a 64-bit fingerprint untouched,
+# so the ten pairs of parts are keys that miss no link.
 PARTS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 # A bucket of more fingerprints is compared as pairs of blocks of about this many.
 BLOCK = 4096
 # Bit planes between two looks at which blocks can be abandoned, and work items handled at once.
 PLANES_A_LOOK = 8
-ITEMS = 1 << 16
+ITEMS = 1 << 15
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def simhash(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """The fingerprint of a UTF-8 text; 0 for a text without words."""
+def shingle_digests(text: bytes, words: int, digest) -> list:
+    """Digests of all shingles of a UTF-8 text, repeats included; of all its words if they are fewer."""
     tokens = text.lower().split()  # on bytes both concern ASCII only
     if not tokens:
-        return 0
-    n = max(1, len(tokens) - words + 1)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(join(tokens[i : i + words]), seed) for i in range(n)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for start in range(0, n, ITEMS):
-        octets = hashes[start : start + ITEMS].astype("<u8").view(np.uint8).reshape(-1, 8)
+        return []
+    join = b" ".join
+    return [digest(join(tokens[i : i + words])) for i in range(max(1, len(tokens) - words + 1))]
+
+
+def simhash(text: bytes, words: int = WORDS, seed: int = SEED, n_words: int = 1) -> np.ndarray:
+    """The fingerprint of a UTF-8 text as ``n_words`` words of 64 bits; all 0 for a text without words.
+
+    One word takes XXH64 of the shingles, two take the 128-bit XXH3.
+    """
+    if n_words == 1:
+        hashes = np.array(shingle_digests(text, words, lambda b: xxhash.xxh64_intdigest(b, seed)), "<u8")
+    else:
+        digests = shingle_digests(text, words, lambda b: xxhash.xxh3_128_digest(b, seed))
+        hashes = np.frombuffer(b"".join(digests), "<u8")
+    hashes = hashes.reshape(-1, n_words)
+    ones = np.zeros(64 * n_words, np.int64)
+    for start in range(0, len(hashes), ITEMS):
+        octets = hashes[start : start + ITEMS].view(np.uint8)
         ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text, its 64 bits in a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, n_words: int = 1) -> DataFrame:
+    """(doc_id, fp0, ...): the fingerprint of every whole text, its bits in signed longs."""
+    names = [f"fp{k}" for k in range(n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [simhash(t.as_py().encode(), words, seed) for t in batch.column(1)]
-            bits = np.array(values, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["doc_id", "fp"])
+            values = [simhash(t.as_py().encode(), words, seed, n_words) for t in batch.column(1)]
+            bits = np.array(values, np.uint64).reshape(-1, n_words).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(n_words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
     texts = packed(docs).select(field("doc_id").alias("doc_id"), text_or_empty().alias("text"))
     doc_id = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {doc_id}, fp bigint")
+    return texts.mapInArrow(run, f"doc_id {doc_id}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def distances_within(
-    planes: np.ndarray, valid: np.ndarray, words: np.ndarray, queries: np.ndarray
+    planes: np.ndarray, valid: np.ndarray, words: np.ndarray, queries: np.ndarray, radius: int = RADIUS
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(item, mask): which members of block ``words[item]`` are within RADIUS 3 of ``queries[item]``.
+    """(item, mask): which members of block ``words[item]`` are within ``radius`` of ``queries[item]``.
 
-    ``planes[b, w]`` holds bit ``b`` of the 64 members of block ``w``. The differing bits of 64
-    members at once are added up in carry-save counters: ones, twos, and a third that stays set from
-    four on. Items whose members have all passed the radius are abandoned.
+    ``planes[b, w]`` holds bit ``b`` of the 64 members of block ``w``; a query is a row of words of
+    64 bits. The differing bits of 64 members at once are added up in carry-save counters, one plane
+    per binary digit. They start so high that they overflow at ``radius + 1``, and an overflow stays
+    set. Items whose members have all passed the radius are abandoned.
     """
     items = np.arange(len(words))
-    ones = np.zeros(len(words), np.uint64)
-    twos = np.zeros_like(ones)
+    digits = radius.bit_length()
+    start = (1 << digits) - radius - 1
+    counters = [np.full(len(words), ALL if start >> d & 1 else 0, np.uint64) for d in range(digits)]
     over = ~valid[words]
-    for bit in range(64):
-        query_bit = (queries >> np.uint64(bit)) & np.uint64(1)
-        differs = planes[bit][words] ^ (np.uint64(0) - query_bit)
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & carry
-        twos ^= carry
-        if bit % PLANES_A_LOOK == PLANES_A_LOOK - 1:
+    for bit in range(len(planes)):
+        query_bit = (queries[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)
+        carry = planes[bit][words] ^ (np.uint64(0) - query_bit)
+        for d in range(digits):
+            counters[d], carry = counters[d] ^ carry, counters[d] & carry
+        over |= carry
+        if bit >= radius and bit % PLANES_A_LOOK == PLANES_A_LOOK - 1:
             alive = over != ALL
             if not alive.all():
-                items, words, queries = items[alive], words[alive], queries[alive]
-                ones, twos, over = ones[alive], twos[alive], over[alive]
+                items, words, queries, over = items[alive], words[alive], queries[alive], over[alive]
+                counters = [c[alive] for c in counters]
                 if not len(items):
                     break
     return items, ~over
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes of blocks of 64 fingerprints: shape (64, blocks)."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    by_block = bits.reshape(-1, 64, 64).transpose(2, 0, 1)  # bit, block, member
+    """Bit planes of blocks of 64 fingerprints: shape (bits, blocks)."""
+    bits = np.unpackbits(fps.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    by_block = bits.reshape(-1, 64, bits.shape[1]).transpose(2, 0, 1)  # bit, block, member
     return np.packbits(np.ascontiguousarray(by_block), axis=2, bitorder="little").view("<u8")[:, :, 0]
 
 
-def _links_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, ids: np.ndarray):
+def _links_of_groups(group: np.ndarray, side: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int):
     """Links among rows of the same group; rows must be sorted by group.
 
     ``side`` is 0 in a bucket that is compared with itself. In a pair of blocks it is 1 or 2, and
@@ -111,7 +126,7 @@ def _links_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, ids:
     rank = np.cumsum(member) - 1
     rank = rank - (np.cumsum(members) - members)[of_group]
     slot = (first_block[of_group] * 64 + rank)[member]
-    padded = np.zeros(int(blocks.sum()) * 64, np.uint64)
+    padded = np.zeros((int(blocks.sum()) * 64, fps.shape[1]), np.uint64)
     padded[slot] = fps[member]
     owner = np.full(len(padded), -1)
     owner[slot] = np.flatnonzero(member)
@@ -130,7 +145,7 @@ def _links_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, ids:
         rows = np.repeat(asks[at:to], repeat)
         within = np.arange(len(rows)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
         words = first_block[of_group[rows]] + within
-        items, masks = distances_within(planes, valid, words, fps[rows])
+        items, masks = distances_within(planes, valid, words, fps[rows], radius)
         hits = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         i, m = np.nonzero(hits)
         left, right = rows[items[i]], owner[words[items[i]] * 64 + m]
@@ -147,42 +162,65 @@ def _links_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, ids:
     return ids[nodes], ids[roots]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of rows (bucket, side, fp, node) sorted by bucket; the last bucket waits for the next batch."""
-    kept = None
-    for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        rows = new if kept is None else [np.concatenate(pair) for pair in zip(kept, new)]
-        last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-        kept = [r[last:] for r in rows]
-        if last:
-            u, v = _links_of_groups(rows[0][:last], rows[1][:last], rows[2][:last].view(np.uint64), rows[3][:last])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-    if kept is not None and len(kept[0]):
-        u, v = _links_of_groups(kept[0], kept[1], kept[2].view(np.uint64), kept[3])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+def _comparer(n_words: int, radius: int):
+    """Links of rows (bucket, side, node, fp0, ...) sorted by bucket; the last bucket waits for the next batch."""
+
+    def links(rows: list[np.ndarray], stop: int) -> pa.RecordBatch:
+        fps = np.stack([r[:stop] for r in rows[3:]], axis=1).view(np.uint64)
+        u, v = _links_of_groups(rows[0][:stop], rows[1][:stop], rows[2][:stop], fps, radius)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        waiting: list = []
+        held = 0
+        for batch in batches:
+            waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + n_words)])
+            held += batch.num_rows
+            if held < ITEMS:
+                continue
+            kept = [np.concatenate(c) for c in zip(*([kept] if kept else []), *waiting)]
+            waiting, held = [], 0
+            last = int(np.searchsorted(kept[0], kept[0][-1]))
+            if last:
+                yield links(kept, last)
+                kept = [r[last:] for r in kept]
+        parts = ([kept] if kept else []) + waiting
+        if parts:
+            kept = [np.concatenate(c) for c in zip(*parts)]
+            if len(kept[0]):
+                yield links(kept, len(kept[0]))
 
+    return run
 
-def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) that connect all fingerprints (fp, node) within RADIUS bits; fingerprints are distinct.
 
-    A fingerprint goes to one bucket for each pair of its five parts. Buckets that are counted as
+def exact_masks() -> list[tuple[int, ...]]:
+    """Bits that form a key: every pair of parts, for links of at most three of 64 bits."""
+    bits = [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in PARTS]
+    return [(a | b,) for a, b in combinations(bits, 2)]
+
+
+def near_links(
+    prints: DataFrame, masks: list[tuple[int, ...]], radius: int = RADIUS, block: int = BLOCK
+) -> DataFrame:
+    """Links (u, v) that connect the fingerprints (node, fp0, ...) within ``radius`` bits that share a key.
+
+    A fingerprint goes to one bucket per mask, by the bits under it. Buckets that are counted as
     larger than ``block`` are dealt out as pairs of blocks, which together compare everything.
     """
-    keys = []
-    for k, (a, b) in enumerate(combinations(PARTS, 2)):
-        pieces = [
-            F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1)) for low, high in (a, b)
-        ]
-        keys.append(F.shiftleft(pieces[0], 13) + pieces[1] + F.lit(k << 26))
-    rows = prints.select("fp", "node", F.explode(F.array(*keys)).alias("bucket"))
+    fps = [f"fp{k}" for k in range(len(masks[0]))]
+    keys = [
+        F.xxhash64(F.lit(t), *[F.col(fp).bitwiseAND(F.lit(_signed(m))) for fp, m in zip(fps, mask)])
+        for t, mask in enumerate(masks)
+    ]
+    rows = prints.select("node", *fps, F.explode(F.array(*keys)).alias("bucket"))
     large = (
         rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
         .select(F.col("bucket").alias("large"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    )
+    )
     joined = rows.join(apart(large), F.col("bucket") == F.col("large"), "left")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
-    # Block i meets blocks 0 to i as the looked-up side, and i + 1 and on as the members' side.
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    # Of two blocks, the rows of the later one are looked up among those of the earlier one.
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(
@@ -190,13 +228,20 @@ def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
             F.when(j == own, 0).when(j < own, 2).otherwise(1).alias("side"),
         ),
     )
-    # Buckets without a number of blocks keep their key, which is below 2^30; hashes above it stay apart.
     alone = F.array(F.struct("bucket", F.lit(0).alias("side")))
     dealt = joined.select(
-        F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)).alias("b"), "fp", "node"
-    ).select("b.bucket", "b.side", "fp", "node")
+        F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)).alias("b"), "node", *fps
+    ).select("b.bucket", "b.side", "node", *fps)
     node = dealt.schema["node"].dataType.simpleString()
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare, f"u {node}, v {node}")
+    return (
+        dealt.repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_comparer(len(fps), radius), f"u {node}, v {node}")
+    )
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -209,17 +254,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> Da
     fingerprint's class, or null if no other row is in it. Further columns are ignored.
     """
     table = stored(fingerprints(docs, words, seed), "fingerprints")
-    prints = table.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    links = near_links(prints.where("node is not null").select("fp", "node"))
-    classes = components(links)
+    prints = table.groupBy("fp0").agg(F.min("doc_id").alias("node"))
+    classes = components(near_links(prints.where("node is not null"), exact_masks()))
     of_print = (
-        prints.select("fp", "node")
-        .join(classes.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-        .select(F.col("fp").alias("print"), F.coalesce("component", "node").alias("component_id"))
+        prints.join(classes.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+        .select(F.col("fp0").alias("print"), F.coalesce("component", "node").alias("component_id"))
     )
-    return table.join(apart(of_print), F.col("fp") == F.col("print")).select(
+    return table.join(apart(of_print), F.col("fp0") == F.col("print")).select(
         "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"),
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )

@@ -246,3 +246,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows whose text is predicted toxic. Rows stay where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
+        for batch in batches:
+            x = [features(t.as_py() or "", model.lexicon, memo) for t in batch.column("text")]
+            p = model.trees.probability(np.array(x, float).reshape(-1, len(FEATURES)))
+            yield batch.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
