@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -194,6 +196,32 @@ def _comparer(n_words: int, radius: int):
     return run
 
 
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (bucket, node, ...) with a ``side``: crowded buckets become pairs of blocks of rows.
+
+    Pairs of blocks together compare every two rows of a bucket. Side 0 is compared with itself; of
+    two blocks, side 2 is looked up among side 1.
+    """
+    large = (
+        rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
+        .select(F.col("bucket").alias("large"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    )
+    joined = rows.join(apart(large), F.col("bucket") == F.col("large"), "left")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(
+            F.xxhash64(F.col("bucket"), F.greatest(own, j), F.least(own, j)).alias("bucket"),
+            F.when(j == own, 0).when(j < own, 2).otherwise(1).alias("side"),
+        ),
+    )
+    alone = F.array(F.struct("bucket", F.lit(0).alias("side")))
+    others = [c for c in rows.columns if c != "bucket"]
+    return joined.select(
+        F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)).alias("b"), *others
+    ).select("b.bucket", "b.side", *others)
+
+
 def exact_masks() -> list[tuple[int, ...]]:
     """Bits that form a key: every pair of parts, for links of at most three of 64 bits."""
     bits = [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in PARTS]
@@ -214,24 +242,7 @@ def near_links(
         for t, mask in enumerate(masks)
     ]
     rows = prints.select("node", *fps, F.explode(F.array(*keys)).alias("bucket"))
-    large = (
-        rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
-        .select(F.col("bucket").alias("large"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    )
-    joined = rows.join(apart(large), F.col("bucket") == F.col("large"), "left")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    # Of two blocks, the rows of the later one are looked up among those of the earlier one.
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct(
-            F.xxhash64(F.col("bucket"), F.greatest(own, j), F.least(own, j)).alias("bucket"),
-            F.when(j == own, 0).when(j < own, 2).otherwise(1).alias("side"),
-        ),
-    )
-    alone = F.array(F.struct("bucket", F.lit(0).alias("side")))
-    dealt = joined.select(
-        F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)).alias("b"), "node", *fps
-    ).select("b.bucket", "b.side", "node", *fps)
+    dealt = _in_blocks(rows, block).select("bucket", "side", "node", *fps)
     node = dealt.schema["node"].dataType.simpleString()
     return (
         dealt.repartition("bucket")
@@ -266,3 +277,135 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> Da
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+# Similar documents: shingles, least similarity, and how the search for them is set up.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+CANDIDATE_RECALL = 0.99
+PRINTS_A_BUCKET = 64
+CLUSTER_BLOCK = 512
+
+
+def expected_share(similarity: float) -> float:
+    """The share of bits in which fingerprints of texts of a similarity differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_masks(n_prints: int, similarity: float, bits: int, recall: float) -> list[tuple[int, ...]]:
+    """Masks of random bits; texts of the similarity share the bits of one of them with chance ``recall``.
+
+    Masks are longer for larger tables, so that buckets keep their size, and then there are more.
+    """
+    length = max(6, round(math.log2(max(2, n_prints) / PRINTS_A_BUCKET)))
+    chance = (1 - expected_share(similarity)) ** length
+    n_masks = math.ceil(math.log(1 - recall) / math.log(1 - chance))
+    rng = random.Random(17)
+    chosen = [sum(1 << b for b in rng.sample(range(bits), length)) for _ in range(n_masks)]
+    return [tuple(m >> 64 * k & (1 << 64) - 1 for k in range(bits // 64)) for m in chosen]
+
+
+def _verifier(similarity: float, radius: int):
+    """Links of rows (bucket, side, node, fp0, fp1, shingles) sorted by bucket, exact and as a forest."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple]:
+        side = np.array([r[1] for r in rows])
+        fps = np.array([r[3:5] for r in rows], np.int64).view(np.uint64)
+        sizes = np.array([len(r[5]) for r in rows])
+        root = np.arange(len(rows))
+        for a in np.flatnonzero(side != 1):
+            others = np.arange(a) if side[a] == 0 else np.flatnonzero(side == 1)
+            bits = np.bitwise_count(fps[others] ^ fps[a]).sum(axis=1)
+            near = (bits <= radius) & (np.minimum(sizes[others], sizes[a]) >= similarity * np.maximum(sizes[others], sizes[a]))
+            own = rows[a][5]
+            for b in others[near]:
+                if root[a] == root[b]:  # already connected
+                    continue
+                other = rows[b][5]
+                if len(own):
+                    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    common = int((own[at] == other).sum())
+                else:
+                    common = 0
+                union = len(own) + len(other) - common
+                if common >= similarity * union:  # two empty texts are equal
+                    root[root == root[b]] = root[a]
+        for a in np.flatnonzero(root != np.arange(len(rows))):
+            yield rows[a][2], rows[root[a]][2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+
+        def found() -> pa.RecordBatch:
+            pairs = list(links(waiting)) if len(waiting) > 1 else []
+            waiting.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"]
+            )
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            lists = batch.column(5)
+            for k, row in enumerate(zip(*columns)):
+                if waiting and waiting[0][0] != row[0]:
+                    yield found()
+                waiting.append((*row, lists[k].values.to_numpy()))
+        if waiting:
+            yield found()
+
+    return run
+
+
+def similar_documents(
+    docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, seed: int = SEED
+) -> DataFrame:
+    """(doc_id, component_id) of every document that is similar to another one.
+
+    Documents are linked if the Jaccard similarity of their sets of shingles is at least
+    ``similarity``. Candidates come from fingerprints of 128 bits, compared bit-sliced within the
+    buckets of sampled masks; the shingles of candidates then decide. Links are emitted as forests,
+    and pairs that are already connected are not compared again. doc_ids are integers; rows without
+    one are left out. Null and empty texts are similar to each other only.
+    """
+    table = stored(fingerprints(docs, words, seed, 2).where("doc_id is not null"), "fingerprints")
+    prints = stored(
+        table.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "prints"
+    )
+    share = expected_share(similarity)
+    radius = round(128 * share + 3 * math.sqrt(128 * share * (1 - share)))
+    masks = sampled_masks(prints.count(), similarity, 128, CANDIDATE_RECALL)
+    classes = components(near_links(prints.select("node", "fp0", "fp1"), masks, radius))
+    clusters = (
+        prints.join(classes.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+        .where("component is not null or n > 1")
+        .select(F.col("fp0").alias("p0"), F.col("fp1").alias("p1"), F.coalesce("component", "node").alias("bucket"))
+    )
+    members = table.join(apart(clusters), (F.col("fp0") == F.col("p0")) & (F.col("fp1") == F.col("p1"))).select(
+        F.col("doc_id").alias("node"), "fp0", "fp1", "bucket"
+    )
+    texts = packed(docs).select(field("doc_id").alias("doc_id"), text_or_empty().alias("text"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column(4):
+                digests = shingle_digests(text.as_py().encode(), words, lambda b: xxhash.xxh64_intdigest(b, seed))
+                sets.append(np.unique(np.array(digests, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(sets, pa.list_(pa.int64()))],
+                names=["bucket", "node", "fp0", "fp1", "shingles"],
+            )
+
+    candidates = stored(
+        texts.join(apart(members), F.col("doc_id") == F.col("node"))
+        .select("bucket", F.col("node").cast("long"), "fp0", "fp1", "text")
+        .mapInArrow(shingled, "bucket bigint, node bigint, fp0 bigint, fp1 bigint, shingles array<bigint>"),
+        "candidates",
+    )
+    verified = (
+        _in_blocks(candidates, CLUSTER_BLOCK)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .select("bucket", "side", "node", "fp0", "fp1", "shingles")
+        .mapInArrow(_verifier(similarity, radius), "u bigint, v bigint")
+    )
+    return components(verified).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
