@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm.common import SPACE, apart, field, packed, stored, text_or_empty
 
-# A chunk ends at the first of these letter pairs after CHUNK_MIN characters, or else after
-# CHUNK_MAX. Only the characters around a cut decide it, so equal passages are cut alike wherever
-# they stand in a text.
-CHUNK_MIN, CHUNK_MAX = 512, 4096
-CUT = r"(?<=[bgkmpvwyz0-4.][a-hß-ï5-9])"
-CHUNK = rf"(?s).{{{CHUNK_MIN},{CHUNK_MAX}}}?{CUT}|.{{1,{CHUNK_MAX}}}"
+# A text is cut into atoms at the characters of one class, and atoms are joined to chunks that end
+# where the hash of an atom says so, one time in ATOMS_A_CHUNK. An atom alone decides about its end,
+# so equal passages are cut alike wherever they stand in a text. Atoms have some 13 characters in
+# languages of Latin letters, chunks some 800.
+ATOM_CHARS, ATOMS_A_CHUNK = 64, 64
+# Every 16th character below 256, and frequent ones of other scripts; few, as each is a test per character.
+ATOM_END = "".join(rf"\x{code:02x}" for code in range(0x22, 0x100, 16)) + r"\u043e\u03b1\u0627\u093e\u4e00-\u513f"
+ATOM = rf"(?s)[^{ATOM_END}]{{0,{ATOM_CHARS - 1}}}[{ATOM_END}]|.{{1,{ATOM_CHARS}}}"
 
 
 def recipes(docs: DataFrame) -> DataFrame:
@@ -28,13 +30,34 @@ def recipes(docs: DataFrame) -> DataFrame:
         F.length("text").cast("long").alias("n_points"),
         F.regexp_replace("text", SPACE, "").alias("normal"),
     )
-    chunk = F.regexp_extract_all("normal", F.lit(CHUNK), F.lit(0))
-    return normal.select(
+    atoms = normal.select(
         "doc_id",
         "n_points",
         F.sha2("normal", 256).alias("text_sha256"),
+        F.regexp_extract_all("normal", F.lit(ATOM), F.lit(0)).alias("atoms"),
+    )
+    n_atoms = F.size("atoms")
+
+    def is_end(i: Column) -> Column:
+        return (i == n_atoms) | (F.pmod(F.xxhash64(F.element_at("atoms", i)), F.lit(ATOMS_A_CHUNK)) == 0)
+
+    ends = atoms.select(
+        "*",
+        F.when(n_atoms > 0, F.filter(F.sequence(F.lit(1), n_atoms), is_end))
+        .otherwise(F.array().cast("array<int>"))
+        .alias("ends"),
+    )
+
+    def chunk(end: Column, k: Column) -> Column:
+        before = F.when(k == 0, 0).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))))
+        return F.array_join(F.slice("atoms", before + 1, end - before), "")
+
+    return ends.select("doc_id", "n_points", "text_sha256", F.transform("ends", chunk).alias("chunks")).select(
+        "doc_id",
+        "n_points",
+        "text_sha256",
         F.transform(
-            chunk,
+            "chunks",
             lambda c: F.struct(
                 F.unhex(F.sha2(c, 256)).alias("id"),
                 F.xxhash64(c).alias("check"),
