@@ -1,0 +1,87 @@
+"""Toxicity and language: held-out accuracy, awkward texts, and the numpy parts."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+
+from tests.conftest import DATA
+from tests.llm.tables import documents
+from turnout.llm import boosting, language_id, toxicity
+
+SF = f"{DATA}/sf0.01"
+ODD = [(1, None), (2, ""), (3, " \n"), (4, "12 34 !!"), (5, "the " * 60000), (5, "the"), (None, "you"), (6, "²³ ¼")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_toxicity_on_held_out_documents(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    scores = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [d for d in truth if scores[d].held_out]
+    assert all(s.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, s in scores.items())
+    assert np.mean([scores[d].predicted == truth[d] for d in held]) >= 0.95
+    assert sum(scores[d].predicted and not truth[d] for d in held) == 0
+    odd = toxicity.score(documents(spark, ODD, clashing=True), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == 0 for r in odd)
+    plain = "We meet on the hill and walk to the river . "
+    rude = documents(spark, [(1, plain * 4), (2, plain + "you idiot , you 1d!ot moron scum worthless loser " * 3)])
+    assert [r.predicted for r in toxicity.score(rude, model).orderBy("doc_id").collect()] == [0, 1]
+    assert [r.doc_id for r in toxicity.reject_toxic(rude, model).collect()] == [1]
+    assert toxicity.score(rude.limit(0), model).count() == 0
+
+
+def test_toxicity_without_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs.limit(5), none)
+    assert {r.score for r in toxicity.score(documents(spark, ODD), model).collect()} == {0.5}
+
+
+def test_words_in_disguise_are_read():
+    assert toxicity.plain("1D10T!!") == "idiot" and toxicity.plain("m.o.r.o.n") == "moron" and toxicity.plain("2024") == ""
+
+
+def test_trees_and_isotonic_levels():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 4))
+    y = ((x[:, 0] > 0.3) & (x[:, 2] < 0.5)).astype(int)
+    fold = np.arange(1500) % 3 == 0
+    model = boosting.fit(x, y, fold)
+    fresh = rng.normal(size=(1000, 4))
+    truth = (fresh[:, 0] > 0.3) & (fresh[:, 2] < 0.5)
+    p = model.probability(fresh)
+    assert ((p >= 0.5) == truth).mean() > 0.97 and p.min() >= 0 and p.max() <= 1
+    steps, levels = boosting.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0, 1, 0, 1, 1]))
+    assert (np.diff(levels) >= 0).all() and np.interp([1, 2.5, 5], steps, levels).tolist() == [0, 0.5, 1]
+    empty = boosting.fit(np.zeros((0, 4)), np.zeros(0, int), np.zeros(0, bool))
+    assert empty.probability(fresh[:2]).tolist() == [0.5, 0.5] or abs(empty.probability(fresh[:2]) - 0.5).max() < 1e-9
+
+
+def test_language_on_held_out_documents(spark, docs):
+    model = language_id.fit(docs)
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    held = [r for r in language_id.predict(docs, model).collect() if r.held_out]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) >= 0.97
+    odd = language_id.predict(documents(spark, ODD, clashing=True), model).collect()
+    assert len(odd) == len(ODD)
+    assert sorted(r.doc_id for r in odd if r.lang_pred == "und") == [1, 2, 3, 4, 6]
+    assert {r.score for r in odd if r.lang_pred == "und"} == {0.0}
+    assert all(r.lang_pred in model.languages and 0 < r.score <= 1 for r in odd if r.lang_pred != "und")
+    # Long texts are averaged piece by piece, which is the same as at once.
+    text = "the thing of and er " * 3000
+    assert model.judge(text)[0] == model.judge(text[:500])[0]
+    unknown = documents(spark, [(1, "текст на другом языке"), (2, "日本語の文章です")])
+    assert language_id.predict(unknown, model).where("rejected").count() >= 1
+    assert language_id.predict(unknown.limit(0), model).count() == 0
+
+
+def test_language_without_labels(spark):
+    model = language_id.train([], [], np.zeros(0, bool))
+    assert model.judge("text") == ("und", 0.0, True)
