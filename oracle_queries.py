@@ -279,13 +279,12 @@ def q07(years=None):
     )
 
 
-def q08(years=None, cap=20, drawn=False):
-    last, inside = (cap - 1, f"n_comps <= {cap}") if drawn else (cap, "true")
+def q08(years=None, cap=10**9):
     return _model(
         f"""SELECT y.year, b.bin AS n_comps, count(s.bin) AS n_persons, round(y.median_n, 6) AS median_n
-        FROM (SELECT year, median(n_comps) AS median_n, max(n_comps) AS top FROM starts GROUP BY year) y
-             JOIN range(1, {last + 1}) b(bin) ON b.bin <= y.top
-             LEFT JOIN (SELECT year, least(n_comps, {last}) AS bin FROM starts WHERE {inside}) s
+        FROM (SELECT year, median(n_comps) AS median_n, least(max(n_comps), {cap}) AS top FROM starts GROUP BY year) y
+             JOIN range(1, (SELECT max(n_comps) FROM starts) + 1) b(bin) ON b.bin <= y.top
+             LEFT JOIN (SELECT year, least(n_comps, {cap}) AS bin FROM starts) s
              ON s.year = y.year AND s.bin = b.bin
         GROUP BY y.year, b.bin, y.median_n""",
         STARTS,
@@ -334,8 +333,13 @@ def q13(years=None):
         f"ret_{key}, floor((2000 * ret_{key} + newcomers) // (2 * newcomers)) / 10.0 AS pct_{key}"
         for key in windows
     )
+    last = "(SELECT max(date) FROM att)"
+    flags = ", ".join(
+        f"CAST(last_day(make_date(year, 3 * quarter, 1)) AS DATE) + {days} <= {last} AS complete_{key}"
+        for key, days in windows.items()
+    )
     return _model(
-        f"""SELECT year, quarter, {LABEL}, newcomers, {shown} FROM
+        f"""SELECT year, quarter, {LABEL}, newcomers, {shown}, {flags} FROM
         (SELECT debut_year AS year, debut_quarter AS quarter, count(DISTINCT person_id) AS newcomers, {counts}
          FROM followup GROUP BY debut_year, debut_quarter)""",
         DEBUTS,
@@ -343,16 +347,14 @@ def q13(years=None):
     )
 
 
-def q15(years=None, cap=25, drawn=False):
-    last, inside = (cap - 1, f"returns <= {cap}") if drawn else (cap, "true")
+def q15(years=None, cap=10**9):
     return _model(
         f"""SELECT b.bin AS returns, count(r.bin) AS n_persons, n_never, n_total,
                round(n_never / n_total * 100, 6) AS pct_never
-        FROM (SELECT count(*) FILTER (returns = 0) AS n_never, count(*) AS n_total, max(returns) AS top
-              FROM returns_of) t
-             JOIN range(0, {last + 1}) b(bin) ON b.bin <= t.top
-             LEFT JOIN (SELECT least(returns, {last}) AS bin FROM returns_of WHERE {inside}) r
-             ON r.bin = b.bin
+        FROM (SELECT count(*) FILTER (returns = 0) AS n_never, count(*) AS n_total,
+                     least(max(returns), {cap}) AS top FROM returns_of) t
+             JOIN range(0, (SELECT max(returns) FROM returns_of) + 1) b(bin) ON b.bin <= t.top
+             LEFT JOIN (SELECT least(returns, {cap}) AS bin FROM returns_of) r ON r.bin = b.bin
         GROUP BY b.bin, n_never, n_total""",
         DEBUTS,
         RETURNS,
@@ -506,7 +508,8 @@ def q28():
 
 def q29():
     return _with(
-        """SELECT region, n, round(lat, 6) AS lat, round(lon, 6) AS lon
+        """SELECT CAST(row_number() OVER (ORDER BY n DESC, region) AS INTEGER) AS rank, region, n,
+               round(lat, 6) AS lat, round(lon, 6) AS lon
         FROM (SELECT region, count(DISTINCT person_id) AS n FROM own
               WHERE person_id IN (SELECT person_id FROM spread WHERE is_local) GROUP BY region)
              JOIN (SELECT region, avg(lat) AS lat, avg(lon) AS lon FROM ev JOIN regions USING (competition_id)
@@ -602,11 +605,10 @@ def all_oracles() -> dict[str, str]:
         "q20_city_bubbles_last1": q20(1),
         "q21_by_calendar_month_last5": q21(5),
         "q22_by_event_last5": q22(5),
-        "q08_starts_histogram_drawn_range": q08(drawn=True),
         "q08_starts_histogram_cap3": q08(cap=3),
-        "q08_starts_histogram_cap3_drawn_range": q08(cap=3, drawn=True),
-        "q15_return_distribution_drawn_range": q15(drawn=True),
-        "q15_return_distribution_cap4_drawn_range": q15(cap=4, drawn=True),
+        "q15_return_distribution_cap4": q15(cap=4),
+        "q25_regions_fine_boxes": q25(),
+        "q26_person_spread_fine_boxes": q26(),
         "table_competitions": _with("SELECT * FROM competitions"),
         "table_results": _with("SELECT * FROM results"),
         "table_persons": _with("SELECT * FROM persons"),

@@ -180,9 +180,9 @@ def starts_model(spark, numbers):
 def test_starts_beyond_the_cap(spark):
     m = starts_model(spark, [19, 20, 21])
     full = {b: n for _, b, n, _ in rows(activity.starts_histogram(m))}
-    assert len(full) == 20 and full[19] == 1 and full[20] == 2 and sum(full.values()) == 3
-    drawn = {b: n for _, b, n, _ in rows(activity.starts_histogram(m, range_mode="drawn"))}
-    assert len(drawn) == 19 and drawn[19] == 2 and sum(drawn.values()) == 2
+    assert len(full) == 21 and full[19] == full[20] == full[21] == 1 and sum(full.values()) == 3
+    capped = {b: n for _, b, n, _ in rows(activity.starts_histogram(m, cap=20))}
+    assert len(capped) == 20 and capped[19] == 1 and capped[20] == 2
     assert rows(activity.starts_histogram(m).select("median_n").distinct()) == [(20.0,)]
 
 
@@ -192,11 +192,6 @@ def test_histogram_bins_end_at_the_largest_value(spark):
     ]
 
 
-def test_unknown_range_mode(spark):
-    with pytest.raises(ValueError):
-        activity.starts_histogram(starts_model(spark, [1]), range_mode="other")
-
-
 def test_activity_trend_percentiles(spark):
     m = starts_model(spark, [1, 2, 3, 10])
     assert rows(activity.activity_trend(m)) == [(2020, 4.0, 2.5, 4.75)]

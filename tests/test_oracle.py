@@ -9,11 +9,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from oracle_queries import all_oracles
 from tests.conftest import DATA
+from turnout.plans.catalogue import all_queries
 
 SF = f"{DATA}/sf0.01"
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 SQL_TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE",
     "boolean": "BOOLEAN",
@@ -36,6 +38,7 @@ def _sorted(records, columns):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import glob
 import os
 
 import pytest
 
 from tests.tiny import HOME, competition, rows, sources
 from turnout import build_attendance, last_years, read_delimited, read_tables
+from turnout.operators.returning import returning_newcomers
 from turnout.plans import bundle, newcomers
 from turnout.sources.store import read_model, write_model
 from turnout.sources.tables import COMPETITIONS, RESULTS, conform, sources_from
@@ -16,11 +18,11 @@ from turnout.sources.tables import COMPETITIONS, RESULTS, conform, sources_from
 COMPETITION_LINES = [
     # Columns out of order, one unknown to the library.
     "cancelled\tid\tname\tcity_name\tcountry_id\tyear\tmonth\tday\tevent_specs\tlatitude_microdegrees"
-    "\tlongitude_microdegrees\tinformation\tcell_name",
-    '0\tA1\t"Open ""Big"" 2020"\tNA\tHome\t2020\t1\t5\t333 222\t50000000\t20000000\tx\t"Big, Cell"',
-    '0\tA2\tOpen 2021\tŁódź\tHome\t2021\t3\t6\t""\tNULL\tNULL\ty\tNULL',
-    "1\tA3\tGone\tTown\tHome\t2021\t4\t6\t333\t50000000\t20000000\t\tCell",
-    "0\t\tNo key\tTown\tHome\t2021\t4\t6\t333\t50000000\t20000000\t\tCell",
+    "\tlongitude_microdegrees\tinformation\tcell_name\tend_date",
+    '0\tA1\t"Open ""Big"" 2020"\tNA\tHome\t2020\t1\t5\t333 222\t50000000\t20000000\tx\t"Big, Cell"\t2020-01-06',
+    '0\tA2\tOpen 2021\tŁódź\tHome\t2021\t3\t6\t""\tNULL\tNULL\ty\tNULL\tNULL',
+    "1\tA3\tGone\tTown\tHome\t2021\t4\t6\t333\t50000000\t20000000\t\tCell\t2021-04-06",
+    "0\t\tNo key\tTown\tHome\t2021\t4\t6\t333\t50000000\t20000000\t\tCell\t2021-04-06",
 ]
 RESULT_LINES = [
     "person_id\tcompetition_id\tvalue1\tperson_country_id",
@@ -137,3 +139,44 @@ def test_stored_model_is_pruned_by_year(spark, folder):
     assert rows(recent, *columns) == rows(last_years(m, 1).attendance)
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "Subquery" in plan
+
+
+@pytest.mark.parametrize("column", ["country_id", "year", "month", "day", "cancelled"])
+def test_required_columns_of_competitions(spark, column):
+    raw = sources(spark, [competition("a", "2020-01-01")], [])
+    with pytest.raises(ValueError, match=column):
+        sources_from(raw.competitions.drop(column), raw.results, raw.persons)
+
+
+@pytest.mark.parametrize("column", ["sub_id", "country_id"])
+def test_required_columns_of_persons(spark, column):
+    raw = sources(spark, [competition("a", "2020-01-01")], [])
+    with pytest.raises(ValueError, match=column):
+        sources_from(raw.competitions, raw.results, raw.persons.drop(column))
+
+
+def test_start_date_follows_from_its_parts_and_end_date_is_asked_for(spark):
+    raw = sources(spark, [competition("a", "2020-02-03")], [("a", "p")])
+    derived = sources_from(raw.competitions.drop("start_date", "end_date"), raw.results, raw.persons)
+    assert str(derived.competitions.first().start_date) == "2020-02-03"
+    with pytest.raises(ValueError, match="end_date"):
+        returning_newcomers(derived.competitions, derived.results, 2020, HOME)
+
+
+def test_files_with_another_order_of_columns_are_refused(spark, folder):
+    for name, text in (("1.tsv", "id\tyear\n" + "a\t2020\n" * 3), ("2.tsv", "year\tid\n2021\tb\n")):
+        with open(f"{folder}/{name}", "w") as file:
+            file.write(text)
+    with pytest.raises(Exception, match="(?i)header"):
+        read_delimited(spark, folder).collect()
+
+
+def test_stored_years_are_few_files_each_and_crowded_ones_are_split(spark, folder):
+    comps = [competition(f"c{y}", f"{y}-01-01") for y in range(2010, 2016)]
+    m = build_attendance(sources(spark, comps, [(c[0], f"p{i}") for c in comps for i in range(20)]), HOME)
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        write_model(m, folder)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert len(glob.glob(f"{folder}/attendance/year=*/*.parquet")) == 6

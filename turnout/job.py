@@ -5,13 +5,14 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
-from turnout.operators.attendance import build_attendance
+from turnout.operators.attendance import AttendanceModel, build_attendance
 from turnout.plans import bundle
 from turnout.plans.travel import year_map
 from turnout.session import configure
-from turnout.sources.tables import read_tables
+from turnout.sources.tables import Sources, read_tables
 
 
 def _positive(text: str) -> int:
@@ -41,7 +42,19 @@ def run(spark: SparkSession, options: argparse.Namespace) -> list[str]:
         configure(spark), options.competitions, options.results, options.persons,
         format=options.format, person_key=options.person_key,
     )
-    model = build_attendance(sources, options.country)
+    model = bundle.without_first_event(build_attendance(sources, options.country))
+    kept = [model.competitions, model.attendance]
+    for df in kept:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _write(sources, model, options)
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
+def _write(sources: Sources, model: AttendanceModel, options: argparse.Namespace) -> list[str]:
+    """Every table of the model, which is computed once for all of them."""
     periods = bundle.summary.PERIODS if options.last is None else (options.last,)
     paths = [path for path, _ in bundle.write_bundle(model, options.output, periods)]
     for years in periods:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnout.functions.dates import days_between, quarter_label, quarter_of
@@ -35,8 +35,8 @@ def followups(attendance: DataFrame) -> DataFrame:
     )
 
 
-def newcomer_histories(attendance: DataFrame) -> DataFrame:
-    """One row per newcomer: debut, days to the first return (null if none), number of returns.
+def _histories(attendance: DataFrame) -> DataFrame:
+    """One row per person: debut in these rows (null if none), first return, returns, last date.
 
     A newcomer's rows are either on the debut day, and then marked as newcomer, or later. So
     retention needs no join of debuts to follow-ups: one aggregate per person, pre-aggregated in
@@ -48,35 +48,44 @@ def newcomer_histories(attendance: DataFrame) -> DataFrame:
             F.min(F.when(F.col("is_newcomer"), F.col("date"))).alias("debut_date"),
             F.min(F.when(~F.col("is_newcomer"), F.col("date"))).alias("return_date"),
             F.count_if(~F.col("is_newcomer")).alias("returns"),
+            F.max("date").alias("last_date"),
         )
-        .where(F.col("debut_date").isNotNull())
-        .select(
-            "person_id",
-            "debut_date",
-            days_between(F.col("return_date"), F.col("debut_date")).alias("days_to_return"),
-            "returns",
-        )
+        .withColumn("days_to_return", days_between(F.col("return_date"), F.col("debut_date")))
     )
 
 
+def newcomer_histories(attendance: DataFrame) -> DataFrame:
+    """One row per newcomer: debut, days to the first return (null if none), number of returns."""
+    newcomers = _histories(attendance).where(F.col("debut_date").isNotNull())
+    return newcomers.select("person_id", "debut_date", "days_to_return", "returns")
+
+
 def cohort_retention(
     attendance: DataFrame, windows: Mapping[str, int] = RETENTION_WINDOWS
 ) -> DataFrame:
-    """Per debut quarter: newcomers, and how many returned within each window of days."""
+    """Per debut quarter: newcomers, and how many returned within each window of days.
+
+    ``complete_<window>`` tells whether the data reach as far as the window of the quarter's last day;
+    until then its numbers can still rise.
+    """
     cohort = (
-        newcomer_histories(attendance)
+        _histories(attendance)
         .groupBy(
             F.year("debut_date").alias("year"),
             quarter_of(F.month("debut_date")).alias("quarter"),
         )
         .agg(
-            F.count(F.lit(1)).alias("newcomers"),
+            F.count("debut_date").alias("newcomers"),
+            F.max("last_date").alias("last_date"),
             *[
                 F.count_if(F.col("days_to_return") <= days).alias(f"ret_{key}")
                 for key, days in windows.items()
             ],
         )
     )
+    # One row per quarter, and one for everybody who is no newcomer, whose last day counts too.
+    last_day = F.max("last_date").over(Window.partitionBy())
+    cohort = cohort.withColumn("last_day", last_day).where(F.col("year").isNotNull())
     measures = []
     for key in windows:
         returned = F.col(f"ret_{key}")
@@ -84,6 +93,11 @@ def cohort_retention(
             returned,
             percentage_one_decimal(returned, F.col("newcomers")).alias(f"pct_{key}"),
         ]
+    quarter_end = F.last_day(F.make_date("year", F.col("quarter") * 3, F.lit(1)))
+    measures += [
+        (F.date_add(quarter_end, days) <= F.col("last_day")).alias(f"complete_{key}")
+        for key, days in windows.items()
+    ]
     return cohort.select(
         "year",
         "quarter",

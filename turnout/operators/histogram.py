@@ -23,24 +23,33 @@ def weighted_percentile(value: str, q: float, weight: str) -> Column:
 
 
 def unit_bins(
-    value: str, weight: str, first: int, cap: int, range_mode: str = "overflow"
-) -> Column:
-    """Aggregate giving an array of ``struct(bin, n)`` from ``first`` up to the largest value.
-
-    ``overflow``: bins ``first .. cap``, the last one holds ``cap`` and everything above.
-    ``drawn``: the range of the chart, bins ``first .. cap - 1``. The last one is closed on both
-    sides and so also holds ``cap``; larger values fall outside the chart.
-    Bins inside the range are present even when empty.
+    counts: DataFrame, keys: Sequence[str], value: str, weight: str, first: int, cap: int | None = None
+) -> DataFrame:
+    """(keys, ``bins``, ``counts``) per key; ``bins`` is an array of ``struct(bin, n)``.
+
+    Bins run from ``first`` to the largest value, also where empty, so ``n`` adds up to all rows. With
+    a ``cap`` the last bin holds ``cap`` and everything above. ``counts`` has one row per key and
+    value, and its values are what the list of a key is as long as.
     """
-    if range_mode == "overflow":
-        last, open_end = cap, f"{value} >= {cap}"
-    elif range_mode == "drawn":
-        last, open_end = cap - 1, f"{value} in ({cap - 1}, {cap})"
-    else:
-        raise ValueError(f"unknown range_mode {range_mode!r}")
-    members = {b: f"{value} = {b}" for b in range(first, last)} | {last: open_end}
-    bins = ", ".join(
-        f"struct({b}L as bin, coalesce(sum({weight}) filter (where {member}), 0L) as n)"
-        for b, member in members.items()
+    entry = F.struct(F.col(value).alias("value"), F.col(weight).alias("n"))
+    listed = counts.groupBy(*keys).agg(F.collect_list(entry).alias("counts"))
+    top = F.array_max(F.transform("counts", lambda e: e["value"]))
+    last = F.greatest(top, F.lit(first)) if cap is None else F.least(F.greatest(top, F.lit(first)), F.lit(cap))
+    by_value = F.map_from_entries("counts")
+    above = F.aggregate(
+        F.filter("counts", lambda e: e["value"] >= F.lit(cap)), F.lit(0).cast("long"), lambda s, e: s + e["n"]
+    )
+
+    def filled(b: Column) -> Column:
+        exact = F.coalesce(F.try_element_at(F.col("by_value"), b), F.lit(0).cast("long"))
+        n = exact if cap is None else F.when(b == cap, F.col("above")).otherwise(exact)
+        return F.struct(b.alias("bin"), n.alias("n"))
+
+    ranges = listed.select(
+        *keys,
+        "counts",
+        by_value.alias("by_value"),
+        (F.lit(0) if cap is None else above).alias("above"),
+        F.sequence(F.lit(first).cast("long"), last.cast("long")).alias("range"),
     )
-    return F.expr(f"filter(array({bins}), item -> item.bin <= greatest(max({value}), {first}))")
+    return ranges.select(*keys, F.transform("range", filled).alias("bins"), "counts")

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` of the session; only a local session may lack it."""
+    """Use the folder of ``spark.checkpoint.dir`` unless the session has one set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     directory = spark.conf.get("spark.checkpoint.dir", None)
     if directory is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        directory = tempfile.mkdtemp(prefix="checkpoints-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(directory)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored, so that a lost executor costs a read, not the whole loop."""
+    """``df`` computed once and stored, so that a lost executor costs a read, not the whole loop.
+
+    Spark deletes the files with the result if ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set when the session starts.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

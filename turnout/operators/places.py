@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnout.functions.geodesy import degrees_from_micro
@@ -54,7 +54,10 @@ def attendance_density(events: DataFrame, participants: DataFrame) -> DataFrame:
 
 
 def region_summary(events: DataFrame, regions: DataFrame, participants: DataFrame) -> DataFrame:
-    """Distinct persons per region and the mean position of all the region's events."""
+    """Distinct persons per region and the mean position of all the region's events, most persons first.
+
+    The rank is numbered over one row per region, of which the globe's surface bounds the number.
+    """
     visitors = (
         participants.join(regions, "competition_id")
         .select("region", "person_id")
@@ -67,4 +70,10 @@ def region_summary(events: DataFrame, regions: DataFrame, participants: DataFram
         .groupBy("region")
         .agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     )
-    return visitors.join(centres, "region").select("region", "n", "lat", "lon")
+    order = [F.desc("n"), F.asc("region")]
+    return (
+        visitors.join(centres, "region")
+        .withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        .select("rank", "region", "n", "lat", "lon")
+        .orderBy("rank")
+    )

@@ -120,8 +120,14 @@ def geo_regions(
     )
     places = _in_cubes(events.select("lat", "lon").distinct(), radius_km)
     joined = connected_components(_linked_cubes(places, radius_km, pair_budget))
-    clustered = located.join(
-        joined.withColumnRenamed("node", "root"), "root", "left"
-    ).select("competition_id", F.coalesce("component", "root").alias("component"))
-    labels = clustered.groupBy("component").agg(F.min("competition_id").alias("region"))
-    return clustered.join(labels, "component").select("competition_id", "region")
+    cubes = (
+        located.groupBy("root")
+        .agg(F.min("competition_id").alias("low"))
+        .join(joined.withColumnRenamed("node", "root"), "root", "left")
+        .select("root", "low", F.coalesce("component", "root").alias("component"))
+    )
+    labels = cubes.groupBy("component").agg(F.min("low").alias("region"))
+    # Dealt out anew, so that the one join of events has an exchange on either side and a cube that
+    # holds most events is split.
+    region_of = cubes.join(labels, "component").select("root", "region").hint("rebalance")
+    return located.join(region_of, "root").select("competition_id", "region")

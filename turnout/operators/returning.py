@@ -18,6 +18,8 @@ def returning_newcomers(
     Cancelled events are candidates too, every country counts for a return, and an event without
     newcomers stays with zeros. One plan for all events: the person aggregate is computed once.
     """
+    if "end_date" not in competitions.columns:
+        raise ValueError("the returning-newcomers report needs a column 'end_date'")
     dated = competitions.select("id", "name", "country_id", "start_date", "end_date")
     ends_in_year = F.col("end_date").between(
         datetime.date(year, 1, 1), datetime.date(year, 12, 31)

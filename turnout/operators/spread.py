@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnout.functions.geodesy import EARTH_RADIUS_KM, haversine_km, km_of_chord
+from turnout.functions.geodesy import haversine_km, km_of_chord
 from turnout.operators.boxes import (
     AXES,
     DEPTH,
@@ -28,29 +28,21 @@ POINTS_IN_ROW = 64  # places of a person that are compared inside one row
 
 
 def _widest_km(places: Column) -> Column:
-    """Largest great-circle distance within a short array of struct(phi, theta)."""
+    """Largest great-circle distance within a short array of struct(lat, lon)."""
 
-    def squared_half_chord(p: Column, q: Column) -> Column:
-        half_phi = F.sin((q["phi"] - p["phi"]) / 2)
-        half_theta = F.sin((q["theta"] - p["theta"]) / 2)
-        return half_phi * half_phi + F.cos(p["phi"]) * F.cos(q["phi"]) * half_theta * half_theta
-
-    widest = F.array_max(
-        F.transform(
-            places,
-            lambda p: F.array_max(F.transform(places, lambda q: squared_half_chord(p, q))),
+    def farthest_from(p: Column) -> Column:
+        return F.array_max(
+            F.transform(places, lambda q: haversine_km(p["lat"], p["lon"], q["lat"], q["lon"]))
         )
-    )
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), widest)))
+
+    return F.array_max(F.transform(places, farthest_from))
 
 
 def _spread_of_few(places: DataFrame) -> DataFrame:
-    return places.groupBy("person_id").agg(
-        _widest_km(
-            F.collect_list(
-                F.struct(F.radians("lat").alias("phi"), F.radians("lon").alias("theta"))
-            )
-        ).alias("spread_km")
+    return (
+        places.groupBy("person_id")
+        .agg(F.collect_list(F.struct("lat", "lon")).alias("places"))
+        .select("person_id", _widest_km(F.col("places")).alias("spread_km"))
     )
 
 
@@ -114,14 +106,17 @@ def person_spread(
     places = cut(
         attendance.groupBy("person_id", "region", "lat", "lon").agg(F.count(F.lit(1)).alias("starts"))
     )
-    stats = places.groupBy("person_id").agg(
-        F.sum("starts").alias("n_starts"), F.count_distinct("region").alias("n_regions")
-    )
-    much_travelled = (
-        places.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_places"))
-        .where(F.col("n_places") > points_in_row)
-        .select("person_id")
+    stats = cut(
+        places.groupBy("person_id").agg(
+            F.sum("starts").alias("n_starts"),
+            F.count_distinct("region").alias("n_regions"),
+            F.count(F.lit(1)).alias("n_places"),
+        )
     )
+    much_travelled = stats.where(F.col("n_places") > points_in_row).select("person_id")
+    # Dealt out anew: places of a busy person are split by the joins below.
+    much_travelled = much_travelled.hint("rebalance")
+    stats = stats.drop("n_places")
     points = places.select("person_id", "lat", "lon")
     if much_travelled.isEmpty():
         spread = _spread_of_few(points)

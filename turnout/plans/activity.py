@@ -15,8 +15,7 @@ from turnout.operators.histogram import (
     weighted_percentile,
 )
 
-# Histogram cap and the quarters that make a person consistently active.
-STARTS_CAP = 20
+# Fixed value: the quarters that make a person consistently active.
 ACTIVE_QUARTERS = 3
 
 
@@ -68,18 +67,18 @@ def _starts_per_year(model: AttendanceModel) -> DataFrame:
     return value_counts(starts, ["year"], "n_comps", "n_persons")
 
 
-def starts_histogram(
-    model: AttendanceModel, cap: int = STARTS_CAP, range_mode: str = "overflow"
-) -> DataFrame:
-    """Persons by number of starts, per year; the median is over the uncapped numbers."""
+def starts_histogram(model: AttendanceModel, cap: int | None = None) -> DataFrame:
+    """Persons by number of starts, per year; the median is over the uncapped numbers.
+
+    Every number of starts has its row. With a ``cap`` the last row holds all from there on.
+    """
+    binned = unit_bins(_starts_per_year(model), ["year"], "n_comps", "n_persons", 1, cap)
+    medians = binned.select("year", F.explode("counts").alias("c")).groupBy("year").agg(
+        F.percentile(F.col("c.value"), F.lit(0.5), F.col("c.n")).alias("median_n")
+    )
     return (
-        _starts_per_year(model)
-        .groupBy("year")
-        .agg(
-            unit_bins("n_comps", "n_persons", 1, cap, range_mode).alias("bins"),
-            weighted_percentile("n_comps", 0.5, "n_persons").alias("median_n"),
-        )
-        .select("year", F.explode("bins").alias("item"), "median_n")
+        binned.select("year", F.explode("bins").alias("item"))
+        .join(medians, "year")
         .select(
             "year",
             F.col("item.bin").alias("n_comps"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -42,6 +43,11 @@ CHARTS: tuple[tuple[str, str, Plan], ...] = (
 )
 
 
+def without_first_event(model: AttendanceModel) -> AttendanceModel:
+    """The model without the first event of each attendance, which no chart reads and which costs joins."""
+    return replace(model, attendance=model.attendance.drop("first_comp_date"))
+
+
 def write_bundle(
     model: AttendanceModel,
     directory: str,
@@ -51,10 +57,14 @@ def write_bundle(
 ) -> list[tuple[str, str]]:
     """Write one table per chart and period as ``<directory>/<chart><period suffix>``.
 
-    The model is computed once and kept on the executors while the tables are written. Returns
-    the path and title of every table, with the period's label table first.
+    The model is computed once and kept on the executors while the tables are written, unless the
+    caller keeps it already. Returns the path and title of every table, with the period's label
+    table first.
     """
-    kept = [model.competitions, model.attendance]
+    kept = []
+    if not model.attendance.is_cached:
+        model = without_first_event(model)
+        kept = [model.competitions, model.attendance]
     for df in kept:
         df.persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,16 @@ SMALL_FIELD = 10
 _open: dict[tuple[str, str], Workspace] = {}
 
 
+def _folder_for_tests(spark: SparkSession) -> None:
+    """A local session without a checkpoint folder gets one; a cluster has to name its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnout-", dir="/tmp"))
+
+
 def workspace(spark: SparkSession, directory: str) -> Workspace:
     """The workspace of a directory. One is open at a time; the previous one is released."""
+    _folder_for_tests(spark)
     key = (spark.sparkContext.applicationId, directory)
     if key not in _open:
         close_workspace(spark)
@@ -131,16 +140,12 @@ LAST_YEARS: dict[str, Query] = {
 }
 
 VARIANTS: dict[str, Query] = {
-    "q08_starts_histogram_drawn_range": _report(activity.starts_histogram, range_mode="drawn"),
     "q08_starts_histogram_cap3": _report(activity.starts_histogram, cap=3),
-    "q08_starts_histogram_cap3_drawn_range": _report(
-        activity.starts_histogram, cap=3, range_mode="drawn"
-    ),
-    "q15_return_distribution_drawn_range": _report(
-        newcomers.return_distribution, range_mode="drawn"
-    ),
-    "q15_return_distribution_cap4_drawn_range": _report(
-        newcomers.return_distribution, cap=4, range_mode="drawn"
+    "q15_return_distribution_cap4": _report(newcomers.return_distribution, cap=4),
+    # Budgets so small that every search of the map takes its boxes apart.
+    "q25_regions_fine_boxes": _shared(lambda w: travel.regions(w.map, pair_budget=1)),
+    "q26_person_spread_fine_boxes": _shared(
+        lambda w: travel.spread(w.map, w.regions, points_in_row=1, pair_budget=4)
     ),
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnout.functions.dates import quarter_label
@@ -12,9 +12,6 @@ from turnout.operators.cohorts import cohort_retention, debuts, return_counts
 from turnout.operators.dense import dense_month_counts
 from turnout.operators.histogram import unit_bins, value_counts
 
-# Fixed value: histogram cap.
-RETURNS_CAP = 25
-
 
 def debuts_per_quarter(model: AttendanceModel) -> DataFrame:
     return (
@@ -37,18 +34,23 @@ def retention(model: AttendanceModel) -> DataFrame:
     return cohort_retention(model.attendance).orderBy("year", "quarter")
 
 
-def return_distribution(
-    model: AttendanceModel, cap: int = RETURNS_CAP, range_mode: str = "overflow"
-) -> DataFrame:
-    """Newcomers by number of later events, and the share that never returned."""
-    returns, persons = F.col("returns"), F.col("n_persons")
-    summary = value_counts(return_counts(model.attendance), [], "returns", "n_persons").agg(
-        unit_bins("returns", "n_persons", 0, cap, range_mode).alias("bins"),
-        F.sum(F.when(returns == 0, persons).otherwise(0)).alias("n_never"),
-        F.sum(persons).alias("n_total"),
-    )
+def return_distribution(model: AttendanceModel, cap: int | None = None) -> DataFrame:
+    """Newcomers by number of later events, and the share that never returned; no row without newcomers.
+
+    Every number of returns has its row. With a ``cap`` the last row holds all from there on.
+    """
+    counted = value_counts(return_counts(model.attendance), [], "returns", "n_persons")
+    binned = unit_bins(counted, [], "returns", "n_persons", 0, cap).where(F.size("counts") > 0)
+
+    def total(entries: Column) -> Column:
+        return F.aggregate(entries, F.lit(0).cast("long"), lambda s, e: s + e["n"])
+
     return (
-        summary.select(F.explode("bins").alias("item"), "n_never", "n_total")
+        binned.select(
+            F.explode("bins").alias("item"),
+            total(F.filter("counts", lambda e: e["value"] == 0)).alias("n_never"),
+            total(F.col("counts")).alias("n_total"),
+        )
         .select(
             F.col("item.bin").alias("returns"),
             F.col("item.n").alias("n_persons"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnout.operators.attendance import current_persons
 from turnout.operators.attractors import top_ranked
+from turnout.operators.boxes import PAIR_BUDGET
 from turnout.operators.places import (
     attendance_density,
     known_participants,
@@ -16,7 +17,13 @@ from turnout.operators.places import (
     region_summary,
 )
 from turnout.operators.regions import REGION_RADIUS_KM, geo_regions
-from turnout.operators.spread import MAX_REGIONS, MAX_SPREAD_KM, is_local, person_spread
+from turnout.operators.spread import (
+    MAX_REGIONS,
+    MAX_SPREAD_KM,
+    POINTS_IN_ROW,
+    is_local,
+    person_spread,
+)
 from turnout.sources.tables import Sources
 
 # Fixed value: length of the list of far travellers.
@@ -43,8 +50,10 @@ def density_all(map_: YearMap) -> DataFrame:
     return attendance_density(map_.events, map_.participants)
 
 
-def regions(map_: YearMap, radius_km: float = REGION_RADIUS_KM) -> DataFrame:
-    return geo_regions(map_.events, radius_km)
+def regions(
+    map_: YearMap, radius_km: float = REGION_RADIUS_KM, pair_budget: int = PAIR_BUDGET
+) -> DataFrame:
+    return geo_regions(map_.events, radius_km, pair_budget)
 
 
 def _nationals(map_: YearMap) -> DataFrame:
@@ -58,11 +67,13 @@ def spread(
     region_of: DataFrame,
     max_spread_km: float = MAX_SPREAD_KM,
     max_regions: int = MAX_REGIONS,
+    points_in_row: int = POINTS_IN_ROW,
+    pair_budget: int = PAIR_BUDGET,
 ) -> DataFrame:
     """Travel of the country's own participants, and who of them is a local."""
     positions = map_.events.select("competition_id", "lat", "lon").join(region_of, "competition_id")
     starts = _nationals(map_).join(positions, "competition_id")
-    return person_spread(starts).withColumn("is_local", is_local(max_spread_km, max_regions))
+    return person_spread(starts, points_in_row, pair_budget).withColumn("is_local", is_local(max_spread_km, max_regions))
 
 
 def map_summary(map_: YearMap, travel: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ them to the declared types and drops rows without a key.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnout.functions.dates import date_from_parts
 from turnout.functions.text import empty_to_null
 
 COMPETITIONS = T.StructType(
@@ -51,6 +52,14 @@ PERSONS = T.StructType(
 )
 
 
+# Columns without which every report would be empty; the others may be absent and are null then.
+# Two dates are special: start_date follows from year, month and day, and a missing end_date stays
+# missing, so that the one report that needs it can say so.
+REQUIRED_OF_COMPETITIONS = ("country_id", "year", "month", "day", "cancelled")
+REQUIRED_OF_PERSONS = ("sub_id", "country_id")
+LEFT_OUT_IF_MISSING = ("end_date",)
+
+
 @dataclass(frozen=True)
 class Sources:
     """The raw tables: all countries, all years, cancelled events included."""
@@ -60,11 +69,16 @@ class Sources:
     persons: DataFrame
 
 
-def conform(df: DataFrame, schema: T.StructType, rename: Mapping[str, str] | None = None) -> DataFrame:
+def conform(
+    df: DataFrame,
+    schema: T.StructType,
+    rename: Mapping[str, str] | None = None,
+    required: Sequence[str] = (),
+) -> DataFrame:
     """Columns of ``schema`` by name, cast, empty text as null; rows with a null key are dropped.
 
     ``rename`` maps a column of ``df`` to its name in the schema. A nullable column that ``df``
-    lacks becomes null; a missing key column is an error.
+    lacks becomes null; a missing key or ``required`` column is an error.
     """
     for source, target in (rename or {}).items():
         if source in df.columns:
@@ -75,10 +89,14 @@ def conform(df: DataFrame, schema: T.StructType, rename: Mapping[str, str] | Non
             column = F.col(field.name)
             if isinstance(df.schema[field.name].dataType, T.StringType):
                 column = empty_to_null(column)
-        elif field.nullable:
-            column = F.lit(None)
-        else:
+        elif not field.nullable:
             raise ValueError(f"missing key column {field.name!r}; found {df.columns}")
+        elif field.name in required:
+            raise ValueError(f"missing column {field.name!r}; found {df.columns}")
+        elif field.name in LEFT_OUT_IF_MISSING:
+            continue
+        else:
+            column = F.lit(None)
         picked.append(column.cast(field.dataType).alias(field.name))
     keys = [field.name for field in schema if not field.nullable]
     return df.select(*picked).dropna(subset=keys)
@@ -92,15 +110,12 @@ def read_delimited(
     Nothing is inferred, so the files are scanned once, and they stay splittable unless quoted
     fields hold line breaks (``multi_line``).
     """
-    return (
-        spark.read.option("sep", sep)
-        .option("header", True)
-        .option("nullValue", null_value)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    options = {
+        "sep": sep, "header": True, "nullValue": null_value, "quote": '"', "escape": '"', "multiLine": multi_line,
+    }
+    first = spark.read.options(**options).csv(path).schema
+    # The header of every file is compared with the first one's: files of another order are an error.
+    return spark.read.options(**options, enforceSchema=False).schema(first).csv(path)
 
 
 def sources_from(
@@ -110,10 +125,13 @@ def sources_from(
     person_key: str = "person_id",
 ) -> Sources:
     """Sources from any three DataFrames; ``person_key`` is the id column of ``persons``."""
+    events = conform(competitions, COMPETITIONS, required=REQUIRED_OF_COMPETITIONS)
+    if "start_date" not in competitions.columns:
+        events = events.withColumn("start_date", date_from_parts(F.col("year"), F.col("month"), F.col("day"), lenient=True))
     return Sources(
-        conform(competitions, COMPETITIONS),
+        events,
         conform(results, RESULTS),
-        conform(persons, PERSONS, rename={person_key: "person_id"}),
+        conform(persons, PERSONS, rename={person_key: "person_id"}, required=REQUIRED_OF_PERSONS),
     )
 
 
