@@ -21,6 +21,8 @@ MAX_CODES = 256
 PER_CELL = 8
 # Share of pairs at exactly the least cosine whose cell the traversal must reach.
 TARGET_RECALL = 0.995
+# Pairs of the sample that are looked at for each block of its rows.
+REAL_PAIRS = 20_000
 # Members of one comparison, queries of one comparison, and rows multiplied at once.
 BLOCK, QUERY_BLOCK, ROWS = 4096, 65536, 256
 
@@ -68,9 +70,9 @@ def fit(sample: np.ndarray, n_vectors: int, cosine: float = COSINE, recall: floa
     """An index for ``n_vectors`` from a bounded sample of them.
 
     The number of codes grows with the table so that a cell holds PER_CELL vectors on average, up to
-    MAX_CODES. The reach is measured, not guessed: partners are drawn at exactly the least cosine
-    from sample vectors, in random directions, and the reach is what finds their cells with the
-    target recall. Closer partners are found more often.
+    MAX_CODES. The reach is measured, not guessed, as what finds the cells of the target share of
+    partners: of partners drawn at exactly the least cosine in random directions, of closer ones, and
+    of those that the vectors of the sample really have.
     """
     rng = np.random.default_rng(7)
     x = _unit(sample)
@@ -80,15 +82,31 @@ def fit(sample: np.ndarray, n_vectors: int, cosine: float = COSINE, recall: floa
     per_strip = n_vectors / n_codes
     in_unit = max(1, min(n_codes, int(n_codes * BLOCK / max(1, per_strip))))
     index = MultiIndex(first, second, 0.0, in_unit)
-    noise = rng.normal(size=x.shape)
-    noise -= (noise * x).sum(1, keepdims=True) * x
-    length = np.linalg.norm(noise, axis=1, keepdims=True)
-    partner = cosine * x + (1 - cosine**2) ** 0.5 * noise / np.where(length > 0, length, 1)
     a, b = index.costs(x)
-    pa_, pb = index.costs(partner)
+    least = a.min(1) + b.min(1)
     rows = np.arange(len(x))
-    beyond = a[rows, pa_.argmin(1)] - a.min(1) + b[rows, pb.argmin(1)] - b.min(1)
-    return MultiIndex(first, second, float(np.quantile(beyond, recall)), in_unit)
+    reach = 0.0
+    for near in (cosine, (1 + 3 * cosine) / 4, (3 + cosine) / 4):
+        noise = rng.normal(size=x.shape)
+        noise -= (noise * x).sum(1, keepdims=True) * x
+        length = np.linalg.norm(noise, axis=1, keepdims=True)
+        partner = near * x + (1 - near**2) ** 0.5 * noise / np.where(length > 0, length, 1)
+        i, j = (c.argmin(1) for c in index.costs(partner))
+        reach = max(reach, float(np.quantile(a[rows, i] + b[rows, j] - least, recall)))
+    i, j = a.argmin(1), b.argmin(1)
+    real = []
+    for start in range(0, len(x), ROWS):
+        left, right = np.nonzero(x[start : start + ROWS] @ x.T >= cosine)
+        if len(left) > REAL_PAIRS:
+            chosen = rng.choice(len(left), REAL_PAIRS, replace=False)
+            left, right = left[chosen], right[chosen]
+        left = left + start
+        real.append(a[left, i[right]] + b[left, j[right]] - least[left])
+    real = np.concatenate(real)
+    other = real[real > 0]  # without vectors in the query's own cell
+    if len(other):
+        reach = max(reach, float(np.quantile(other, recall)))
+    return MultiIndex(first, second, reach, in_unit)
 
 
 def multi_sequence(a: np.ndarray, b: np.ndarray, reach: float) -> Iterator[tuple[int, int]]:
