@@ -192,7 +192,7 @@ def vocabulary():
 
 TEXTS = [
     None, "", " ", "  a  b ", "it's we'll I'M 12三x²", " 　x \n\n y\x85", "<|endoftext|>", "a!<|endoftext|> b  <|endoftext|>",
-    "<|endoftext", "naïve 😀👩‍👩‍👧 über", "x" * 5000, " " * 3000 + "z", "\t\r\n\x0b\x0c", "'s't're", "é ​ ﻿", "٣٤ ½ Ⅷ _-_",
+    "<|endoftext", "naïve 😀👩‍👩‍👧 über", "x" * 5000, " " * 3000 + "z", "\t\r\n\x0b\x0c", "'s't're", "é ​ ﻿", "٣٤ ½ Ⅷ _-_", "new \U0001df00\U0001df01 letters <|endoftext|>\u0378 ",
 ]
 
 

@@ -76,10 +76,15 @@ def _piece(mark: str, octets: dict[str, int]) -> bytes:
 
 
 def words_of(text: Column, specials: list[str]) -> Column:
-    """The words of a text in order; a special string is a word of its own wherever it stands."""
+    """The words of a text in order; a special string is a word of its own wherever it stands.
+
+    A text with characters that are unassigned in the JVM's Unicode, and perhaps letters in a newer
+    one, stays one word, which the library splits itself when it encodes it.
+    """
+    whole = text.rlike(r"\p{Cn}")
     plain = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
     if not specials:
-        return plain
+        return F.when(whole, F.array(text)).otherwise(plain)
     literal = "|".join("".join(f"\\x{{{ord(c):x}}}" for c in s) for s in specials)
     between = F.split(text, literal, -1)
     found = F.regexp_extract_all(text, F.lit(f"({literal})"), F.lit(0))
@@ -90,7 +95,9 @@ def words_of(text: Column, specials: list[str]) -> Column:
             F.when(k < F.size(found), F.slice(found, k + 1, F.lit(1))).otherwise(F.array().cast("array<string>")),
         ),
     )
-    return F.when(text.rlike(literal), F.flatten(parts)).otherwise(plain)
+    return (
+        F.when(whole, F.array(text)).when(text.rlike(literal), F.flatten(parts)).otherwise(plain)
+    )
 
 
 def split_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
