@@ -59,9 +59,10 @@ def _finished(edges: DataFrame) -> bool:
     return nodes.where("parents > 1 or (parents > 0 and children > 0)").isEmpty()
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, root) that connect what the links (left, right) connect; fewer than ``n``."""
-    label = np.arange(n)
+def merged(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``label``, the smallest member of each row's class, after the links (left, right) join classes."""
+    known = np.flatnonzero(label != np.arange(len(label)))
+    left, right = np.concatenate([label[left], known]), np.concatenate([label[right], label[known]])
     while True:
         low = np.minimum(label[left], label[right])
         new = label.copy()
@@ -69,6 +70,12 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.
         np.minimum.at(new, right, low)
         new = new[new]
         if (new == label).all():
-            nodes = np.flatnonzero(label != np.arange(n))
-            return nodes, label[nodes]
+            return label
         label = new
+
+
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, root) that connect what the links (left, right) connect; fewer than ``n``."""
+    label = merged(np.arange(n), left, right)
+    nodes = np.flatnonzero(label != np.arange(n))
+    return nodes, label[nodes]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm.common import apart, field, packed, stored, text_or_empty
-from turnout.llm.graph import components, forest
+from turnout.llm.graph import components, merged
 
 WORDS = 3
 SEED = 42
@@ -138,7 +138,9 @@ def _links_of_groups(group: np.ndarray, side: np.ndarray, ids: np.ndarray, fps:
     asks = np.flatnonzero((side != 1) & (members[of_group] > 0) & (sizes[of_group] > 1))
     per_ask = blocks[of_group[asks]]
     total = np.cumsum(per_ask)
-    lefts, rights = [], []
+    label = np.arange(n)
+    by_block = owner.reshape(-1, 64)
+    one_class = np.full(len(by_block), -1)
     at = 0
     while at < len(asks):
         base = total[at - 1] if at else 0
@@ -147,21 +149,25 @@ def _links_of_groups(group: np.ndarray, side: np.ndarray, ids: np.ndarray, fps:
         rows = np.repeat(asks[at:to], repeat)
         within = np.arange(len(rows)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
         words = first_block[of_group[rows]] + within
+        at = to
+        # Blocks of one class, of which the looked-up row is too, have nothing to add.
+        new = one_class[words] != label[rows]
+        rows, words = rows[new], words[new]
+        if not len(rows):
+            continue
         items, masks = distances_within(planes, valid, words, fps[rows], radius)
         hits = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         i, m = np.nonzero(hits)
         left, right = rows[items[i]], owner[words[items[i]] * 64 + m]
-        other = left != right
+        other = label[left] != label[right]
         if other.any():
-            # What the links of this part connect is kept as a forest, never as all pairs.
-            nodes, roots = forest(n, left[other], right[other])
-            lefts.append(nodes)
-            rights.append(roots)
-        at = to
-    if not lefts:
-        return ids[:0], ids[:0]
-    nodes, roots = forest(n, np.concatenate(lefts), np.concatenate(rights))
-    return ids[nodes], ids[roots]
+            # What is linked is kept as classes, never as pairs.
+            label = merged(label, left[other], right[other])
+            low = np.where(by_block >= 0, label[by_block], n).min(axis=1)
+            high = np.where(by_block >= 0, label[by_block], -1).max(axis=1)
+            one_class = np.where(low == high, low, -1)
+    nodes = np.flatnonzero(label != np.arange(n))
+    return ids[nodes], ids[label[nodes]]
 
 
 def _comparer(n_words: int, radius: int):
@@ -246,7 +252,7 @@ def near_links(
     node = dealt.schema["node"].dataType.simpleString()
     return (
         dealt.repartition("bucket")
-        .sortWithinPartitions("bucket")
+        .sortWithinPartitions("bucket", fps[0])
         .mapInArrow(_comparer(len(fps), radius), f"u {node}, v {node}")
     )
 
