@@ -133,6 +133,24 @@ def test_similar_documents_are_those_of_the_threshold(spark, monkeypatch):
     assert len(missed) <= 0.02 * len(linked) and set(got) <= linked
 
 
+def test_similar_documents_may_repeat_lines_unequally(spark):
+    rows = []
+    for k in range(40):
+        words, line = prose(204, 5000 + k), prose(14, 6000 + k)
+        rows += [(2 * k, f"{words} {line}"), (2 * k + 1, f"{words} {' '.join([line] * (5 + k))}")]
+
+    def shingles(text):
+        t = text.split()
+        return {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+
+    sets = {k: shingles(t) for k, t in rows}
+    links = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = smallest_reachable(sets, links)
+    assert len(links) == 40
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    assert got == want
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int, node string, vec string, links string"
 
 

@@ -39,15 +39,20 @@ def shingle_digests(text: bytes, words: int, digest) -> list:
     return [digest(join(tokens[i : i + words])) for i in range(max(1, len(tokens) - words + 1))]
 
 
-def simhash(text: bytes, words: int = WORDS, seed: int = SEED, n_words: int = 1) -> np.ndarray:
+def simhash(
+    text: bytes, words: int = WORDS, seed: int = SEED, n_words: int = 1, distinct: bool = False
+) -> np.ndarray:
     """The fingerprint of a UTF-8 text as ``n_words`` words of 64 bits; all 0 for a text without words.
 
-    One word takes XXH64 of the shingles, two take the 128-bit XXH3.
+    One word takes XXH64 of the shingles, two take the 128-bit XXH3. A shingle counts as often as it
+    stands in the text, or once if ``distinct``.
     """
     if n_words == 1:
-        hashes = np.array(shingle_digests(text, words, lambda b: xxhash.xxh64_intdigest(b, seed)), "<u8")
+        digests = shingle_digests(text, words, lambda b: xxhash.xxh64_intdigest(b, seed))
+        hashes = np.array(list(set(digests)) if distinct else digests, "<u8")
     else:
         digests = shingle_digests(text, words, lambda b: xxhash.xxh3_128_digest(b, seed))
+        digests = set(digests) if distinct else digests
         hashes = np.frombuffer(b"".join(digests), "<u8")
     hashes = hashes.reshape(-1, n_words)
     ones = np.zeros(64 * n_words, np.int64)
@@ -57,13 +62,15 @@ def simhash(text: bytes, words: int = WORDS, seed: int = SEED, n_words: int = 1)
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, n_words: int = 1) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, words: int = WORDS, seed: int = SEED, n_words: int = 1, distinct: bool = False
+) -> DataFrame:
     """(doc_id, fp0, ...): the fingerprint of every whole text, its bits in signed longs."""
     names = [f"fp{k}" for k in range(n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [simhash(t.as_py().encode(), words, seed, n_words) for t in batch.column(1)]
+            values = [simhash(t.as_py().encode(), words, seed, n_words, distinct) for t in batch.column(1)]
             bits = np.array(values, np.uint64).reshape(-1, n_words).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(n_words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
@@ -367,12 +374,12 @@ def similar_documents(
     """(doc_id, component_id) of every document that is similar to another one.
 
     Documents are linked if the Jaccard similarity of their sets of shingles is at least
-    ``similarity``. Candidates come from fingerprints of 128 bits, compared bit-sliced within the
-    buckets of sampled masks; the shingles of candidates then decide. Links are emitted as forests,
+    ``similarity``. Candidates come from fingerprints of 128 bits over the same sets, compared bit-sliced
+    within the buckets of sampled masks; the shingles of candidates then decide. Links are emitted as forests,
     and pairs that are already connected are not compared again. doc_ids are integers; rows without
     one are left out. Null and empty texts are similar to each other only.
     """
-    table = stored(fingerprints(docs, words, seed, 2).where("doc_id is not null"), "fingerprints")
+    table = stored(fingerprints(docs, words, seed, 2, distinct=True).where("doc_id is not null"), "fingerprints")
     prints = stored(
         table.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "prints"
     )
