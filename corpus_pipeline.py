@@ -19,16 +19,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is equal but for white space, the longest one."""
+    """One row of each group that is equal but for white space, the longest one."""
     configure(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that links of a similarity of 0.8 or more connect, over five words."""
+    """The first row of each group that links of a similarity of 0.8 or more connect, over five words."""
     configure(spark)
-    found = simhash.similar_documents(docs)
-    return exact_dedup.without(docs, found.where("doc_id <> component_id"))
+    return simhash.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,20 @@ def test_exact_dedup_against_brute_force(spark):
     assert exact_dedup.find_duplicates(documents(spark, [])).count() == 0
 
 
+def test_exact_copies_go_row_by_row(spark):
+    rows = [(k, f"text {k % 50}") for k in range(80)]
+    rows += rows + [(None, f"text {k % 60}") for k in range(120)]  # a batch twice, and rows without an id
+    rows += [(7, "text 3"), (7, "of its own"), (None, "without id"), (None, "without  id"), (None, None), (None, "")]
+    docs = documents(spark, rows, clashing=True).repartition(5)
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    want = [(k, f"text {k}") for k in range(50)] + [(None, f"text {k}") for k in range(50, 60)]
+    want += [(7, "of its own"), (None, "without  id")]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted((g for g in got if g[1]), key=str) == sorted(want, key=str)
+    assert len(got) == len(want) + 1  # and one of the empty ones
+
+
 def test_equal_passages_are_cut_into_equal_chunks(spark):
     passage = prose(3000, 9)
     docs = documents(spark, [(1, prose(100, 1) + passage), (2, prose(331, 2) + passage)])

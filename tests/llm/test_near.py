@@ -151,6 +151,28 @@ def test_similar_documents_may_repeat_lines_unequally(spark):
     assert got == want
 
 
+def test_similar_rows_go_row_by_row(spark):
+    def near(k, n):
+        words = prose(200, 7000 + k).split()
+        words[n] = "other"
+        return " ".join(words)
+
+    rows = [(k % 10, near(k % 10, n)) for k in range(10) for n in (20, 90)] * 2  # ids repeat, in two batches
+    rows += [(None, near(k, 150)) for k in range(12)] * 2  # without an id; 10 and 11 are near nothing else
+    rows += [(3, prose(150, 7100)), (3, near(4, 70)), (None, prose(150, 7101))]
+    docs = documents(spark, rows, clashing=True).repartition(5)
+    kept = simhash.drop_similar(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    # Text 4 has a row of doc_id 3 now, which comes first.
+    want = [(k, k) for k in range(10) if k != 4] + [(3, 4), (None, 10), (None, 11)]
+    starts = {prose(200, 7000 + k)[:60]: k for k in range(12)}
+    assert sorted(((k, starts[t[:60]]) for k, t in got if t[:60] in starts), key=str) == sorted(want, key=str)
+    rest = [(k, t) for k, t in got if t[:60] not in starts]
+    assert sorted(rest, key=str) == sorted([(3, prose(150, 7100)), (None, prose(150, 7101))], key=str)
+    assert simhash.similar_documents(docs).count() == len(rows) - 2
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int, node string, vec string, links string"
 
 

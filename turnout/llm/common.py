@@ -67,6 +67,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """(row_id, row): the rows of ``df``, stored with a number of their own, whatever they hold or repeat.
+
+    The numbers are written once, so they stay the same however often the table is read.
+    """
+    return stored(packed(df).select(F.monotonically_increasing_id().alias("row_id"), "row"), "rows")
+
+
+def identity(rows: DataFrame) -> Column:
+    """What orders the rows of a numbered table: doc_id, null last, then a hash of the row, then its number.
+
+    The hash makes the order of rows that repeat a doc_id depend on what they hold, not on where they
+    were read; rows that are alike in all of it may stand for each other.
+    """
+    names = [f.name for f in rows.schema["row"].dataType.fields if "map<" not in f.dataType.simpleString()]
+    return F.struct(
+        field("doc_id").isNull().alias("last"),
+        field("doc_id").alias("doc_id"),
+        F.xxhash64(*[field(n) for n in names]).alias("tie"),
+        F.col("row_id"),
+    )
+
+
 def clear_stored(spark: SparkSession) -> None:
     """Delete the application's stored tables; results that still read them must be written before."""
     path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import SPACE, apart, field, packed, stored, text_or_empty
+from turnout.llm.common import SPACE, apart, field, identity, numbered, packed, stored, text_or_empty
 
 # A text is cut into atoms at the characters of one class, and atoms are joined to chunks that end
 # where the hash of an atom says so, one time in ATOMS_A_CHUNK. An atom alone decides about its end,
@@ -118,17 +118,19 @@ def find_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``dropped``, with all their columns.
-
-    Rows are addressed by doc_id, so rows that repeat one go or stay together, and those without
-    one stay.
-    """
-    gone = dropped.select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = packed(docs).join(apart(gone), field("doc_id") == F.col("gone_id"), "left_anti")
-    return kept.select("row.*")
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of a numbered table whose row_id is not in ``dropped``, with all the caller's columns."""
+    gone = dropped.select(F.col("row_id").alias("gone_id"))
+    return rows.join(apart(gone), F.col("row_id") == F.col("gone_id"), "left_anti").select("row.*")
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of equal texts."""
-    return without(docs, find_duplicates(docs).where("not kept"))
+    """``docs`` with exactly one row of each group of equal texts.
+
+    Rows are decided about one by one, by numbers stored with them: a doc_id may be null, and may be
+    repeated with equal or other texts. The row that stays is the one with the most code points, then
+    the smallest doc_id, a null one last, then one by a hash of the row.
+    """
+    rows = numbered(docs)
+    found = find_duplicates(rows.select(identity(rows).alias("doc_id"), field("text").alias("text")))
+    return without(rows, found.where("not kept").select("doc_id.row_id"))

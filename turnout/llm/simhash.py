@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import apart, field, packed, stored, text_or_empty
+from turnout.llm.common import apart, field, identity, numbered, packed, stored, text_or_empty
+from turnout.llm.exact_dedup import without
 from turnout.llm.graph import components, merged
 
 WORDS = 3
@@ -368,18 +369,19 @@ def _verifier(similarity: float, radius: int):
     return run
 
 
-def similar_documents(
-    docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, seed: int = SEED
+def similar_rows(
+    rows: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, seed: int = SEED
 ) -> DataFrame:
-    """(doc_id, component_id) of every document that is similar to another one.
+    """(row_id, component_id) of every row of a numbered table that is similar to another one.
 
-    Documents are linked if the Jaccard similarity of their sets of shingles is at least
+    Rows are linked if the Jaccard similarity of their texts' sets of shingles is at least
     ``similarity``. Candidates come from fingerprints of 128 bits over the same sets, compared bit-sliced
-    within the buckets of sampled masks; the shingles of candidates then decide. Links are emitted as forests,
-    and pairs that are already connected are not compared again. doc_ids are integers; rows without
-    one are left out. Null and empty texts are similar to each other only.
+    within the buckets of sampled masks; the shingles of candidates then decide. Links are emitted as
+    forests, and pairs that are already connected are not compared again. Null and empty texts are
+    similar to each other only. ``component_id`` is the smallest row_id of those that links connect.
     """
-    table = stored(fingerprints(docs, words, seed, 2, distinct=True).where("doc_id is not null"), "fingerprints")
+    docs = rows.select(F.col("row_id").alias("doc_id"), field("text").alias("text"))
+    table = stored(fingerprints(docs, words, seed, 2, distinct=True), "fingerprints")
     prints = stored(
         table.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "prints"
     )
@@ -395,7 +397,7 @@ def similar_documents(
     members = table.join(apart(clusters), (F.col("fp0") == F.col("p0")) & (F.col("fp1") == F.col("p1"))).select(
         F.col("doc_id").alias("node"), "fp0", "fp1", "bucket"
     )
-    texts = packed(docs).select(field("doc_id").alias("doc_id"), text_or_empty().alias("text"))
+    texts = rows.select("row_id", text_or_empty().alias("text"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,8 +411,8 @@ def similar_documents(
             )
 
     candidates = stored(
-        texts.join(apart(members), F.col("doc_id") == F.col("node"))
-        .select("bucket", F.col("node").cast("long"), "fp0", "fp1", "text")
+        texts.join(apart(members), F.col("row_id") == F.col("node"))
+        .select("bucket", "node", "fp0", "fp1", "text")
         .mapInArrow(shingled, "bucket bigint, node bigint, fp0 bigint, fp1 bigint, shingles array<bigint>"),
         "candidates",
     )
@@ -421,4 +423,39 @@ def similar_documents(
         .select("bucket", "side", "node", "fp0", "fp1", "shingles")
         .mapInArrow(_verifier(similarity, radius), "u bigint, v bigint")
     )
-    return components(verified).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return components(verified).select(F.col("node").alias("row_id"), F.col("component").alias("component_id"))
+
+
+def _first_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(of, first): the first row of each component of ``found`` by doc_id, as :func:`identity` has it."""
+    order = rows.select(F.col("row_id").alias("at"), identity(rows).alias("order"))
+    members = found.join(apart(order), F.col("row_id") == F.col("at"))
+    return members.groupBy(F.col("component_id").alias("of")).agg(F.min("order").alias("first"))
+
+
+def similar_documents(
+    docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, seed: int = SEED
+) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs`` that is similar to another one.
+
+    ``component_id`` is the smallest doc_id that links reach, null if there is none. Rows without a
+    doc_id and rows that repeat one are rows like others. See :func:`similar_rows`.
+    """
+    rows = numbered(docs)
+    found = stored(similar_rows(rows, words, similarity, seed), "similar")
+    names = rows.select(F.col("row_id").alias("at"), field("doc_id").alias("doc_id"))
+    return (
+        found.join(apart(names), F.col("row_id") == F.col("at"))
+        .join(apart(_first_rows(rows, found)), F.col("component_id") == F.col("of"))
+        .select("doc_id", F.col("first.doc_id").alias("component_id"))
+    )
+
+
+def drop_similar(
+    docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, seed: int = SEED
+) -> DataFrame:
+    """``docs`` with exactly one row of each component of similar ones: the first by doc_id, null last."""
+    rows = numbered(docs)
+    found = stored(similar_rows(rows, words, similarity, seed), "similar")
+    first = _first_rows(rows, found).select(F.col("first.row_id").alias("stays"))
+    return without(rows, found.join(first, F.col("row_id") == F.col("stays"), "left_anti"))
