@@ -204,6 +204,25 @@ def test_embedding_links_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, odd)).where("kept").count() == len(odd)
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for at, (length, n) in enumerate([(1, 6), (8, 40), (16, 700), (24, 30), (700, 1)]):
+        x = rng.normal(size=(n, length))
+        x[n // 2 :] = x[: n - n // 2] + rng.normal(size=(n - n // 2, length)) * 0.02
+        x = x.astype(np.float32)
+        ids = [1000 * at + k for k in range(n)]
+        rows += [(k, [float(c) for c in v]) for k, v in zip(ids, x)]
+        full = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        linked = full @ full.T >= 0.95
+        classes = smallest_reachable(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(linked))])
+        want |= {k: (int(linked[i].sum()) - 1, classes[k]) for i, k in enumerate(ids)}
+    random.Random(1).shuffle(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    assert {k: got[k] for k in got if k // 1000 != 2} == {k: want[k] for k in want if k // 1000 != 2}
+    assert np.mean([got[k] == want[k] for k in want]) > 0.99
+
+
 def test_cells_come_in_order_of_cost():
     rng = np.random.default_rng(1)
     a, b = rng.random(7), rng.random(9)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ COSINE = 0.95
 SAMPLE = 8192
 MAX_CODES = 256
 PER_CELL = 8
+# Up to this many vectors of a length are one cell, and all are compared.
+FEW = 512
+# Units of vectors of one length; their numbers begin at this times the length.
+UNITS = 1 << 20
 # Share of pairs at exactly the least cosine whose cell the traversal must reach.
 TARGET_RECALL = 0.995
 # Pairs of the sample that are looked at for each block of its rows.
@@ -109,6 +114,11 @@ def fit(sample: np.ndarray, n_vectors: int, cosine: float = COSINE, recall: floa
     return MultiIndex(first, second, reach, in_unit)
 
 
+def one_cell(length: int) -> MultiIndex:
+    """An index with a single cell, for few vectors."""
+    return MultiIndex(np.zeros((1, length // 2)), np.zeros((1, length - length // 2)), 0.0, 1)
+
+
 def multi_sequence(a: np.ndarray, b: np.ndarray, reach: float) -> Iterator[tuple[int, int]]:
     """Cells (i, j) in order of cost ``a[i] + b[j]`` until it exceeds the least by more than ``reach``."""
     by_a, by_b = a.argsort(), b.argsort()
@@ -131,11 +141,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _router(index: MultiIndex):
-    """Rows (unit, role, node, n, vec, codes): a vector as member of its cell, and as query of each unit it visits."""
+def _router(indexes: dict[int, MultiIndex]):
+    """Rows (unit, role, node, n, vec, codes): a vector as member of its cell, and as query of each unit it visits.
+
+    Vectors of a length have units of their own. A length that is not in ``indexes`` is one cell.
+    """
+
+    def of_one_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+        lengths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+        for length in np.unique(lengths):
+            yield int(length), batch.take(pa.array(np.flatnonzero(lengths == length)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for length, batch in (part for whole in batches for part in of_one_length(whole)):
+            index = indexes.get(length) or one_cell(length)
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 a, b = index.costs(_unit(_matrix(part.column(2))))
@@ -158,7 +177,7 @@ def _router(index: MultiIndex):
                 taken = part.take(pa.array(source))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(unit, pa.int64()),
+                        pa.array(np.array(unit, np.int64) + length * UNITS),
                         pa.array(role, pa.int32()),
                         taken.column(0),
                         taken.column(1),
@@ -172,7 +191,7 @@ def _router(index: MultiIndex):
 
 
 def _verifier(n_codes: int, cosine: float):
-    """(u, v, links) from rows (at, role, node, n, vec, codes) sorted by ``at`` and role, members first.
+    """(length, u, v, links) from rows (length, at, role, node, n, vec, codes) sorted by the first three, members first.
 
     Links of a query are counted, and what a block of queries links is emitted as a forest.
     """
@@ -200,16 +219,17 @@ def _verifier(n_codes: int, cosine: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, role, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            vectors = _unit(_matrix(batch.column(4)))
-            codes = batch.column(5)
-            cuts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (role[1:] != role[:-1])])
+            length, at, role, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            codes = batch.column(6)
+            new = (length[1:] != length[:-1]) | (at[1:] != at[:-1]) | (role[1:] != role[:-1])
+            cuts = np.flatnonzero(np.r_[True, new])
             for start, stop in zip(cuts, np.r_[cuts[1:], len(at)]):
-                if at[start] != current:
-                    current, parts, members = at[start], [], None
+                vectors = _unit(_matrix(batch.column(5).slice(start, stop - start)))
+                if (length[start], at[start]) != current:
+                    current, parts, members = (length[start], at[start]), [], None
                 if role[start] == 0:
                     cells = codes.slice(start, stop - start).flatten().to_numpy()
-                    parts.append((node[start:stop], n[start:stop], vectors[start:stop], cells))
+                    parts.append((node[start:stop], n[start:stop], vectors, cells))
                     continue
                 if not parts:
                     continue
@@ -217,14 +237,15 @@ def _verifier(n_codes: int, cosine: float):
                 for low in range(start, stop, ROWS):
                     high = min(low + ROWS, stop)
                     lists = [np.asarray(c, np.int64) for c in codes.slice(low, high - low).to_pylist()]
-                    for u, v, links in block(members, [node[low:high], None, vectors[low:high], lists]):
+                    for u, v, links in block(members, [node[low:high], None, vectors[low - start : high - start], lists]):
                         yield pa.RecordBatch.from_arrays(
                             [
+                                pa.array(np.full(len(u), length[start]), pa.int32()),
                                 pa.array(u, pa.int64()),
                                 pa.nulls(len(u), pa.int64()) if v is None else pa.array(v, pa.int64()),
                                 pa.nulls(len(u), pa.int64()) if links is None else pa.array(links, pa.int64()),
                             ],
-                            names=["u", "v", "links"],
+                            names=["length", "u", "v", "links"],
                         )
 
     return run
@@ -235,8 +256,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
 
     Links are pairs with a cosine of at least ``cosine`` in double precision, found by visiting the
     cells of an inverted multi-index and verified. A vector that is null or zero, has null or
-    non-finite components, or another length than the longest ones, links with nothing. Equal
-    vectors are one node, combined before the shuffle, and link with each other. Rows with a null
+    non-finite components links with nothing. Vectors of different lengths do not link; those of each
+    length have an index of their own. Equal vectors are one node, combined before the shuffle, and
+    link with each other. Rows with a null
     vec_id count as copies and have no component of their own. Labels and other columns are ignored.
 
     Crowded cells are compared as grids of blocks of members and queries; no pairs are emitted.
@@ -245,10 +267,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     usable = F.col("vec").isNotNull() & finite & (square > 0)
-    longest = rows.where(usable).agg(F.max(F.size("vec"))).first()[0]
-    rows = rows.select(
-        "vec_id", F.when(usable & (F.size("vec") == (longest or 0)), F.col("vec")).alias("vec")
-    )
+    rows = rows.select("vec_id", F.when(usable, F.col("vec")).alias("vec"))
     nodes = stored(
         rows.where("vec is not null")
         .groupBy("vec")
@@ -257,19 +276,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
         .select("node", "n", "vec"),
         "vectors",
     )
-    n_nodes = nodes.count()
-    if n_nodes < 2:
-        links = nodes.select("node", F.lit(0).cast("long").alias("links")).limit(0)
-        classes = nodes.select("node", F.col("node").alias("component")).limit(0)
-    else:
-        sample = nodes.select("vec").orderBy(F.xxhash64("node")).limit(SAMPLE).toArrow()
-        index = fit(_matrix(sample.column(0).combine_chunks()), n_nodes, cosine, recall)
-        found = stored(_linked(nodes, index, cosine), "links")
-        links = found.where("links is not null").groupBy("u").agg(F.sum("links").alias("links"))
-        links = links.withColumnRenamed("u", "node")
-        classes = components(found.where("v is not null").select("u", "v"))
+    # One row per length of vectors, and a bounded sample of one length at a time.
+    indexes = {}
+    for length, n_nodes in nodes.groupBy(F.size("vec")).count().collect():
+        if n_nodes > FEW:
+            alike = nodes.where(F.size("vec") == length)
+            sample = alike.select("vec").orderBy(F.xxhash64("node")).limit(SAMPLE).toArrow()
+            indexes[length] = fit(_matrix(sample.column(0).combine_chunks()), n_nodes, cosine, recall)
+    found = stored(_linked(nodes, indexes, cosine), "links")
+    links = found.where("links is not null").groupBy("length", "u").agg(F.sum("links").alias("links"))
+    links = links.withColumnRenamed("u", "linked")
+    classes = components(found.where("v is not null").select("u", "v"))
     of_node = (
-        nodes.join(links.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+        nodes.join(links, (F.col("node") == F.col("linked")) & (F.size("vec") == F.col("length")), "left")
         .join(classes.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
         .select(
             F.col("vec").alias("key"),
@@ -286,11 +305,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     )
 
 
-def _linked(nodes: DataFrame, index: MultiIndex, cosine: float) -> DataFrame:
+def _linked(nodes: DataFrame, indexes: dict[int, MultiIndex], cosine: float) -> DataFrame:
     vec = nodes.schema["vec"].dataType.simpleString()
     schema = f"unit bigint, role int, node bigint, n bigint, vec {vec}, codes array<int>"
-    routed = stored(nodes.mapInArrow(_router(index), schema), "routed")
-    # One row per unit: at most MAX_CODES squared, so it may be broadcast.
+    routed = stored(nodes.mapInArrow(_router(indexes), schema), "routed")
+    # One row per unit: at most MAX_CODES squared for a length, one for a length of few, so it may be broadcast.
     units = routed.groupBy(F.col("unit").alias("of")).agg(
         F.ceil(F.count(F.when(F.col("role") == 0, 1)) / BLOCK).cast("int").alias("rows"),
         F.ceil(F.count(F.when(F.col("role") == 1, 1)) / QUERY_BLOCK).cast("int").alias("columns"),
@@ -311,11 +330,12 @@ def _linked(nodes: DataFrame, index: MultiIndex, cosine: float) -> DataFrame:
         .where("rows > 0 and columns > 0")
         .select(F.explode(places).alias("p"), "*")
         .select(
-            F.xxhash64("unit", "p.r", "p.c").alias("at"), "role", "node", "n", "vec", "codes"
+            F.size("vec").alias("length"), F.xxhash64("unit", "p.r", "p.c").alias("at"), "role", "node", "n", "vec", "codes"
         )
     )
+    n_codes = max((len(index.second) for index in indexes.values()), default=1)
     return (
         dealt.repartition("at")
-        .sortWithinPartitions("at", "role")
-        .mapInArrow(_verifier(len(index.second), cosine), "u bigint, v bigint, links bigint")
+        .sortWithinPartitions("length", "at", "role")
+        .mapInArrow(_verifier(n_codes, cosine), "length int, u bigint, v bigint, links bigint")
     )
