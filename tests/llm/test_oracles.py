@@ -37,7 +37,7 @@ def test_matches_sql(spark, database, name):
 
 
 def test_one_query_per_operator():
-    assert [int(n[2:].split("_")[0]) for n in llm_queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in llm_queries()] == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash", "mixing", "bpe"]
 
 

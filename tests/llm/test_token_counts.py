@@ -1,0 +1,66 @@
+"""Token counts against the library, and the proof behind the shortcut."""
+
+from __future__ import annotations
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tests.conftest import DATA
+from tests.llm.tables import documents, prose
+from tests.llm.test_near import TEXTS
+from turnout.llm import bpe, queries, token_counts
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return bpe.Vocabulary(queries.vocabulary_path())
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary_path())
+
+
+def length(library, text):
+    return len(library.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_counts_are_the_library_s(spark, vocabulary, library, monkeypatch):
+    rows = list(enumerate(TEXTS)) + [(None, "null id"), (3, TEXTS[3]), (90, prose(30_000, 3)), (91, "the " * 512), (92, "the " * 513)]
+    rows += [(100 + k, f"a third of all rows {k % 3}") for k in range(40)]
+    docs = documents(spark, rows, clashing=True)
+    want = sorted(((k, len((t or "").encode()), n := length(library, t), n > 512) for k, t in rows), key=str)
+    for remembered in (token_counts.REMEMBERED, 1):
+        monkeypatch.setattr(token_counts, "REMEMBERED", remembered)
+        got = token_counts.count_tokens(docs, vocabulary).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got), key=str) == want
+        assert all(0 <= r.n_whole <= r.n_tokens for r in got) and sum(r.n_whole for r in got) > 1000
+    assert token_counts.count_tokens(docs.limit(0), vocabulary).count() == 0
+    few = token_counts.count_tokens(docs, vocabulary, limit=2).where("doc_id = 90").first()
+    assert few.over_limit
+
+
+def test_whole_tokens_are_proven(vocabulary, library):
+    whole = token_counts.whole_tokens(vocabulary)
+    assert len(whole) == len(set(whole)) > 40_000 and "<|endoftext|>" in whole
+    assert all(length(library, w) == 1 for w in whole[::97])
+    assert not {"", "zzqx"} & set(whole)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" the", "ing", " and", "'s", "x" * 9, " 12", "!?", "é", "\n", "<|endoftext|>", "日本"]), max_size=8))
+def test_a_word_counts_the_same_wherever_it_stands(library, parts):
+    """What the shortcut rests on: the library splits a text first and merges within words only."""
+    text = "".join(parts)
+    words = [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
+    if "<|endoftext|>" not in text:
+        assert length(library, text) == sum(length(library, w) for w in words)
+
+
+def test_registered_counts(spark, library):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    want = {r.doc_id: length(library, r.text) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in queries.op13_token_counts(spark, f"{DATA}/sf0.001").collect()} == want

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from turnout.llm import (
     bpe,
     chat,
+    conversation_repair,
     embedding_dedup,
     exact_dedup,
     language_id,
     mixing,
+    prefix_trie,
     secret_ledger,
     sharding,
     simhash,
+    token_counts,
     toxicity,
 )
-from turnout.llm.common import configure
+from turnout.llm.common import configure, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,6 +129,71 @@ def op10_chat(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with the faults that op11 repairs, as its contract plants them by a checksum."""
+    or_space = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fault = F.crc32(F.concat(or_space["conv_id"], F.lit(":"), or_space["turn"]).cast("binary")) % 20
+    text = or_space["text"]
+    hurt = turns.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(or_space["role"]).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("times"),
+    )
+    return hurt.select("*", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("times", "col")
+
+
+def op11_repair(spark: SparkSession, directory: str) -> DataFrame:
+    turns = _table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    hurt = damaged(turns)
+    plans = stored(conversation_repair.plan_repairs(hurt), "plans")
+    digests = conversation_repair.repaired_digests(hurt, plans)
+    counts = [c for c in plans.columns if c not in ("conv_id", "sequence", "audit")]
+    every = turns.select("conv_id").distinct()
+    for found in (plans.withColumnRenamed("conv_id", "of"), digests.withColumnRenamed("conv_id", "of")):
+        every = every.join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    return every.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def rebuilt(sequences: DataFrame) -> DataFrame:
+    """Conversations that begin with turns of the first one of their hundred, as op12's contract asks."""
+    most = 5
+    own = sequences.select(
+        "conv_id",
+        "turns",
+        (F.col("conv_id") - F.col("conv_id") % 100).alias("base"),
+        (F.crc32(F.col("conv_id").cast("string").cast("binary")) % (most + 1)).cast("int").alias("h"),
+    )
+    heads = sequences.where("conv_id % 100 = 0").select(
+        F.col("conv_id").alias("base"), F.slice("turns", 1, most).alias("head")
+    )
+    nothing = F.array().cast(sequences.schema["turns"].dataType)
+    return own.join(heads, "base", "left").select(
+        "conv_id",
+        F.concat(
+            F.slice(F.coalesce("head", nothing), F.lit(1), F.col("h")),
+            F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns") - F.col("h"), F.lit(0))),
+        ).alias("turns"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, directory: str) -> DataFrame:
+    turns = _table(spark, directory, "conversations")
+    sequences = stored(prefix_trie.turn_sequences(turns), "turns")
+    return prefix_trie.prefix_trie(rebuilt(sequences))
+
+
+def op13_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _table(spark, directory, "documents")
+    return token_counts.count_tokens(docs, bpe.Vocabulary(vocabulary_path()))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -138,4 +206,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_language": op8_language,
         "op9_bpe": op9_bpe,
         "op10_chat": op10_chat,
+        "op11_repair": op11_repair,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_token_counts": op13_token_counts,
     }
