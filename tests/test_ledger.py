@@ -1,0 +1,185 @@
+"""The ledger against full builds: batches in any order, late results, failures, and what is read."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from tests.tiny import competition, rows
+from turnout import build_attendance
+from turnout.sources import ledger, versions
+from turnout.sources.tables import COMPETITIONS, Sources
+
+COLUMNS = ("competition_id", "person_id", "date", "year", "quarter", "is_newcomer")
+
+
+def ledger_of(spark, folder, batches, buckets=4):
+    directory = f"{folder}/ledger"
+    ledger.create_ledger(spark, directory, "Home", buckets)
+    for batch in batches:
+        ledger.update_ledger(spark, directory, batch)
+    return directory
+
+
+def assert_same(spark, directory, whole):
+    want = build_attendance(whole, "Home")
+    got = ledger.read_ledger(spark, directory)
+    assert rows(got.attendance, *COLUMNS) == rows(want.attendance, *COLUMNS)
+    assert rows(got.first_dates, "person_id", "first_comp_date") == rows(want.first_dates, "person_id", "first_comp_date")
+    assert rows(got.competitions, *want.competitions.columns) == rows(want.competitions)
+    assert rows(got.persons) == rows(want.persons)
+
+
+def batch(spark, events=(), results=(), persons=()):
+    return Sources(spark.createDataFrame(list(events), COMPETITIONS), *_tables(spark, results, persons))
+
+
+def _tables(spark, results, persons):
+    return (
+        spark.createDataFrame([(c, p, "Home") for c, p in results], "competition_id string, person_id string, person_country_id string"),
+        spark.createDataFrame(list(persons), "person_id string, sub_id int, name string, country_id string"),
+    )
+
+
+def joined(spark, batches):
+    parts = [[b.competitions, b.results, b.persons] for b in batches]
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = [a.unionByName(b) for a, b in zip(whole, more)]
+    return Sources(whole[0].distinct(), whole[1], whole[2])
+
+
+EVENTS = [
+    competition("a18", "2018-03-01"), competition("a19", "2019-05-01"), competition("b19", "2019-05-01"),
+    competition("a20", "2020-02-01"), competition("far17", "2017-01-01", country="Away"),
+    competition("gone18", "2018-01-01", cancelled=1), competition("a21", "2021-06-01"),
+]
+EVENT = {e[0]: e for e in EVENTS}
+
+
+def test_a_late_result_moves_the_debut_back(spark, folder):
+    first = batch(spark, [EVENT["a19"], EVENT["b19"], EVENT["a20"]], [("a19", "p"), ("b19", "p"), ("a20", "p"), ("a20", "q")], [("p", 1, "P", "Home"), ("p", 2, "old", "Home")])
+    late = batch(spark, [EVENT["a18"]], [("a18", "p"), ("a20", "q")], [("q", 1, "Q", "Home")])
+    directory = ledger_of(spark, folder, [first])
+    marks = {r.competition_id for r in ledger.read_ledger(spark, directory).attendance.where("person_id = 'p' and is_newcomer").collect()}
+    assert marks == {"a19", "b19"}
+    ledger.update_ledger(spark, directory, late)
+    marks = {r.competition_id for r in ledger.read_ledger(spark, directory).attendance.where("person_id = 'p' and is_newcomer").collect()}
+    assert marks == {"a18"}
+    assert_same(spark, directory, joined(spark, [first, late]))
+    # An event abroad, and a cancelled one, move it further.
+    abroad = batch(spark, [EVENT["far17"]], [("far17", "p")])
+    gone = batch(spark, [EVENT["gone18"]], [("gone18", "q")])
+    ledger.update_ledger(spark, directory, abroad)
+    ledger.update_ledger(spark, directory, gone)
+    assert ledger.read_ledger(spark, directory).attendance.where("is_newcomer").count() == 0
+    assert_same(spark, directory, joined(spark, [first, late, abroad, gone]))
+
+
+def test_results_wait_for_their_event(spark, folder):
+    early = batch(spark, [EVENT["a20"]], [("a20", "p"), ("a18", "p"), ("a18", "q"), ("never", "q")])
+    later = batch(spark, [EVENT["a18"]], [])
+    directory = ledger_of(spark, folder, [early])
+    assert ledger.read_ledger(spark, directory).first_dates.count() == 1
+    ledger.update_ledger(spark, directory, later)
+    assert_same(spark, directory, joined(spark, [early, later]))
+    ledger.update_ledger(spark, directory, later)  # the same again changes nothing
+    assert_same(spark, directory, joined(spark, [early, later]))
+    assert_same(spark, ledger_of(spark, f"{folder}/empty", []), batch(spark))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_batches_in_any_order(spark, folder, seed):
+    rng = random.Random(seed)
+    events = [
+        competition(f"c{k}", f"{rng.randint(2015, 2021)}-{rng.randint(1, 12):02}-{rng.randint(1, 4):02}", country=rng.choice(["Home", "Home", "Away"]), cancelled=int(rng.random() < 0.1))
+        for k in range(40)
+    ]
+    results = [(f"c{rng.randrange(44)}", rng.choice(["busy", f"p{rng.randrange(60)}"])) for _ in range(500)]
+    persons = [(f"p{k}", 1, f"P{k}", "Home") for k in range(60)] + [("busy", 1, "B", "Away"), ("p1", 2, "old", "Home")]
+    batches = []
+    for k in range(4):
+        some = [e for e in events if rng.random() < 0.2] if k else []  # an event may come twice, unchanged
+        batches.append(batch(spark, events[k::4] + [e for e in some if e not in events[k::4]], results[k::4] + results[:20], persons[k::4]))
+    rng.shuffle(batches)
+    assert_same(spark, ledger_of(spark, folder, batches), joined(spark, batches))
+
+
+def test_changed_events_are_refused_and_change_nothing(spark, folder):
+    first = batch(spark, [EVENT["a19"]], [("a19", "p")])
+    directory = ledger_of(spark, folder, [first])
+    before = versions.numbers(spark, directory)
+    with pytest.raises(ValueError, match="a19"):
+        ledger.update_ledger(spark, directory, batch(spark, [competition("a19", "2019-05-02")], [("a19", "q")]))
+    assert versions.numbers(spark, directory) == before
+    assert_same(spark, directory, first)
+    with pytest.raises(ValueError):
+        ledger.create_ledger(spark, directory, "Home")
+    with pytest.raises(ValueError):
+        ledger.update_ledger(spark, f"{folder}/none", first)
+
+
+def read_folders(spark, monkeypatch, directory, update):
+    """The data folders of the ledger that an update opens."""
+    seen = set()
+    plain = versions.read_part
+
+    def noted(spark, directory, table, parts=None):
+        frame = plain(spark, directory, table, parts)
+        seen.update("/".join(f.split(directory)[1].split("/")[2:4]) for f in frame.inputFiles())
+        return frame
+
+    monkeypatch.setattr(versions, "read_part", noted)
+    update()
+    monkeypatch.undo()
+    return seen
+
+
+def test_an_update_reads_its_own_years_and_buckets_only(spark, folder, monkeypatch):
+    events = [competition(f"y{y}", f"{y}-05-01") for y in range(2000, 2020)]
+    results = [(e[0], f"p{k}") for k, e in enumerate(events)] + [("y2003", "late"), ("y2010", "late")]
+    directory = ledger_of(spark, folder, [batch(spark, events, results)], buckets=32)
+    delta = batch(spark, [competition("new", "2001-07-01")], [("new", "late"), ("new", "fresh")])
+    read = read_folders(spark, monkeypatch, directory, lambda: ledger.update_ledger(spark, directory, delta))
+    # 2001 has the new event, 2003 the debut that was taken back; 2010 stays unread.
+    assert {f for f in read if f.startswith("attendance")} == {"attendance/_part=2001", "attendance/_part=2003"}
+    assert len([f for f in read if f.startswith("first_dates")]) <= 2 and len([f for f in read if f.startswith("events")]) <= 1
+    after = versions.current(spark, directory).tables["attendance"].parts
+    fresh = after["2001"][0].split("/")[0]
+    assert {year for year, folders in after.items() if folders[0].startswith(fresh)} == {"2001", "2003"}
+    again = ledger.read_ledger(spark, directory).attendance
+    assert [r.competition_id for r in again.where("person_id = 'late' and is_newcomer").collect()] == ["new"]
+
+
+def test_a_run_that_fails_leaves_the_ledger(spark, folder, monkeypatch):
+    first = batch(spark, [EVENT["a19"]], [("a19", "p")])
+    directory = ledger_of(spark, folder, [first])
+    second = batch(spark, [EVENT["a18"]], [("a18", "p")])
+    stage, calls = versions.stage, []
+
+    def failing(df, *args):
+        calls.append(1)
+        if len(calls) == 4:
+            raise OSError("disk is full")
+        return stage(df, *args)
+
+    monkeypatch.setattr(versions, "stage", failing)
+    with pytest.raises(OSError):
+        ledger.update_ledger(spark, directory, second)
+    monkeypatch.undo()
+    assert_same(spark, directory, first)
+    ledger.update_ledger(spark, directory, second)
+    assert_same(spark, directory, joined(spark, [first, second]))
+    assert len(versions.forget(spark, directory, keep=1)) >= 2
+    assert_same(spark, directory, joined(spark, [first, second]))
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, folder):
+    directory = ledger_of(spark, folder, [])
+    version = versions.current(spark, directory)
+    with pytest.raises(RuntimeError):
+        versions.publish(spark, directory, version)
+    assert versions.numbers(spark, directory) == [1]
+    with pytest.raises(ValueError):
+        versions.read(spark, directory, "nothing")
