@@ -551,6 +551,40 @@ def table_series_matrix():
     )
 
 
+def persons_by_span():
+    return _model(
+        """SELECT kind, CAST(year AS INTEGER) AS year, CAST(quarter AS INTEGER) AS quarter, n_persons FROM (
+          SELECT 'last 4 quarters' AS kind, e.k // 4 AS year, e.k % 4 + 1 AS quarter, count(DISTINCT person_id) AS n_persons
+          FROM (SELECT unnest(range(min(year * 4 + quarter - 1), max(year * 4 + quarter - 1) + 1)) AS k FROM att) e
+               JOIN att ON year * 4 + quarter - 1 BETWEEN e.k - 3 AND e.k GROUP BY e.k
+          UNION ALL SELECT 'year', year, NULL, count(DISTINCT person_id) FROM att GROUP BY year
+          UNION ALL SELECT 'to date', e.y, NULL, count(DISTINCT person_id)
+          FROM (SELECT unnest(range(min(year), max(year) + 1)) AS y FROM att) e JOIN att ON year <= e.y GROUP BY e.y)"""
+    )
+
+
+def quarantine_report():
+    faults = {
+        "competitions": {
+            "missing id": "n % 59 = 0", "wrong day": "n % 43 = 0", "wrong cancelled": "n % 47 = 0",
+            "wrong latitude_microdegrees": "n % 53 = 0", "no such date": "n % 41 = 0 AND n % 43 <> 0",
+        },
+        "results": {"missing person_id": "n % 61 = 0", "missing competition_id": "n % 67 = 0"},
+        "persons": {"wrong sub_id": "n % 71 = 0", "missing person_id": "n % 73 = 0"},
+    }
+    numbered = {
+        "competitions": "SELECT CAST(split_part(id, '-', 1) AS BIGINT) * 31 + CAST(split_part(id, '-', 2) AS BIGINT) AS n FROM competitions",
+        "results": "SELECT CAST(split_part(substr(person_id, 2), '-', 1) AS BIGINT) AS n FROM results",
+        "persons": "SELECT CAST(split_part(substr(person_id, 2), '-', 1) AS BIGINT) AS n FROM persons",
+    }
+    counts = []
+    for table, reasons in faults.items():
+        bad = " OR ".join(f"({where})" for where in reasons.values())
+        for reason, where in {**reasons, "rejected": bad, "accepted": f"NOT ({bad})"}.items():
+            counts.append(f"SELECT '{table}' AS \"table\", '{reason}' AS reason, count(*) AS n FROM ({numbered[table]}) WHERE {where}")
+    return _with(f"SELECT * FROM ({' UNION ALL '.join(counts)}) WHERE n > 0")
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "q01_comps_per_quarter": q01(),
@@ -629,4 +663,8 @@ def all_oracles() -> dict[str, str]:
             SERIES,
         ),
         "table_series_matrix": table_series_matrix(),
+        "ledger_attendance": _model("SELECT * EXCLUDE (first_comp_date) FROM every_att"),
+        "ledger_first_dates": _model("SELECT * FROM first_comp"),
+        "persons_by_span": persons_by_span(),
+        "quarantine_report": quarantine_report(),
     }

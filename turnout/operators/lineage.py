@@ -16,6 +16,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(directory)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for tables that a job writes and reads again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored, so that a lost executor costs a read, not the whole loop.
 

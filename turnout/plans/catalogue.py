@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from turnout.operators.cohorts import debuts, followups, return_counts
 from turnout.operators.periods import last_years
 from turnout.operators.returning import returning_newcomers
-from turnout.plans import activity, attraction, newcomers, recurring, summary, travel, trends
+from turnout.plans import activity, attraction, newcomers, recurring, summary, travel, trends, upkeep
 from turnout.plans.workspace import Workspace
 from turnout.session import configure
+from turnout.sources.quarantine import rejection_report
 from turnout.sources.star_schema import star_schema_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +166,13 @@ TABLES: dict[str, Query] = {
     "table_series_matrix": _report(recurring.series_wide),
 }
 
+UPKEEP: dict[str, Query] = {
+    "ledger_attendance": _shared(lambda w: w.ledger.attendance),
+    "ledger_first_dates": _shared(lambda w: w.ledger.first_dates),
+    "persons_by_span": _shared(lambda w: upkeep.spans_of_persons(w.rollup)),
+    "quarantine_report": _shared(lambda w: rejection_report(w.checked)),
+}
+
 
 def all_queries() -> dict[str, Query]:
-    return {**REPORTS, **LAST_YEARS, **VARIANTS, **TABLES}
+    return {**REPORTS, **LAST_YEARS, **VARIANTS, **TABLES, **UPKEEP}

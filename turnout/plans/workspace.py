@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import uuid
+from dataclasses import fields, replace
 from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from turnout.operators.attendance import AttendanceModel, build_attendance
+from turnout.operators.lineage import shared_folder
 from turnout.operators.periods import last_years
-from turnout.plans import travel
+from turnout.plans import travel, upkeep
+from turnout.sources.ledger import create_ledger, read_ledger, update_ledger
+from turnout.sources.quarantine import Checked, ingest_sources
 from turnout.sources.tables import Sources
 
 
@@ -64,6 +68,37 @@ class Workspace:
     def spread(self) -> DataFrame:
         return self._keep(travel.spread(self.map, self.regions))
 
+    @cached_property
+    def folder(self) -> str:
+        """Where the workspace writes tables that it reads again."""
+        spark = self.sources.results.sparkSession
+        return f"{shared_folder(spark)}/workspace-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+    @cached_property
+    def ledger(self) -> AttendanceModel:
+        """The model once more, merged from batches that arrive out of order."""
+        spark = self.sources.results.sparkSession
+        arrived = {}
+        for table in fields(self.sources):
+            path = f"{self.folder}/arrived/{table.name}"
+            df = getattr(self.sources, table.name)
+            df.write.parquet(path)
+            arrived[table.name] = spark.read.schema(df.schema).parquet(path)
+        directory = f"{self.folder}/ledger"
+        create_ledger(spark, directory, self.country)
+        for batch in upkeep.late_batches(Sources(**arrived)):
+            update_ledger(spark, directory, batch)
+        return read_ledger(spark, directory)
+
+    @cached_property
+    def rollup(self) -> DataFrame:
+        return self._keep(upkeep.rollup_of(self.model))
+
+    @cached_property
+    def checked(self) -> dict[str, Checked]:
+        """The sources as text with planted faults, after the bad rows were set aside."""
+        return ingest_sources(*upkeep.faulty_text(self.sources), f"{self.folder}/checked")[1]
+
     def release(self) -> None:
         """Free what is kept; reports built from it stay valid and recompute it."""
         for df in self._kept:

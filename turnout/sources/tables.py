@@ -103,17 +103,26 @@ def conform(
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str = "\t", null_value: str = "NULL", multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    sep: str = "\t",
+    null_value: str = "NULL",
+    multi_line: bool = False,
+    corrupt: str | None = None,
 ) -> DataFrame:
     """Delimited text with a header line; every column is text, quotes are doubled inside quotes.
 
     Nothing is inferred, so the files are scanned once, and they stay splittable unless quoted
-    fields hold line breaks (``multi_line``).
+    fields hold line breaks (``multi_line``). Lines with too few or too many fields are read as far
+    as they go; a column named by ``corrupt`` holds them.
     """
     options = {
         "sep": sep, "header": True, "nullValue": null_value, "quote": '"', "escape": '"', "multiLine": multi_line,
     }
     first = spark.read.options(**options).csv(path).schema
+    if corrupt is not None:
+        first = T.StructType([*first, T.StructField(corrupt, T.StringType())])
+        options["columnNameOfCorruptRecord"] = corrupt
     # The header of every file is compared with the first one's: files of another order are an error.
     return spark.read.options(**options, enforceSchema=False).schema(first).csv(path)
 
