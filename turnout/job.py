@@ -32,12 +32,18 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--country", required=True)
     parser.add_argument("--output", required=True, help="directory for the result tables")
     parser.add_argument("--last", type=_positive, help="the last N years only; default: all history and the last 5 years")
+    parser.add_argument(
+        "--versions", action="store_true", help="publish all tables at once as the next version of the output directory"
+    )
     parser.add_argument("--year", type=int, help="year of the map and of the returning-newcomers report")
     return parser.parse_args(argv)
 
 
 def run(spark: SparkSession, options: argparse.Namespace) -> list[str]:
-    """Write every report asked for and return the paths."""
+    """Write every report asked for and return the paths.
+
+    With ``--versions`` readers go on with the version before until the last table is written.
+    """
     sources = read_tables(
         configure(spark), options.competitions, options.results, options.persons,
         format=options.format, person_key=options.person_key,
@@ -47,26 +53,32 @@ def run(spark: SparkSession, options: argparse.Namespace) -> list[str]:
     for df in kept:
         df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _write(sources, model, options)
+        if not options.versions:
+            return [path for path, _ in _write(sources, model, options, options.output)]
+        version = bundle.publish_bundle(
+            spark, options.output, lambda folder: _write(sources, model, options, folder)
+        )
+        return [f"{options.output}/{folders[0]}" for table in version.tables.values() for folders in table.parts.values()]
     finally:
         for df in kept:
             df.unpersist()
 
 
-def _write(sources: Sources, model: AttendanceModel, options: argparse.Namespace) -> list[str]:
-    """Every table of the model, which is computed once for all of them."""
+def _write(
+    sources: Sources, model: AttendanceModel, options: argparse.Namespace, output: str
+) -> list[tuple[str, str]]:
+    """Path and title of every table of the model, which is computed once for all of them."""
     periods = bundle.summary.PERIODS if options.last is None else (options.last,)
-    paths = [path for path, _ in bundle.write_bundle(model, options.output, periods)]
+    written = bundle.write_bundle(model, output, periods)
     for years in periods:
-        paths.append(bundle.write_cohort_summary(model, options.output, years))
-        paths.append(bundle.write_series_matrix(model, options.output, years))
+        written.append((bundle.write_cohort_summary(model, output, years), "Cohort retention"))
+        written.append((bundle.write_series_matrix(model, output, years), "Recurring series by year"))
     if options.year is not None:
         map_ = year_map(sources, options.year, options.country)
-        paths += [path for path, _ in bundle.write_year_map(map_, options.output)]
-        paths.append(
-            bundle.write_returning_newcomers(sources, options.output, options.year, options.country)
-        )
-    return paths
+        written += bundle.write_year_map(map_, output)
+        path = bundle.write_returning_newcomers(sources, output, options.year, options.country)
+        written.append((path, "Newcomers who came back"))
+    return written
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -6,12 +6,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from turnout.operators.attendance import AttendanceModel
 from turnout.operators.periods import last_years, period_label, period_suffix
 from turnout.operators.returning import returning_newcomers
 from turnout.plans import activity, attraction, newcomers, recurring, summary, travel, trends
+from turnout.sources import versions
 from turnout.sources.sinks import write_table
 from turnout.sources.tables import Sources
 
@@ -43,6 +44,10 @@ CHARTS: tuple[tuple[str, str, Plan], ...] = (
 )
 
 
+# Reports that are written as CSV whatever the format of the others.
+CSV_TABLES = ("newcomer_cohort_summary", "recurring_series", "returning_newcomers")
+
+
 def without_first_event(model: AttendanceModel) -> AttendanceModel:
     """The model without the first event of each attendance, which no chart reads and which costs joins."""
     return replace(model, attendance=model.attendance.drop("first_comp_date"))
@@ -83,6 +88,40 @@ def write_bundle(
             df.unpersist()
 
 
+def publish_bundle(
+    spark: SparkSession,
+    directory: str,
+    write: Callable[[str], Sequence[tuple[str, str]]],
+    format: str = "parquet",
+    keep: int = 2,
+) -> versions.Version:
+    """Write a set of report tables and make all of them current at once.
+
+    ``write`` gets a folder of its own and returns the path and title of every table below it, as the
+    writers of this module do. The manifest that names the tables comes last, so readers see the bundle
+    before or the whole new one, also if the run fails between two tables. ``keep`` versions stay; what
+    readers of older ones have open goes.
+    """
+    before = versions.current(spark, directory)
+    folder = versions.new_folder()
+    tables = {}
+    for path, title in write(f"{directory}/{folder}"):
+        name = path.rsplit("/", 1)[1]
+        kind = "csv" if name.startswith(CSV_TABLES) else format
+        options = versions.CSV_OPTIONS if kind == "csv" else {}
+        schema = spark.read.options(**options).format(kind).load(path).schema
+        tables[name] = versions.Table(schema, {"": (f"{folder}/{path.rsplit(folder + '/', 1)[1]}",)}, kind, title)
+    number = 1 if before is None else before.number + 1
+    version = versions.publish(spark, directory, versions.Version(number, tables))
+    versions.forget(spark, directory, keep)
+    return version
+
+
+def read_bundle(spark: SparkSession, directory: str, name: str, number: int | None = None) -> DataFrame:
+    """A table of the current bundle, or of a kept version of it."""
+    return versions.read(spark, directory, name, number)
+
+
 def write_year_map(map_: travel.YearMap, directory: str, format: str = "parquet") -> list[tuple[str, str]]:
     """Write the tables of a year's map; regions and travel spread are computed once."""
     kept = [map_.events.persist(StorageLevel.MEMORY_AND_DISK), map_.participants.persist(StorageLevel.MEMORY_AND_DISK)]
