@@ -173,6 +173,23 @@ def test_exact_copies_go_row_by_row(spark):
     assert len(got) == len(want) + 1  # and one of the empty ones
 
 
+def test_the_recipe_decides(spark, monkeypatch):
+    rows = [(1, "one text"), (2, "one  text"), (3, "another")]
+    docs = documents(spark, rows)
+    assert {r.doc_id: r.keep_id for r in exact_dedup.find_duplicates(docs).collect()} == {1: 2, 2: 2, 3: 3}
+    plain = exact_dedup.recipes
+
+    def with_chunks(change):
+        monkeypatch.setattr(exact_dedup, "recipes", lambda d: plain(d).withColumn("chunks", F.transform("chunks", change)))
+        return {r.doc_id: r.keep_id for r in exact_dedup.find_duplicates(docs).collect()}
+
+    # One id for every chunk: the check and the length still part the texts, as after a collision.
+    same_id = with_chunks(lambda c: c.withField("id", F.lit(b"x")))
+    assert same_id == {1: 2, 2: 2, 3: 3}
+    blind = with_chunks(lambda c: c.withField("id", F.lit(b"x")).withField("check", F.lit(1)).withField("length", F.lit(7)))
+    assert blind == {1: 2, 2: 2, 3: 2}
+
+
 def test_equal_passages_are_cut_into_equal_chunks(spark):
     passage = prose(3000, 9)
     docs = documents(spark, [(1, prose(100, 1) + passage), (2, prose(331, 2) + passage)])

@@ -83,31 +83,43 @@ def chunk_dictionary(recipe_table: DataFrame) -> DataFrame:
     )
 
 
+def recipe_of(chunks: Column) -> Column:
+    """The digest of the ordered list of verified identifiers: of each chunk the id, check and length.
+
+    Two chunks that share an id but not its verification are different here, so a collision parts
+    texts instead of joining them. A text without chunks has the digest of nothing.
+    """
+    names = F.transform(
+        chunks, lambda c: F.concat_ws(":", F.hex(c["id"]), c["check"].cast("string"), c["length"].cast("string"))
+    )
+    return F.unhex(F.sha2(F.array_join(names, ","), 256))
+
+
 def find_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``.
 
-    Texts are equal if they are identical without white space. The row with the most code points
-    stays, then the smallest doc_id, a null one last. Null and empty texts are one group. Rows that
-    repeat a doc_id within a group are the same document: they share its decision. An empty table
-    gives no row.
+    Texts are equal if they are identical without white space, which is if their recipes are equal. The
+    row with the most code points stays, then the smallest doc_id, a null one last. Null and empty texts
+    are one group. Rows that repeat a doc_id within a group are the same document: they share its
+    decision. An empty table gives no row.
 
     Recipes, not texts, are grouped and joined. A group of any size is combined before the shuffle,
     and only groups of two or more are joined back, by a join that adaptive execution can split.
     """
-    table = stored(recipes(docs), "recipes")
-    if not chunk_dictionary(table).where("not verified").isEmpty():
-        raise ValueError("two different chunks share an identifier")
+    table = stored(
+        recipes(docs).select("doc_id", "n_points", "text_sha256", recipe_of(F.col("chunks")).alias("recipe")), "recipes"
+    )
     order = F.struct(
         (-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("last"), F.col("doc_id")
     )
     groups = (
-        table.select(F.transform("chunks", lambda c: c["id"]).alias("ids"), "text_sha256", order.alias("best"))
-        .groupBy("ids", "text_sha256")
+        table.select("recipe", order.alias("best"))
+        .groupBy("recipe")
         .agg(F.min("best").alias("best"), F.count("*").alias("n"))
         .where("n > 1")
-        .select(F.col("text_sha256").alias("key"), F.col("best.doc_id").alias("best_id"), "n")
+        .select(F.col("recipe").alias("key"), F.col("best.doc_id").alias("best_id"), "n")
     )
-    joined = table.join(apart(groups), F.col("text_sha256") == F.col("key"), "left")
+    joined = table.join(apart(groups), F.col("recipe") == F.col("key"), "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
     return joined.select(
         "doc_id",
