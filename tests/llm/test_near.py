@@ -106,71 +106,35 @@ def test_crowded_buckets_lose_no_link(spark, block):
     assert got == want and len(set(want.values())) < len(fps)
 
 
-def test_similar_documents_are_those_of_the_threshold(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CLUSTER_BLOCK", 16)
-    rng = random.Random(8)
-    rows = [(k, prose(rng.randint(0, 120), k)) for k in range(60)]
-    for k in range(80):
-        words = prose(200, 1000 + k % 4).split()
-        for _ in range(rng.randint(0, 12)):
-            words[rng.randrange(200)] = rng.choice("xyz") * 9
-        rows.append((100 + k, " ".join(words)))
-    rows += [(500, None), (501, ""), (502, " ")]
-
-    def shingles(text):
-        t = (text or "").lower().split()
-        return {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set()
-
-    sets = {k: shingles(t) for k, t in rows}
-    links = [
-        (a, b) for a in sets for b in sets
-        if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    ]
-    want = smallest_reachable(sets, links)
-    linked = {n for pair in links for n in pair}
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, rows)).collect()}
-    missed = [n for n in linked if got.get(n) != want[n]]
-    assert len(missed) <= 0.02 * len(linked) and set(got) <= linked
-
-
-def test_similar_documents_may_repeat_lines_unequally(spark):
+def test_near_rows_go_row_by_row(spark):
+    rng = random.Random(9)
     rows = []
-    for k in range(40):
-        words, line = prose(204, 5000 + k), prose(14, 6000 + k)
-        rows += [(2 * k, f"{words} {line}"), (2 * k + 1, f"{words} {' '.join([line] * (5 + k))}")]
-
-    def shingles(text):
-        t = text.split()
-        return {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
-
-    sets = {k: shingles(t) for k, t in rows}
-    links = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    want = smallest_reachable(sets, links)
-    assert len(links) == 40
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, rows)).collect()}
-    assert got == want
-
-
-def test_similar_rows_go_row_by_row(spark):
-    def near(k, n):
-        words = prose(200, 7000 + k).split()
-        words[n] = "other"
-        return " ".join(words)
-
-    rows = [(k % 10, near(k % 10, n)) for k in range(10) for n in (20, 90)] * 2  # ids repeat, in two batches
-    rows += [(None, near(k, 150)) for k in range(12)] * 2  # without an id; 10 and 11 are near nothing else
-    rows += [(3, prose(150, 7100)), (3, near(4, 70)), (None, prose(150, 7101))]
+    for k in range(12):
+        words = prose(300, 7000 + k).split()
+        for n in range(8):
+            near = list(words)
+            near[rng.randrange(300)] = f"other{n % 3}"
+            rows.append((k % 10, " ".join(near)))  # ids repeat, some with texts of two classes
+    rows += rows[:30]  # a batch twice
+    rows += [(None, rows[0][1]), (None, prose(60, 1)), (None, prose(60, 1)), (500, None), (501, ""), (502, " \n")]
     docs = documents(spark, rows, clashing=True).repartition(5)
-    kept = simhash.drop_similar(docs)
+    kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    got = [(r.doc_id, r.text) for r in kept.collect()]
-    # Text 4 has a row of doc_id 3 now, which comes first.
-    want = [(k, k) for k in range(10) if k != 4] + [(3, 4), (None, 10), (None, 11)]
-    starts = {prose(200, 7000 + k)[:60]: k for k in range(12)}
-    assert sorted(((k, starts[t[:60]]) for k, t in got if t[:60] in starts), key=str) == sorted(want, key=str)
-    rest = [(k, t) for k, t in got if t[:60] not in starts]
-    assert sorted(rest, key=str) == sorted([(3, prose(150, 7100)), (None, prose(150, 7101))], key=str)
-    assert simhash.similar_documents(docs).count() == len(rows) - 2
+    prints = [plain_simhash(t) for _, t in rows]
+    distinct = sorted(set(prints))
+    links = [(a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 3]
+    classes = smallest_reachable(distinct, links)
+    want, got = {}, {}
+    for (doc_id, _), print_ in zip(rows, prints):
+        best = want.setdefault(classes[print_], doc_id)
+        if doc_id is not None and (best is None or doc_id < best):
+            want[classes[print_]] = doc_id
+    for r in kept.collect():
+        of = classes[plain_simhash(r.text)]
+        assert of not in got
+        got[of] = r.doc_id
+    assert got == want and len(links) > 20
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, node string, vec string, links string"

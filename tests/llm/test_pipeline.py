@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tests.conftest import DATA
+from tests.llm.test_near import plain_simhash, smallest_reachable
 from turnout.llm import mixing, toxicity
 from turnout.llm.common import clear_stored, shared_folder, stored
 from turnout.llm.queries import vocabulary_path
@@ -55,24 +56,11 @@ def test_one_of_each_group_of_copies_stays(results):
     assert {r["doc_id"] for r in rows(results[2])} == {min(g)[1] for g in groups.values()}
 
 
-def test_one_of_each_group_of_similar_documents_stays(results):
-    def shingles(text):
-        t = (text or "").encode().lower().split()
-        return {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set()
-
-    sets = {r["doc_id"]: shingles(r["text"]) for r in rows(results[2])}
-    parent = {d: d for d in sets}
-
-    def find(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
-
-    for a in sets:
-        for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and find(a) != find(b):
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    assert {r["doc_id"] for r in rows(results[3])} == {d for d in sets if find(d) == d}
+def test_one_of_each_class_of_near_fingerprints_stays(results):
+    prints = {r["doc_id"]: plain_simhash(r["text"]) for r in rows(results[2])}
+    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    classes = smallest_reachable(prints, links)
+    assert {r["doc_id"] for r in rows(results[3])} == {d for d in prints if classes[d] == d}
 
 
 def test_the_mix_repeats_what_the_plan_says(results):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -269,6 +267,13 @@ def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(print, component_id) of every fingerprint (fp0, node); the component is its smallest node."""
+    classes = components(near_links(prints.where("node is not null"), exact_masks()))
+    joined = prints.join(classes.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    return joined.select(F.col("fp0").alias("print"), F.coalesce("component", "node").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept) per row of ``docs``.
 
@@ -279,12 +284,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> Da
     fingerprint's class, or null if no other row is in it. Further columns are ignored.
     """
     table = stored(fingerprints(docs, words, seed), "fingerprints")
-    prints = table.groupBy("fp0").agg(F.min("doc_id").alias("node"))
-    classes = components(near_links(prints.where("node is not null"), exact_masks()))
-    of_print = (
-        prints.join(classes.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-        .select(F.col("fp0").alias("print"), F.coalesce("component", "node").alias("component_id"))
-    )
+    of_print = _classes(table.groupBy("fp0").agg(F.min("doc_id").alias("node")))
     return table.join(apart(of_print), F.col("fp0") == F.col("print")).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"),
@@ -293,169 +293,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> Da
     )
 
 
-# Similar documents: shingles, least similarity, and how the search for them is set up.
-SIMILAR_WORDS, SIMILARITY = 5, 0.8
-CANDIDATE_RECALL = 0.99
-PRINTS_A_BUCKET = 64
-CLUSTER_BLOCK = 512
-
-
-def expected_share(similarity: float) -> float:
-    """The share of bits in which fingerprints of texts of a similarity differ on average."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def sampled_masks(n_prints: int, similarity: float, bits: int, recall: float) -> list[tuple[int, ...]]:
-    """Masks of random bits; texts of the similarity share the bits of one of them with chance ``recall``.
-
-    Masks are longer for larger tables, so that buckets keep their size, and then there are more.
-    """
-    length = max(6, round(math.log2(max(2, n_prints) / PRINTS_A_BUCKET)))
-    chance = (1 - expected_share(similarity)) ** length
-    n_masks = math.ceil(math.log(1 - recall) / math.log(1 - chance))
-    rng = random.Random(17)
-    chosen = [sum(1 << b for b in rng.sample(range(bits), length)) for _ in range(n_masks)]
-    return [tuple(m >> 64 * k & (1 << 64) - 1 for k in range(bits // 64)) for m in chosen]
-
-
-def _verifier(similarity: float, radius: int):
-    """Links of rows (bucket, side, node, fp0, fp1, shingles) sorted by bucket, exact and as a forest."""
-
-    def links(rows: list[tuple]) -> Iterator[tuple]:
-        side = np.array([r[1] for r in rows])
-        fps = np.array([r[3:5] for r in rows], np.int64).view(np.uint64)
-        sizes = np.array([len(r[5]) for r in rows])
-        root = np.arange(len(rows))
-        for a in np.flatnonzero(side != 1):
-            others = np.arange(a) if side[a] == 0 else np.flatnonzero(side == 1)
-            bits = np.bitwise_count(fps[others] ^ fps[a]).sum(axis=1)
-            near = (bits <= radius) & (np.minimum(sizes[others], sizes[a]) >= similarity * np.maximum(sizes[others], sizes[a]))
-            own = rows[a][5]
-            for b in others[near]:
-                if root[a] == root[b]:  # already connected
-                    continue
-                other = rows[b][5]
-                if len(own):
-                    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                    common = int((own[at] == other).sum())
-                else:
-                    common = 0
-                union = len(own) + len(other) - common
-                if common >= similarity * union:  # two empty texts are equal
-                    root[root == root[b]] = root[a]
-        for a in np.flatnonzero(root != np.arange(len(rows))):
-            yield rows[a][2], rows[root[a]][2]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-
-        def found() -> pa.RecordBatch:
-            pairs = list(links(waiting)) if len(waiting) > 1 else []
-            waiting.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"]
-            )
-
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            lists = batch.column(5)
-            for k, row in enumerate(zip(*columns)):
-                if waiting and waiting[0][0] != row[0]:
-                    yield found()
-                waiting.append((*row, lists[k].values.to_numpy()))
-        if waiting:
-            yield found()
-
-    return run
-
-
-def similar_rows(
-    rows: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, seed: int = SEED
-) -> DataFrame:
-    """(row_id, component_id) of every row of a numbered table that is similar to another one.
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """``docs`` with exactly one row of each class of :func:`near_duplicates`, with all its columns.
 
-    Rows are linked if the Jaccard similarity of their texts' sets of shingles is at least
-    ``similarity``. Candidates come from fingerprints of 128 bits over the same sets, compared bit-sliced
-    within the buckets of sampled masks; the shingles of candidates then decide. Links are emitted as
-    forests, and pairs that are already connected are not compared again. Null and empty texts are
-    similar to each other only. ``component_id`` is the smallest row_id of those that links connect.
+    Rows are decided about one by one, by numbers stored with them, so a doc_id may be null or
+    repeated. The first row by doc_id stays, null last, then by a hash of the row. Texts without words
+    are one class, of which one row stays. A class of any size is combined before the shuffle.
     """
-    docs = rows.select(F.col("row_id").alias("doc_id"), field("text").alias("text"))
-    table = stored(fingerprints(docs, words, seed, 2, distinct=True), "fingerprints")
-    prints = stored(
-        table.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "prints"
-    )
-    share = expected_share(similarity)
-    radius = round(128 * share + 3 * math.sqrt(128 * share * (1 - share)))
-    masks = sampled_masks(prints.count(), similarity, 128, CANDIDATE_RECALL)
-    classes = components(near_links(prints.select("node", "fp0", "fp1"), masks, radius))
-    clusters = (
-        prints.join(classes.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-        .where("component is not null or n > 1")
-        .select(F.col("fp0").alias("p0"), F.col("fp1").alias("p1"), F.coalesce("component", "node").alias("bucket"))
-    )
-    members = table.join(apart(clusters), (F.col("fp0") == F.col("p0")) & (F.col("fp1") == F.col("p1"))).select(
-        F.col("doc_id").alias("node"), "fp0", "fp1", "bucket"
-    )
-    texts = rows.select("row_id", text_or_empty().alias("text"))
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for text in batch.column(4):
-                digests = shingle_digests(text.as_py().encode(), words, lambda b: xxhash.xxh64_intdigest(b, seed))
-                sets.append(np.unique(np.array(digests, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(sets, pa.list_(pa.int64()))],
-                names=["bucket", "node", "fp0", "fp1", "shingles"],
-            )
-
-    candidates = stored(
-        texts.join(apart(members), F.col("row_id") == F.col("node"))
-        .select("bucket", "node", "fp0", "fp1", "text")
-        .mapInArrow(shingled, "bucket bigint, node bigint, fp0 bigint, fp1 bigint, shingles array<bigint>"),
-        "candidates",
+    rows = numbered(docs)
+    texts = rows.select(identity(rows).alias("doc_id"), field("text").alias("text"))
+    table = stored(fingerprints(texts, words, seed), "fingerprints")
+    best = table.groupBy("fp0").agg(F.min("doc_id").alias("best"))
+    prints = stored(best.select("fp0", F.col("best.row_id").alias("node"), "best"), "prints")
+    classes = stored(_classes(prints.select("fp0", "node")), "classes")
+    first = (
+        prints.join(classes, F.col("fp0") == F.col("print"))
+        .groupBy(F.col("component_id").alias("of"))
+        .agg(F.min("best").alias("first"))
     )
-    verified = (
-        _in_blocks(candidates, CLUSTER_BLOCK)
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .select("bucket", "side", "node", "fp0", "fp1", "shingles")
-        .mapInArrow(_verifier(similarity, radius), "u bigint, v bigint")
+    # Of a class, the fingerprint of the first row keeps that row and others keep none.
+    stays = (
+        prints.select("fp0", "best")
+        .join(first.select(F.col("first.row_id").alias("stays")), F.col("best.row_id") == F.col("stays"), "left_semi")
+        .select(F.col("best.row_id").alias("row_id"))
     )
-    return components(verified).select(F.col("node").alias("row_id"), F.col("component").alias("component_id"))
-
-
-def _first_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(of, first): the first row of each component of ``found`` by doc_id, as :func:`identity` has it."""
-    order = rows.select(F.col("row_id").alias("at"), identity(rows).alias("order"))
-    members = found.join(apart(order), F.col("row_id") == F.col("at"))
-    return members.groupBy(F.col("component_id").alias("of")).agg(F.min("order").alias("first"))
-
-
-def similar_documents(
-    docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, seed: int = SEED
-) -> DataFrame:
-    """(doc_id, component_id) of every row of ``docs`` that is similar to another one.
-
-    ``component_id`` is the smallest doc_id that links reach, null if there is none. Rows without a
-    doc_id and rows that repeat one are rows like others. See :func:`similar_rows`.
-    """
-    rows = numbered(docs)
-    found = stored(similar_rows(rows, words, similarity, seed), "similar")
-    names = rows.select(F.col("row_id").alias("at"), field("doc_id").alias("doc_id"))
-    return (
-        found.join(apart(names), F.col("row_id") == F.col("at"))
-        .join(apart(_first_rows(rows, found)), F.col("component_id") == F.col("of"))
-        .select("doc_id", F.col("first.doc_id").alias("component_id"))
+    gone = table.select(F.col("doc_id.row_id").alias("row_id")).join(
+        apart(stays.withColumnRenamed("row_id", "stays")), F.col("row_id") == F.col("stays"), "left_anti"
     )
-
-
-def drop_similar(
-    docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, seed: int = SEED
-) -> DataFrame:
-    """``docs`` with exactly one row of each component of similar ones: the first by doc_id, null last."""
-    rows = numbered(docs)
-    found = stored(similar_rows(rows, words, similarity, seed), "similar")
-    first = _first_rows(rows, found).select(F.col("first.row_id").alias("stays"))
-    return without(rows, found.join(first, F.col("row_id") == F.col("stays"), "left_anti"))
+    return without(rows, gone)
