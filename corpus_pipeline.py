@@ -25,9 +25,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each group that links of a similarity of 0.8 or more connect, over five words."""
+    """The first row of each group whose fingerprints of three-word shingles are linked within three bits."""
     configure(spark)
-    return simhash.drop_similar(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
