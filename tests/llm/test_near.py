@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -187,6 +188,46 @@ def test_vectors_of_every_length_are_compared(spark):
     assert np.mean([got[k] == want[k] for k in want]) > 0.99
 
 
+def test_a_vec_id_may_have_two_vectors(spark):
+    e = np.eye(4)
+    near = [(v + 0.01 * e[(k + 1) % 4]) for k, v in enumerate(e)]
+    rows = [(1, e[0]), (2, near[0]), (1, e[1]), (3, near[1]), (4, e[1] + 0.005), (None, e[2]), (5, near[2]), (None, e[3]), (None, e[3])]
+    got = embedding_dedup.near_duplicates(vectors(spark, [(k, [float(c) for c in v]) for k, v in rows])).collect()
+    want = [(1, 1, 1), (2, 1, 1), (1, 2, 1), (3, 2, 1), (4, 2, 1), (None, 1, 5), (5, 1, 5), (None, 1, None), (None, 1, None)]
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_huge_and_tiny_vectors_keep_their_direction(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e-300, 1.01e-300]), (3, [1e200, -1e200]), (4, [-0.0, 2.0]), (5, [0.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
+
+
+@pytest.mark.parametrize("reach", [0.0, None])
+def test_links_count_for_both_ends(spark, monkeypatch, reach):
+    """Also links that one end alone reaches: with no reach at all, many are found from one side only."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(1500, 24))
+    noise = rng.normal(size=(700, 24))
+    unit = x[:700] / np.linalg.norm(x[:700], axis=1, keepdims=True)
+    noise -= (noise * unit).sum(1, keepdims=True) * unit
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    near = rng.uniform(0.9505, 0.97, (700, 1))
+    x[700:1400] = near * unit + (1 - near**2) ** 0.5 * noise
+    if reach is not None:
+        plain = embedding_dedup.fit
+        monkeypatch.setattr(embedding_dedup, "fit", lambda *a: replace(plain(*a), reach=0.02))
+    rows = [(k, [float(v) for v in x[k]]) for k in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame).collect()}
+    linked = [r for r in got.values() if r.n_links]
+    pairs = sum(got[k].n_links == 1 and got[k + 700].n_links == 1 for k in range(700))
+    assert sum(r.n_links for r in linked) == 2 * pairs == len(linked)
+    assert all(got[k].n_links == got[k + 700].n_links and (got[k + 700].component_id == k) == bool(got[k].n_links) for k in range(700))
+    assert pairs >= 0.99 * 700 if reach is None else 0 < pairs < 700
+
+
 def test_cells_come_in_order_of_cost():
     rng = np.random.default_rng(1)
     a, b = rng.random(7), rng.random(9)
