@@ -7,9 +7,11 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.conftest import DATA
 from tests.llm.tables import documents
-from turnout.llm import boosting, language_id, toxicity
+from turnout.llm import boosting, labelled, language_id, toxicity
 
 SF = f"{DATA}/sf0.01"
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "12 34 !!"), (5, "the " * 60000), (5, "the"), (None, "you"), (6, "²³ ¼")]
@@ -85,3 +87,61 @@ def test_language_on_held_out_documents(spark, docs):
 def test_language_without_labels(spark):
     model = language_id.train([], [], np.zeros(0, bool))
     assert model.judge("text") == ("und", 0.0, True)
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """A third of all rows share a doc_id, and one language has one document in ten thousand."""
+    texts = [(k, f"text {k}") for k in range(20_000)] + [(5, f"other {k}") for k in range(10_000)]
+    docs = documents(spark, texts).withColumn("lang", F.expr("case when doc_id in (7, 8, 6) then 'rare' when doc_id % 3 = 0 then 'one' else 'two' end"))
+    labels = docs.select("doc_id", F.col("lang").alias("label"))
+    sample = labelled.sample_texts(docs, labels, 3000, by_label=True, label_column="lang").collect()
+    ids = [r.doc_id for r in sample]
+    assert len(ids) == len(set(ids)) and 2500 < len(ids) < 3300
+    held = [k for k in (6, 7, 8) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sorted(r.doc_id for r in sample if r.label == "rare") == sorted({6, 7, 8} - set(held)) and len(held) < 3
+    by_label = [sum(r.label == name for r in sample) for name in ("one", "two")]
+    assert max(by_label) < 1.2 * min(by_label)
+    plain = labelled.sample_texts(docs, labels.withColumn("label", F.lit(1)), 30_000).collect()
+    assert len(plain) == len({r.doc_id for r in plain}) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(20_000))
+    again = labelled.sample_texts(docs.repartition(7), labels.withColumn("label", F.lit(1)), 30_000).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, again))
+
+
+def test_rare_labels_are_taken_whole():
+    assert labelled.quotas({"a": 10, "b": 100_000, "c": 100_000}, 3010) == {"a": 1.0, "b": 0.015, "c": 0.015}
+    assert labelled.quotas({"a": 5}, 100) == {"a": 1.0} and labelled.quotas({}, 5) == {}
+
+
+def test_training_windows_cover_whole_texts():
+    text = "".join(chr(0x4E00 + k) for k in range(20_000))
+    windows = language_id.cut_windows(text)
+    assert len(windows) == language_id.WINDOWS_A_TEXT and all(w in text and len(w) == language_id.WINDOW for w in windows)
+    starts = [language_id.cut_windows(text[:19_000] + chr(0x100 + k))[0] for k in range(300)]
+    places = [text.find(w[:20]) for w in starts]
+    assert min(places) < 1000 and max(places) > 17_500  # not a prefix, nor any fixed place
+    assert language_id.cut_windows("short") == ["short"] and language_id.cut_windows("") == [""]
+
+
+def test_the_lexicon_learns_from_the_fitting_fold(spark, docs, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    seen = []
+    plain = toxicity.learn_lexicon
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda sample, insults: (seen.append(sample), plain(sample, insults))[1])
+    model = toxicity.fit(docs, labels, insults=frozenset({"zounds"}))
+    assert seen[0].where("fold").isEmpty() and not seen[0].isEmpty()
+    assert model.lexicon.insults == {"zounds"} and model.lexicon.entries
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = np.random.default_rng(2)
+    kinds = {"common": "abcde", "rare": "vwxyz"}
+
+    def text(kind):
+        return " ".join("".join(rng.choice(list(kinds[kind]), 5)) for _ in range(30))
+
+    rows = [(k, text("common")) for k in range(6000)] + [(10_000 + k, text("rare")) for k in range(12)]
+    frame = documents(spark, rows).withColumn("lang", F.expr("if(doc_id >= 10000, 'rare', 'common')"))
+    model = language_id.fit(frame, max_rows=400)
+    assert model.languages == ["common", "rare"]
+    fresh = documents(spark, [(k, text("rare" if k % 2 else "common")) for k in range(40)])
+    assert all((r.lang_pred == "rare") == bool(r.doc_id % 2) for r in language_id.predict(fresh, model).collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from turnout.llm.common import field, packed, text_or_empty
 from turnout.llm.labelled import is_held_out, sample_texts, share
 
 MAX_TRAINING_ROWS = 4000
-# Windows of the training documents: short ones too, as texts to be judged may be short.
+# A training document is learned from in so many windows of its whole text; short, as texts may be.
 WINDOW, WINDOWS_A_TEXT = 160, 4
 BUCKETS, DIMENSIONS = 1 << 15, 16
 SUBWORDS = (1, 2, 3, 4)
@@ -78,22 +79,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _windows(texts: list[str], rng: np.random.Generator) -> tuple[list[np.ndarray], np.ndarray]:
-    """Subwords of windows spread over each whole text, and the text each comes from."""
-    out, owner = [], []
-    for k, text in enumerate(texts):
-        for _ in range(WINDOWS_A_TEXT if len(text) > WINDOW else 1):
-            start = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
-            piece = text[start : start + WINDOW]
-            if has_letter(piece):
-                out.append(subwords(piece))
-                owner.append(k)
-    return out, np.array(owner, np.int64)
+def cut_windows(text: str) -> list[str]:
+    """The text, or windows at places of the whole text that its own hash draws."""
+    if len(text) <= WINDOW:
+        return [text]
+    places = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).integers(
+        0, len(text) - WINDOW + 1, WINDOWS_A_TEXT
+    )
+    return [text[p : p + WINDOW] for p in places.tolist()]
 
 
-def train(texts: list[str], labels: list[str], calibration: np.ndarray, seed: int = 5) -> Model:
+def _subwords_of(texts: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Subwords of all windows with a letter, and the text each comes from."""
+    found = [(subwords(piece), k) for k, pieces in enumerate(texts) for piece in pieces if has_letter(piece)]
+    return [ids for ids, _ in found], np.array([k for _, k in found], np.int64)
+
+
+def train(texts: list[list[str]], labels: list[str], calibration: np.ndarray, seed: int = 5) -> Model:
     """Embeddings and softmax weights by stochastic gradient descent over shuffled small batches.
 
+    ``texts`` has the windows of each text.
+
     On the calibration texts, a sharpness is then chosen that makes scores match how often they are
     right, and the score below which a text is rejected as of no known language.
     """
@@ -102,7 +108,7 @@ def train(texts: list[str], labels: list[str], calibration: np.ndarray, seed: in
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     code = np.searchsorted(languages, labels)
-    windows, owner = _windows(texts, rng)
+    windows, owner = _subwords_of(texts)
     y = code[owner]
     held = calibration[owner]
     learn = np.flatnonzero(~held) if (~held).any() else np.arange(len(windows))
@@ -147,29 +153,26 @@ def train(texts: list[str], labels: list[str], calibration: np.ndarray, seed: in
 def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """A model from text and lang of documents that are not held out and whose lang is known.
 
-    About ``max_rows`` documents, chosen by hash, reach the driver, with windows of their texts; that
-    bound is for training only. Without any, every text is ``und``.
+    Training is bounded: about ``max_rows`` documents, an equal part of each language and all of a rare
+    one, chosen by hash, and of each up to ``WINDOWS_A_TEXT`` windows drawn over its whole text. The
+    windows reach the driver. Without any document, every text is ``und``.
     """
     labels = packed(docs).select(field("doc_id").alias("doc_id"), field("lang").alias("label"))
-    sample = sample_texts(docs, labels, max_rows).where("text is not null")
+    sample = sample_texts(docs, labels, max_rows, by_label=True, label_column="lang")
 
-    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts of at most the windows' length, spread evenly, so that the driver gets no long text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for t in batch.column(2).to_pylist():
-                n = WINDOW * WINDOWS_A_TEXT * 2
-                step = max(1, len(t) // 8)
-                kept.append(t if len(t) <= n else " ".join(t[k * step : k * step + n // 8] for k in range(8)))
+            windows = [cut_windows(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kept, pa.string())], names=["doc_id", "label", "text"]
+                [batch.column(0), batch.column(1), pa.array(windows, pa.list_(pa.string()))],
+                names=["doc_id", "label", "windows"],
             )
 
     doc_id = sample.schema["doc_id"].dataType.simpleString()
-    cut = sample.mapInArrow(cut_windows, f"doc_id {doc_id}, label string, text string")
+    cut = sample.mapInArrow(run, f"doc_id {doc_id}, label string, windows array<string>")
     rows = cut.withColumn("fold", share(13) < CALIBRATION_SHARE).orderBy("doc_id").toArrow()
     fold = np.array(rows.column("fold").to_pylist(), bool)
-    return train(rows.column("text").to_pylist(), rows.column("label").to_pylist(), fold)
+    return train(rows.column("windows").to_pylist(), rows.column("label").to_pylist(), fold)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -24,7 +24,7 @@ STEMS = (4, 5, 6)
 CHANCE_ENTRIES = 0.05
 MEMO_WORDS = 200_000
 
-# Insults that need no learning, and pronouns of the second person in four languages.
+# Insults that need no learning, for a caller to replace, and pronouns of the second person in four languages.
 INSULTS = frozenset(
     "idiot moron stupid dumb scum trash loser pathetic worthless disgusting clown imbecile fool "
     "dummkopf trottel idiote crétin imbécile estúpido tonto".split()
@@ -76,7 +76,10 @@ def _capitals(text: str) -> int:
 
 @dataclass(frozen=True)
 class Lexicon:
+    """Learned entries, and insults that are given."""
+
     entries: frozenset[str]
+    insults: frozenset[str] = INSULTS
 
     def hit(self, word: str) -> str | None:
         """The entry a plain word falls under, the longest stem first."""
@@ -104,7 +107,7 @@ def features(text: str, lexicon: Lexicon, memo: dict) -> list[float]:
             base = plain(word)
             name = lexicon.hit(base)
             mixed = bool(core) and not core.isalpha() and any(c.isalpha() for c in core)
-            insult = base in INSULTS
+            insult = base in lexicon.insults
             odd = mixed and (any(c.isdigit() or c in "@$|!*" for c in core))
             known = memo[word] = (
                 name, insult, odd, odd and (insult or name is not None), base in SECOND_PERSON,
@@ -148,12 +151,11 @@ def _log_tail(k: int, n: int, p: float) -> float:
     return -n * (q * math.log(q / p) + rest)
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
+def learn_lexicon(sample: DataFrame, insults: frozenset[str] = INSULTS) -> Lexicon:
     """Words and stems that toxic documents hold far more often than chance would give.
 
     Each is counted once per document over the whole sample. An entry must be so unlikely that,
-    among all that were counted, less than one in twenty lexicons holds a chance entry; so the
-    entries do not flatter the rows they were learned from.
+    among all that were counted, less than one in twenty lexicons holds a chance entry.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +178,14 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     )
     n_all, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n_toxic or n_toxic == n_all:
-        return Lexicon(frozenset())
+        return Lexicon(frozenset(), insults)
     rate = n_toxic / n_all
     frequent = counted.where("k >= 3")
     tested = max(1, frequent.count())
     limit = math.log(CHANCE_ENTRIES / tested)
     # Bounded by the sample: no more entries can pass than its toxic documents have terms.
     rows = frequent.where(F.col("k") > F.col("n") * (3 * rate + 1) / 4).collect()
-    return Lexicon(frozenset(r["term"] for r in rows if _log_tail(r["k"], r["n"], rate) < limit))
+    return Lexicon(frozenset(r["term"] for r in rows if _log_tail(r["k"], r["n"], rate) < limit), insults)
 
 
 def featured(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -207,16 +209,20 @@ class Model:
     trees: boosting.Boosted
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, insults: frozenset[str] = INSULTS
+) -> Model:
     """A model from the labelled documents that are not held out; ``labels`` has doc_id and toxic.
 
-    About ``max_rows`` of them at most reach the driver, as features. Null labels are left out. With
-    no labels at all, or of one kind only, every score is the share of toxic rows, 0.5 without rows.
+    About ``max_rows`` of them at most reach the driver, as features, one row per document. Lexicon and
+    trees learn from one fold; the other, of which neither has seen anything, calibrates the scores. Null
+    labels are left out. With no labels at all, or of one kind only, every score is the share of toxic
+    rows, 0.5 without rows.
     """
     labelled = labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
-    sample = sample_texts(docs, labelled, max_rows)
-    lexicon = learn_lexicon(sample)
-    rows = featured(sample, lexicon).withColumn("fold", share(12) < CALIBRATION_SHARE).orderBy("doc_id").toArrow()
+    sample = sample_texts(docs, labelled, max_rows).withColumn("fold", share(12) < CALIBRATION_SHARE)
+    lexicon = learn_lexicon(sample.where(~F.col("fold")), insults)
+    rows = featured(sample, lexicon).orderBy("doc_id").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     label = np.array(rows.column("label").to_pylist(), int)
     fold = np.array(rows.column("fold").to_pylist(), bool)
