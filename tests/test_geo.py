@@ -11,6 +11,7 @@ from tests.tiny import HOME, competition, rows, sources
 from turnout.functions.geodesy import haversine_km
 from turnout.operators.components import connected_components
 from turnout.operators.regions import geo_regions
+from turnout.operators import spread
 from turnout.operators.spread import person_spread
 from turnout.plans import travel
 
@@ -152,6 +153,41 @@ def test_spread_matches_brute_force(spark, seed, box, in_row, budget):
         assert found[person][1] == min(3, len(spots))
 
 
+@pytest.mark.parametrize("shape", ["disk", "circle", "line", "globe", "clusters"])
+def test_few_places_stay_and_the_farthest_two_do(spark, monkeypatch, shape):
+    rng = random.Random(7)
+    spots = []
+    for k in range(400):
+        angle, r = rng.uniform(0, 2 * math.pi), rng.random() ** 0.5
+        spots.append({
+            "disk": (50 + 3 * r * math.sin(angle), 20 + 4 * r * math.cos(angle)),
+            "circle": (50 + 0.01 * math.sin(angle), 20 + 0.015 * math.cos(angle)),
+            "line": (10 + k / 100, 170 + k / 50 if k < 200 else k / 50 - 190),
+            "globe": (math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)),
+            "clusters": (rng.choice([48, 52, 55]) + rng.gauss(0, 0.01), rng.choice([10, 20]) + rng.gauss(0, 0.01)),
+        }[shape])
+    ends = []
+    plain = spread.cut
+    monkeypatch.setattr(spread, "cut", lambda df: ends.append(plain(df)) or ends[-1])
+    starts = [("p", "r", lat, lon) for lat, lon in spots] + [("q", "r", 1.0, 1.0)]
+    found = spread_map(spark, starts)
+    assert found["p"][2] == pytest.approx(max(km(p, q) for p in spots for q in spots), rel=1e-9)
+    assert found["p"][:2] == (400, 1) and found["q"] == (1, 1, 0.0)
+    if shape in ("disk", "line"):
+        assert len(ends) == 1 and ends[0].where("person_id = 'p'").count() < 160  # no search, one table
+
+
+def test_directions_leave_no_gap():
+    assert len(spread.DIRECTIONS) == 13
+    rng = random.Random(3)
+    worst = 1.0
+    for _ in range(20_000):
+        v = [rng.gauss(0, 1) for _ in range(3)]
+        n = math.sqrt(sum(c * c for c in v))
+        worst = min(worst, max(abs(sum(a * b for a, b in zip(v, d))) / n for d in spread.DIRECTIONS))
+    assert spread.NARROWEST <= worst < spread.NARROWEST + 0.01
+
+
 def year_map(spark):
     comps = [
         competition("a", "2020-01-01", cell="North", lat=54.0, lon=20.0),

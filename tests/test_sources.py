@@ -12,6 +12,8 @@ from tests.tiny import HOME, competition, rows, sources
 from turnout import build_attendance, last_years, read_delimited, read_tables
 from turnout.operators.returning import returning_newcomers
 from turnout.plans import bundle, newcomers
+from turnout.plans.catalogue import rounded
+from turnout.sources.sinks import read_table
 from turnout.sources.store import read_model, write_model
 from turnout.sources.tables import COMPETITIONS, RESULTS, conform, sources_from
 
@@ -109,6 +111,35 @@ def test_bundle_writes_every_chart_for_both_periods(spark, folder):
     assert all(title for _, title in written)
 
 
+def test_charts_of_all_periods_are_computed_once_where_years_stand_alone(spark, folder):
+    comps = [competition(f"c{y}{m}", f"{y}-{m:02}-10", name=f"Cup {y}", city=f"T{m}") for y in range(2015, 2022) for m in (1, 4, 5, 11)]
+    results = [(c[0], f"p{k}") for n, c in enumerate(comps) for k in range(n % 5, n + 3, 2)]
+    m = build_attendance(sources(spark, comps, results), HOME)
+    runs = {}
+
+    def counted(name, plan):
+        def run(model):
+            runs[name] = runs.get(name, 0) + 1
+            return plan(model)
+
+        return run
+
+    charts = [(name, title, counted(name, plan)) for name, title, plan in bundle.CHARTS]
+    periods = (3, None, 1)  # in any order
+    written = bundle.write_bundle(m, folder, periods, charts)
+    assert [p.rsplit("/", 1)[1] for p, _ in written if "/00_" in p] == ["00_period_last3y", "00_period_all", "00_period_last1y"]
+    assert {name: n for name, n in runs.items()} == {name: 1 if name in bundle.YEAR_BY_YEAR else 3 for name, _, _ in bundle.CHARTS}
+    for name, _, plan in bundle.CHARTS:
+        for years, suffix in ((None, "_all"), (3, "_last3y"), (1, "_last1y")):
+            want = plan(last_years(m, years))
+            # Means are rounded, as the order of their sums is not fixed.
+            got = read_table(spark, f"{folder}/{name}{suffix}", want.schema)
+            assert rows(rounded(got, 9)) == rows(rounded(want, 9)), (name, years)
+    csv = bundle.write_bundle(m, f"{folder}/csv", (None, 2), bundle.CHARTS[7:8], "csv")
+    got = read_table(spark, csv[3][0], bundle.CHARTS[7][2](m).schema, "csv")
+    assert rows(got) == rows(bundle.CHARTS[7][2](last_years(m, 2)))
+
+
 def test_bundle_can_be_written_again(spark, folder):
     _, m = small_model(spark)
     for _ in range(2):

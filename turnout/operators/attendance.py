@@ -22,13 +22,15 @@ class AttendanceModel:
     """What the reports read.
 
     ``competitions`` and ``attendance`` cover one country; ``first_dates`` covers every country
-    and all history, whatever period the other two are later restricted to.
+    and all history, whatever period the other two are later restricted to. ``event_stats``, if a
+    caller computed it for several reports, has one row per event of ``attendance``.
     """
 
     competitions: DataFrame
     attendance: DataFrame
     persons: DataFrame
     first_dates: DataFrame
+    event_stats: DataFrame | None = None
 
 
 def with_dates(competitions: DataFrame, lenient: bool = False) -> DataFrame:
@@ -95,11 +97,16 @@ def with_person_columns(attendance: DataFrame, per_person: DataFrame, how: str =
     return attendance.join(days, ["person_id", "date"], how)
 
 
-def build_attendance(sources: Sources, country: str, lenient_dates: bool = False) -> AttendanceModel:
-    """Attendance of one country, with debuts judged over the whole history of all countries."""
+def build_attendance(
+    sources: Sources, country: str, lenient_dates: bool = False, pairs: DataFrame | None = None
+) -> AttendanceModel:
+    """Attendance of one country, with debuts judged over the whole history of all countries.
+
+    ``pairs`` are the ``participations`` of the results if the caller keeps them for other reports too.
+    """
     every_event = with_dates(sources.competitions, lenient_dates)
     events = held_in(every_event, country).withColumn("quarter", quarter_of(F.col("month")))
-    pairs = participations(sources.results)
+    pairs = participations(sources.results) if pairs is None else pairs
     firsts = first_dates(pairs, every_event)
     at_home = pairs.join(events.select("competition_id", *EVENT_COLUMNS), "competition_id")
     # The left join costs nothing in reports that do not read first_comp_date: its right side has

@@ -26,11 +26,12 @@ def last_years(model: AttendanceModel, years: int | None) -> AttendanceModel:
     """
     if years is None:
         return model
-    since = first_year_of_last(model.competitions, years)
+    recent = F.col("year") >= first_year_of_last(model.competitions, years)
     return replace(
         model,
-        competitions=model.competitions.where(F.col("year") >= since),
-        attendance=model.attendance.where(F.col("year") >= since),
+        competitions=model.competitions.where(recent),
+        attendance=model.attendance.where(recent),
+        event_stats=None if model.event_stats is None else model.event_stats.where(recent),
     )
 
 

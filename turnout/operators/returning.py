@@ -11,12 +11,13 @@ from turnout.operators.attendance import participations
 
 
 def returning_newcomers(
-    competitions: DataFrame, results: DataFrame, year: int, country: str
+    competitions: DataFrame, results: DataFrame, year: int, country: str, pairs: DataFrame | None = None
 ) -> DataFrame:
     """Per event that ended in ``year``: newcomers, and those with more than one event ever.
 
     Cancelled events are candidates too, every country counts for a return, and an event without
     newcomers stays with zeros. One plan for all events: the person aggregate is computed once.
+    ``pairs``, if the caller has them, are the ``participations`` of ``results``, which are not read then.
     """
     if "end_date" not in competitions.columns:
         raise ValueError("the returning-newcomers report needs a column 'end_date'")
@@ -25,7 +26,7 @@ def returning_newcomers(
         datetime.date(year, 1, 1), datetime.date(year, 12, 31)
     )
     candidates = dated.where((F.col("country_id") == country) & ends_in_year)
-    pairs = participations(results)
+    pairs = participations(results) if pairs is None else pairs
     careers = (
         pairs.join(
             dated.select(F.col("id").alias("competition_id"), "start_date"), "competition_id", "left"

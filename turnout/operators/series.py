@@ -15,6 +15,7 @@ def recurring_series(
     attendance: DataFrame,
     min_years: int = 3,
     month_names: Sequence[str] = MONTH_ABBREVIATIONS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per series held in at least ``min_years`` different years.
 
@@ -23,9 +24,11 @@ def recurring_series(
     event nobody attended counts as zero and still makes its year a year of the series.
 
     Events are first summed per series, year and month, so a series contributes at most twelve
-    rows a year to its own row, however many events it has.
+    rows a year to its own row, however many events it has. ``sizes`` (competition_id, n_competitors) are
+    counted from the attendance unless the caller has them.
     """
-    sizes = attendance.groupBy("competition_id").agg(F.count(F.lit(1)).alias("n_competitors"))
+    if sizes is None:
+        sizes = attendance.groupBy("competition_id").agg(F.count(F.lit(1)).alias("n_competitors"))
     monthly = (
         competitions.select(
             "competition_id", "year", "month", series_name(F.col("name")).alias("series")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,50 @@ from turnout.operators.lineage import cut
 MAX_SPREAD_KM = 250.0
 MAX_REGIONS = 3
 
-POINTS_IN_ROW = 64  # places of a person that are compared inside one row
+POINTS_IN_ROW = 256  # places of a person that are compared inside one row
+
+
+def _directions() -> tuple[list[tuple[float, float, float]], float]:
+    """Axes through the corners, faces and edges of a cube, and the cosine of the farthest angle to one.
+
+    They cut the sphere into 48 equal triangles with an axis at every corner. No direction is farther
+    from all axes than a corner is from the middle of its triangle's circle.
+    """
+    axes = [a for a in product((-1, 0, 1), repeat=3) if a > (0, 0, 0)]
+    units = [tuple(c / math.sqrt(sum(d * d for d in a)) for c in a) for a in axes]
+    face, edge, corner = (1.0, 0.0, 0.0), (0.5**0.5, 0.5**0.5, 0.0), (3**-0.5,) * 3
+    u, v = ([b - a for a, b in zip(face, other)] for other in (edge, corner))
+    normal = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    return units, abs(normal[0]) / math.sqrt(sum(c * c for c in normal))
+
+
+DIRECTIONS, NARROWEST = _directions()
+
+
+def _along(direction: tuple[float, float, float]) -> Column:
+    """How far a place on the unit sphere lies along a direction."""
+    return sum((F.col(axis) * F.lit(c) for axis, c in zip(AXES[1:], direction[1:])), F.col("x") * F.lit(direction[0]))
+
+
+def _extent(columns: bool) -> list[Column]:
+    """Least and greatest position along every direction: of places, or of such columns."""
+    out = []
+    for k, direction in enumerate(DIRECTIONS):
+        low, high = (F.col(f"low{k}"), F.col(f"high{k}")) if columns else (_along(direction),) * 2
+        out += [F.min(low).alias(f"low{k}"), F.max(high).alias(f"high{k}")]
+    return out
+
+
+def _may_be_farthest() -> Column:
+    """Whether a place can be an end of a person's longest chord, by the person's extent.
+
+    Some chord is at least as long as the greatest width of the extent. From a place, no other is
+    farther than the extent along the direction that is nearest to the way there, widened by the angle
+    between them. So a place from which the extent reaches less far than that is no end.
+    """
+    ways = [F.greatest(F.col(f"high{k}") - _along(d), _along(d) - F.col(f"low{k}")) for k, d in enumerate(DIRECTIONS)]
+    widths = [F.col(f"high{k}") - F.col(f"low{k}") for k in range(len(DIRECTIONS))]
+    return F.greatest(*ways) >= F.greatest(*widths) * F.lit(NARROWEST * (1 - 1e-9)) - F.lit(1e-12)
 
 
 def _widest_km(places: Column) -> Column:
@@ -38,14 +84,6 @@ def _widest_km(places: Column) -> Column:
     return F.array_max(F.transform(places, farthest_from))
 
 
-def _spread_of_few(places: DataFrame) -> DataFrame:
-    return (
-        places.groupBy("person_id")
-        .agg(F.collect_list(F.struct("lat", "lon")).alias("places"))
-        .select("person_id", _widest_km(F.col("places")).alias("spread_km"))
-    )
-
-
 def _spread_of_many(places: DataFrame, pair_budget: int) -> DataFrame:
     """Farthest pair per person by halving boxes.
 
@@ -99,32 +137,46 @@ def person_spread(
 ) -> DataFrame:
     """Per person: starts, different regions and the largest distance between any two places.
 
-    ``attendance`` has person_id, region, lat, lon, one row per start. Starts at one place are
-    merged first. Persons with few places are measured inside one row; the number of places in
-    such a row is checked, and persons beyond it take the box search, which is exact as well.
+    ``attendance`` has person_id, region, lat, lon, one row per start. Starts at one place are merged
+    first. One aggregate per person then gives the extent of the places along fixed directions, which
+    merges in any order and is as long for a busy person as for others. It rules out all places that
+    cannot be an end of the longest distance; of the few that stay, persons with up to
+    ``points_in_row`` are measured inside one row. The number is checked, and persons beyond it take
+    the box search over the places that stay. Everything is exact.
     """
-    places = cut(
+    places = with_position(
         attendance.groupBy("person_id", "region", "lat", "lon").agg(F.count(F.lit(1)).alias("starts"))
     )
-    stats = cut(
-        places.groupBy("person_id").agg(
-            F.sum("starts").alias("n_starts"),
-            F.count_distinct("region").alias("n_regions"),
-            F.count(F.lit(1)).alias("n_places"),
-        )
+    per_region = places.groupBy("person_id", "region").agg(F.sum("starts").alias("starts"), *_extent(False))
+    extents = per_region.groupBy("person_id").agg(
+        F.sum("starts").alias("n_starts"), F.count(F.lit(1)).alias("n_regions"), *_extent(True)
+    )
+    # Dealt out anew: places of a busy person are split by the join.
+    ends = cut(
+        places.join(extents.hint("rebalance"), "person_id")
+        .where(_may_be_farthest())
+        .select("person_id", "n_starts", "n_regions", "lat", "lon")
     )
-    much_travelled = stats.where(F.col("n_places") > points_in_row).select("person_id")
-    # Dealt out anew: places of a busy person are split by the joins below.
-    much_travelled = much_travelled.hint("rebalance")
-    stats = stats.drop("n_places")
-    points = places.select("person_id", "lat", "lon")
-    if much_travelled.isEmpty():
-        spread = _spread_of_few(points)
-    else:
-        spread = _spread_of_few(points.join(much_travelled, "person_id", "left_anti")).unionByName(
-            _spread_of_many(points.join(much_travelled, "person_id", "left_semi"), pair_budget)
+    busy = ends.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > points_in_row)
+    busy = busy.select("person_id").hint("rebalance")
+    if busy.isEmpty():
+        return _measured_in_row(ends)
+    far = ends.join(busy, "person_id", "left_semi")
+    stats = far.groupBy("person_id").agg(F.max("n_starts").alias("n_starts"), F.max("n_regions").alias("n_regions"))
+    searched = stats.join(_spread_of_many(far.select("person_id", "lat", "lon"), pair_budget), "person_id")
+    return _measured_in_row(ends.join(busy, "person_id", "left_anti")).unionByName(searched)
+
+
+def _measured_in_row(ends: DataFrame) -> DataFrame:
+    return (
+        ends.groupBy("person_id")
+        .agg(
+            F.max("n_starts").alias("n_starts"),
+            F.max("n_regions").alias("n_regions"),
+            F.collect_list(F.struct("lat", "lon")).alias("places"),
         )
-    return stats.join(spread, "person_id")
+        .select("person_id", "n_starts", "n_regions", _widest_km(F.col("places")).alias("spread_km"))
+    )
 
 
 def is_local(max_spread_km: float = MAX_SPREAD_KM, max_regions: int = MAX_REGIONS) -> Column:

@@ -20,6 +20,9 @@ BUBBLE_SCALE = 2.5
 
 
 def competition_stats(model: AttendanceModel) -> DataFrame:
+    """Participants and newcomers per event; those that the model brings along, if it does."""
+    if model.event_stats is not None:
+        return model.event_stats
     return competition_newcomer_stats(model.competitions, model.attendance)
 
 

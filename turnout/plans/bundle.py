@@ -7,13 +7,14 @@ from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnout.operators.attendance import AttendanceModel
-from turnout.operators.periods import last_years, period_label, period_suffix
+from turnout.operators.periods import first_year_of_last, last_years, period_label, period_suffix
 from turnout.operators.returning import returning_newcomers
 from turnout.plans import activity, attraction, newcomers, recurring, summary, travel, trends
 from turnout.sources import versions
-from turnout.sources.sinks import write_table
+from turnout.sources.sinks import read_table, write_table
 from turnout.sources.tables import Sources
 
 Plan = Callable[[AttendanceModel], DataFrame]
@@ -48,6 +49,16 @@ CHARTS: tuple[tuple[str, str, Plan], ...] = (
 CSV_TABLES = ("newcomer_cohort_summary", "recurring_series", "returning_newcomers")
 
 
+# Charts with a year in every row, to which other years add nothing: a period's table is a part of the
+# table of all history. Debuts are marked before a period is cut, and the last day is in every period.
+YEAR_BY_YEAR = frozenset(
+    "01_comps_per_quarter 02_comps_per_month 03_comps_ytd 04_attendance_per_quarter 05_unique_competitors "
+    "06_new_vs_returning 08_starts_histogram 09_consistently_active 10_activity_trend 11_debuts_per_quarter "
+    "12_debuts_per_month 13_cohort_retention".split()
+)
+IN_ORDER = ("year", "quarter", "month", "n_comps")
+
+
 def without_first_event(model: AttendanceModel) -> AttendanceModel:
     """The model without the first event of each attendance, which no chart reads and which costs joins."""
     return replace(model, attendance=model.attendance.drop("first_comp_date"))
@@ -62,27 +73,41 @@ def write_bundle(
 ) -> list[tuple[str, str]]:
     """Write one table per chart and period as ``<directory>/<chart><period suffix>``.
 
-    The model is computed once and kept on the executors while the tables are written, unless the
-    caller keeps it already. Returns the path and title of every table, with the period's label
+    The model, and one row per event with its newcomers, are computed once and kept on the executors
+    while the tables are written, unless the caller keeps them already. A chart whose rows belong to a
+    year each is computed once too: the tables of shorter periods are read off that of all history,
+    if it is among the periods. Returns the path and title of every table, with the period's label
     table first.
     """
     kept = []
     if not model.attendance.is_cached:
         model = without_first_event(model)
         kept = [model.competitions, model.attendance]
+    if model.event_stats is None:
+        model = replace(model, event_stats=attraction.competition_stats(model))
+        kept.append(model.event_stats)
     for df in kept:
         df.persist(StorageLevel.MEMORY_AND_DISK)
+    whole: dict[str, DataFrame] = {}
     try:
-        written = []
-        for years in periods:
+        written = {}
+        for years in sorted(periods, key=lambda n: n is not None):
             part, suffix = last_years(model, years), period_suffix(years)
             path = f"{directory}/00_period{suffix}"
-            written.append((write_table(period_label(part.competitions), path, format), "Period"))
+            written[years] = [(write_table(period_label(part.competitions), path, format), "Period")]
             for name, title, plan in charts:
-                path = write_table(plan(part), f"{directory}/{name}{suffix}", format)
-                written.append((path, title))
+                if name in whole:
+                    table = whole[name].where(F.col("year") >= first_year_of_last(model.competitions, years))
+                    table = table.orderBy(*(c for c in IN_ORDER if c in table.columns))
+                else:
+                    table = plan(part)
+                path = write_table(table, f"{directory}/{name}{suffix}", format)
+                written[years].append((path, title))
+                if years is None and name in YEAR_BY_YEAR:
+                    whole[name] = read_table(table.sparkSession, path, table.schema, format)
         path = write_table(summary.period_summary(model, periods), f"{directory}/period_summary", format)
-        return [*written, (path, "Events, attendance and persons per period")]
+        tables = [table for years in periods for table in written[years]]
+        return [*tables, (path, "Events, attendance and persons per period")]
     finally:
         for df in kept:
             df.unpersist()

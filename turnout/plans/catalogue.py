@@ -79,7 +79,7 @@ def _shared(build: Callable[[Workspace], DataFrame]) -> Query:
 
 def _returning(shared: Workspace) -> DataFrame:
     sources = shared.sources
-    return returning_newcomers(sources.competitions, sources.results, RETURN_YEAR, COUNTRY)
+    return returning_newcomers(sources.competitions, sources.results, RETURN_YEAR, COUNTRY, shared.pairs)
 
 
 REPORTS: dict[str, Query] = {

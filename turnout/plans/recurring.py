@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnout.functions.text import shorten
 from turnout.operators.attendance import AttendanceModel
+from turnout.operators.lineage import cut
 from turnout.operators.series import (
     dense_years,
     held_years,
@@ -15,6 +16,7 @@ from turnout.operators.series import (
     series_years,
     top_series,
 )
+from turnout.plans.trends import field_sizes
 
 # Series drawn, and the part of the maximum above which a cell is dark.
 HEATMAP_SERIES = 30
@@ -23,7 +25,13 @@ DARK_ABOVE = 0.65
 
 
 def _series(model: AttendanceModel) -> DataFrame:
-    return recurring_series(model.competitions, model.attendance)
+    return recurring_series(model.competitions, model.attendance, sizes=field_sizes(model))
+
+
+def _series_and_years(model: AttendanceModel) -> tuple[DataFrame, DataFrame]:
+    """The series, stored as they are read twice, and the years of any of them."""
+    series = cut(_series(model))
+    return series, series_years(series)
 
 
 def series_heatmap(model: AttendanceModel, limit: int = HEATMAP_SERIES) -> DataFrame:
@@ -31,8 +39,8 @@ def series_heatmap(model: AttendanceModel, limit: int = HEATMAP_SERIES) -> DataF
 
     The window for the overall maximum spans ``limit`` series times the years of the data.
     """
-    series = _series(model)
-    cells = dense_years(top_series(series, limit), series_years(series))
+    series, years = _series_and_years(model)
+    cells = dense_years(top_series(series, limit), years)
     n = F.col("n_competitors")
     peak = F.max(n).over(Window.partitionBy())
     return cells.select(
@@ -53,8 +61,8 @@ def series_trend(model: AttendanceModel, limit: int = TREND_SERIES) -> DataFrame
 
 def series_by_year(model: AttendanceModel) -> DataFrame:
     """All recurring series, long form, empty years included."""
-    series = _series(model)
-    return dense_years(series, series_years(series)).select(
+    series, years = _series_and_years(model)
+    return dense_years(series, years).select(
         "series", "label", "year", "n_competitors", "editions", "total"
     )
 
@@ -65,5 +73,5 @@ def series_wide(model: AttendanceModel) -> DataFrame:
     Column names have to be known when a DataFrame is built, so the short list of years is read
     first.
     """
-    series = _series(model)
-    return series_matrix(series, series_years(series).first()["years"])
+    series, years = _series_and_years(model)
+    return series_matrix(series, years.first()["years"])

@@ -9,10 +9,11 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from turnout.operators.attendance import AttendanceModel, build_attendance
+from turnout.operators.attendance import AttendanceModel, build_attendance, participations
 from turnout.operators.lineage import shared_folder
 from turnout.operators.periods import last_years
 from turnout.plans import travel, upkeep
+from turnout.plans.attraction import competition_stats
 from turnout.sources.ledger import create_ledger, read_ledger, update_ledger
 from turnout.sources.quarantine import Checked, ingest_sources
 from turnout.sources.tables import Sources
@@ -35,20 +36,26 @@ class Workspace:
         self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Who took part where, of all countries: the one pass over the results."""
+        return self._keep(participations(self.sources.results))
+
     @cached_property
     def full_model(self) -> AttendanceModel:
-        """Every column, nothing kept."""
-        return build_attendance(self.sources, self.country)
+        """Every column; only the pairs are kept."""
+        return build_attendance(self.sources, self.country, pairs=self.pairs)
 
     @cached_property
     def model(self) -> AttendanceModel:
         """What the reports read; none of them reads ``first_comp_date`` of an attendance."""
         model = self.full_model
-        return replace(
+        model = replace(
             model,
             competitions=self._keep(model.competitions),
             attendance=self._keep(model.attendance.drop("first_comp_date")),
         )
+        return replace(model, event_stats=self._keep(competition_stats(model)))
 
     def model_of_last(self, years: int | None) -> AttendanceModel:
         return last_years(self.model, years)
@@ -85,7 +92,8 @@ class Workspace:
             df.write.parquet(path)
             arrived[table.name] = spark.read.schema(df.schema).parquet(path)
         directory = f"{self.folder}/ledger"
-        create_ledger(spark, directory, self.country)
+        # Few buckets, as the batches are small; a large ledger takes more.
+        create_ledger(spark, directory, self.country, buckets=8)
         for batch in upkeep.late_batches(Sources(**arrived)):
             update_ledger(spark, directory, batch)
         return read_ledger(spark, directory)

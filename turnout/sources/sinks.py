@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet") -> str:
@@ -12,3 +13,9 @@ def write_table(df: DataFrame, path: str, format: str = "parquet") -> str:
         writer = writer.option("header", True).option("quote", '"').option("escape", '"')
     writer.format(format).save(path)
     return path
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet") -> DataFrame:
+    """A table that :func:`write_table` wrote, with the schema it had."""
+    options = {"header": True, "quote": '"', "escape": '"'} if format == "csv" else {}
+    return spark.read.schema(schema).options(**options).format(format).load(path)
