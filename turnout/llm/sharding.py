@@ -17,6 +17,8 @@ SLACK = 0.001
 OVERHEAD = 16
 # Positions are the first 60 bits of an MD5; a table by their first 12 bits finds a key's arc.
 HEX_DIGITS, PREFIX_DIGITS = 15, 3
+# Copies of a row that one task writes out at a time.
+COPIES_AT_ONCE = 1 << 16
 
 
 def ring(n_shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
@@ -67,9 +69,10 @@ def loads_on_ring(
     return [(i, *piece) for i, piece in enumerate(sorted(taken))]
 
 
-def _position(key: Column) -> Column:
-    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
-    return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("long")
+def position(doc_id: Column, text_crc32: Column, size: Column) -> Column:
+    """A row's place on the ring, from doc_id, checksum and size, so that rows that share a doc_id are spread."""
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text_crc32.cast("string"), size.cast("string"))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("long")
 
 
 def assign_shards(
@@ -80,15 +83,18 @@ def assign_shards(
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) per row of ``docs``.
 
-    A key is hashed from its doc_id to a place on the ring, and belongs to the next virtual node.
+    A row is hashed from its doc_id and its text's checksum and size to a place on the ring, and belongs
+    to the next virtual node.
     Shards hold equal bytes: no more than ``1 + slack`` times the mean, but for the row at the end of
     a piece, as rows are not cut. Size is the text's UTF-8 bytes plus 16; a null text has none. Rows
-    that repeat stay apart and get slots of their own; a null doc_id hashes like an empty one.
+    that repeat stay apart and get slots of their own; a null doc_id is placed like an empty one.
     Further columns are ignored. An empty table gives no row.
 
     Only sums per arc reach the driver, one for each virtual node. Running sums are taken within
     arcs, over distinct rows with their counts, so that a row that fills a third of the table is one
-    row of a window; slots are numbered within pieces of arcs and offset by the sizes of pieces.
+    row of a window, and rows of one doc_id with different texts are on arcs all around the ring. Copies
+    are written out in parts that are dealt to all tasks. Slots are numbered within pieces of arcs and
+    offset by the sizes of pieces.
     """
     spark = docs.sparkSession
     nodes = ring(n_shards, virtual_nodes)
@@ -104,8 +110,8 @@ def assign_shards(
         field("doc_id").alias("doc_id"),
         (F.octet_length(text_or_empty()) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
-        _position(field("doc_id")).alias("position"),
     )
+    rows = rows.withColumn("position", position(F.col("doc_id"), F.col("text_crc32"), F.col("size")))
     on_ring = rows.join(arcs, F.shiftright("position", shift) == F.col("prefix")).select(
         "doc_id",
         "size",
@@ -144,7 +150,10 @@ def assign_shards(
         F.coalesce(F.sum(F.col("size") * F.col("n")).over(before), F.lit(0)).alias("first_byte"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_row"),
     )
-    every = ordered.select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
+    last = F.col("n") - 1
+    parted = ordered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(COPIES_AT_ONCE).cast("long"))).alias("copy"))
+    up_to = F.least(last, F.col("copy") + (COPIES_AT_ONCE - 1))
+    every = parted.hint("rebalance").withColumn("copy", F.explode(F.sequence("copy", up_to)))
     part = F.element_at(
         F.filter("parts", lambda p: p["start"] <= F.col("first_byte") + F.col("copy") * F.col("size")), -1
     )
