@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -96,6 +97,67 @@ def test_ledger_scans_unseen_pairs_only(spark, folder):
     assert {(r["rule"], r.rule_version) for r in unseen.collect()} == {("hex", 2)}
 
 
+def test_a_ledger_that_knows_all_moves_no_text(spark, folder):
+    path = f"{folder}/ledger"
+    docs = documents(spark, [(k, f"token=abcdef{k % 7} " + "x" * 2000) for k in range(50)]).repartition(3)
+    secret_ledger.scan(docs, path)
+    ledger = spark.read.parquet(path)
+    versions = secret_ledger.versions_of(docs)
+    again = secret_ledger.scan_unseen(versions, ledger)
+    assert again.count() == 0
+    assert secret_ledger.scan(docs, path).where("size(assign) = 1").count() == 50
+    assert spark.read.parquet(path).count() == 7 * 3
+    # Blob ids ask the ledger; texts follow in a join that then has nothing to join.
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("text#") < plan.index("known#")
+    unseen = secret_ledger._unseen(versions, ledger, secret_ledger.RULES, ["a", "b", "c"])
+    assert "Exchange" in (p := unseen._jdf.queryExecution().executedPlan().toString()) and "text" not in p.split("Exchange")[0]
+    half = secret_ledger.scan_unseen(versions, ledger.where("rule <> 'hex'"))
+    assert {(r["rule"], len(r.spans)) for r in half.collect()} == {("hex", 0)} and half.count() == 7
+
+
+def plain_shards(rows, n_shards, virtual_nodes):
+    """(doc_id, text, shard, slot) of every row, straight from the ring."""
+    nodes = sharding.ring(n_shards, virtual_nodes)
+    placed = Counter()
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        key = f"{'' if doc_id is None else doc_id}:{zlib.crc32(data)}:{len(data) + 16}"
+        position = int(hashlib.md5(key.encode()).hexdigest()[: sharding.HEX_DIGITS], 16)
+        arc = sum(p < position for p, _ in nodes) % len(nodes)
+        placed[(arc, position, doc_id is not None, doc_id or 0, len(data) + 16, zlib.crc32(data), doc_id)] += 1
+    arc_bytes = Counter()
+    for key, n in placed.items():
+        arc_bytes[key[0]] += key[4] * n
+    pieces = sharding.loads_on_ring(nodes, arc_bytes, n_shards, sharding.SLACK)
+    out, used, at = [], Counter(), Counter()
+    listed = []
+    for key in sorted(placed):
+        arc, size = key[0], key[4]
+        for _ in range(placed[key]):
+            piece, _, _, shard = max(p for p in pieces if p[1] == arc and p[2] <= at[arc])
+            at[arc] += size
+            listed.append((piece, key[6], size, key[5], shard))
+    for piece, doc_id, size, crc, shard in sorted(listed, key=lambda r: r[0]):
+        out.append((doc_id, size, crc, shard, used[shard]))
+        used[shard] += 1
+    return out
+
+
+def test_shards_and_slots_are_those_of_the_ring(spark, monkeypatch):
+    """A third of the rows share a doc_id with texts of their own, another third is one row."""
+    monkeypatch.setattr(sharding, "COPIES_AT_ONCE", 7)
+    rng = random.Random(6)
+    rows = [(k, prose(rng.randint(0, 9), k)) for k in range(150)] + [(3, prose(5, 1000 + k)) for k in range(150)]
+    rows += [(-9, "the same")] * 150 + [(None, None), (None, ""), (None, "é")]
+    rng.shuffle(rows)
+    placed = sharding.assign_shards(documents(spark, rows), n_shards=5, virtual_nodes=8)
+    got = sorted((tuple(r) for r in placed.collect()), key=str)
+    assert got == sorted(plain_shards(rows, 5, 8), key=str)
+    # The hot doc_id is on arcs all around the ring.
+    assert placed.where("doc_id = 3").select("shard").distinct().count() == 5
+
+
 def test_sharding_is_balanced_and_gapless(spark):
     rng = random.Random(1)
     rows = [(k, prose(rng.randint(1, 40), k)) for k in range(3000)] + [(-5, "same")] * 1500 + [(None, None)] * 3

@@ -89,22 +89,20 @@ def scan_unseen(
 ) -> DataFrame:
     """Ledger rows (blob, rule, rule_version, spans) of the pairs of blob and rule version not in ``ledger``.
 
-    One shuffle brings each distinct text together with what the ledger knows of it; copies are
-    combined before it, so a text that most paths share is moved once per task. A pair without a
-    finding is a row with no spans, so that it is not scanned again.
+    Without a ledger one shuffle brings together the copies of a text, which are combined before it, so
+    a text that most paths share is moved once per task. With one, blob ids alone ask the ledger first,
+    and only texts that some rule has not seen are moved: a corpus that is known moves none. A pair
+    without a finding is a row with no spans, so that it is not scanned again.
     """
     seen = [f"seen_{k}" for k in range(len(rules))]
-    rows = versions.select("blob", "text", *[F.lit(False).alias(s) for s in seen])
-    if ledger is not None:
-        known = [
-            ((F.col("rule") == r.name) & (F.col("rule_version") == r.version)).alias(s)
-            for r, s in zip(rules, seen)
-        ]
-        rows = rows.unionByName(ledger.select("blob", F.lit(None).cast("string").alias("text"), *known))
-    blobs = rows.groupBy("blob").agg(
-        F.first("text", ignorenulls=True).alias("text"), *[F.max(s).alias(s) for s in seen]
-    )
-    found = blobs.where("text is not null").select(
+    if ledger is None:
+        blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = blobs.select("blob", "text", *[F.lit(False).alias(s) for s in seen])
+    else:
+        unseen = _unseen(versions, ledger, rules, seen).withColumnRenamed("blob", "asked")
+        moved = versions.select("blob", "text").join(apart(unseen), F.col("blob") == F.col("asked"))
+        blobs = moved.groupBy("blob").agg(F.first("text").alias("text"), *[F.max(s).alias(s) for s in seen])
+    found = blobs.select(
         "blob",
         "text",
         *seen,
@@ -129,6 +127,16 @@ def scan_unseen(
     return found.select("blob", F.explode(F.array_compact(pairs)).alias("p")).select("blob", "p.*")
 
 
+def _unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...], seen: list[str]) -> DataFrame:
+    """(blob, one flag per rule) of the blobs that some rule version has not seen."""
+    flags = [((F.col("rule") == r.name) & (F.col("rule_version") == r.version)).alias(s) for r, s in zip(rules, seen)]
+    known = ledger.select("blob", *flags).groupBy("blob").agg(*[F.max(s).alias(s) for s in seen])
+    known = known.withColumnRenamed("blob", "known")
+    asked = versions.select("blob").distinct().join(known, F.col("blob") == F.col("known"), "left")
+    state = asked.select("blob", *[F.coalesce(s, F.lit(False)).alias(s) for s in seen])
+    return state.where(" or ".join(f"not {s}" for s in seen))
+
+
 def findings(
     versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
 ) -> DataFrame:
@@ -165,13 +173,9 @@ def scan(docs: DataFrame, ledger_path: str | None = None, path: str = "doc_id")
     versions = versions_of(docs, path)
     if ledger_path is None:
         return findings(versions, stored(scan_unseen(versions), "ledger"))
-    try:
-        known = spark.read.parquet(ledger_path)
-        known.schema  # noqa: B018
-    except Exception as error:  # a ledger that does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        known = None
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    exists = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    known = spark.read.parquet(ledger_path) if exists else None
     # Stored first: an append that is computed from the same folder must not see its own rows.
     stored(scan_unseen(versions, known), "unseen").write.mode("append").parquet(ledger_path)
     return findings(versions, spark.read.parquet(ledger_path))
