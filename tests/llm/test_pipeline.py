@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tests.conftest import DATA
+from tests.llm.tables import documents, prose
 from tests.llm.test_near import plain_simhash, smallest_reachable
 from turnout.llm import mixing, toxicity
 from turnout.llm.common import clear_stored, shared_folder, stored
@@ -88,3 +89,53 @@ def test_whole_run_and_its_folder(spark, results):
     clear_stored(spark)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+LONG = prose(40_000, 77)
+ODD = [
+    (1, None), (2, ""), (3, " \n\t"), (4, "one two three"), (4, "one two three"), (4, "another text of its own"), (None, "without an id"),
+    (None, "without an id"), (None, None), (5, "é 😀 ͸ <|endoftext|>"), (6, LONG), (7, LONG + " "), (8, LONG + " end"), (9, "x" * 50_000),
+]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, name):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, and columns of clashing names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = documents(spark, [(k, t, None if n % 3 else "a") for n, (k, t) in enumerate(ODD)], clashing=True).repartition(3)
+    out = stage(spark, docs, SF)
+    texts = Counter(t or "" for _, t in ODD)
+    if name == "bpe":
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(vocabulary_path())
+        want = Counter((k, len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in ODD)
+        assert Counter((r.doc_id, r.n_tokens) for r in out.collect()) == want
+        return
+    assert out.columns == docs.columns
+    kept = [(r.doc_id, r.text or "") for r in out.collect()]
+    given = Counter((k, t or "") for k, t in ODD)
+    if name == "toxicity":
+        assert Counter(kept) == given  # nothing here is toxic
+    elif name == "exact_dedup":
+        keys = {re.sub(r"[\x20\x09-\x0D]+", "", t) for t in texts}
+        assert len(kept) == len(keys) == len({re.sub(r"[\x20\x09-\x0D]+", "", t) for _, t in kept})
+        assert (7, LONG + " ") in kept  # of equal texts the one with the most code points
+    elif name == "simhash":
+        prints = {t: plain_simhash(t) for t in texts}
+        names = sorted(set(prints.values()))
+        classes = smallest_reachable(names, [(a, b) for a in names for b in names if a < b and (a ^ b).bit_count() <= 3])
+        assert len(kept) == len(set(classes.values())) == len({classes[prints[t]] for _, t in kept})
+    else:
+        assert name == "mixing" and set(kept) <= set(given)
+        plan = Counter()
+        for r in mixing.planned(docs).select("row.doc_id", "row.text", "copies").collect():
+            plan[(r.doc_id, r.text or "")] += r.copies
+        assert Counter(kept) == +plan
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_an_empty_table(spark, name):
+    docs = documents(spark, [], clashing=True)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert out.count() == 0 and (name == "bpe" or out.columns == docs.columns)
