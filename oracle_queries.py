@@ -665,6 +665,7 @@ def all_oracles() -> dict[str, str]:
         "table_series_matrix": table_series_matrix(),
         "ledger_attendance": _model("SELECT * EXCLUDE (first_comp_date) FROM every_att"),
         "ledger_first_dates": _model("SELECT * FROM first_comp"),
+        "growing_regions": q25(),
         "persons_by_span": persons_by_span(),
         "quarantine_report": quarantine_report(),
     }

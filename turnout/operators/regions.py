@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ REGION_RADIUS_KM = 50.0
 SMALLEST_RADIUS_KM = 0.02  # below this the cell numbers of the globe outgrow a long
 
 
-def _in_cubes(places: DataFrame, radius_km: float) -> DataFrame:
+def in_cubes(places: DataFrame, radius_km: float) -> DataFrame:
     """Places with their root cube, whose diagonal is the radius: a cube is always one cluster."""
     side = chord_of_km(radius_km) / math.sqrt(3) * (1 - 1e-9)
     steps = {f"f{axis}": grid_steps(axis, side) for axis in AXES}
@@ -40,7 +41,7 @@ def _in_cubes(places: DataFrame, radius_km: float) -> DataFrame:
     return with_position(places).withColumns(steps).withColumn("root", root_cell(cells))
 
 
-def _neighbour_offsets() -> list[int]:
+def neighbour_offsets() -> list[int]:
     """Half of the cubes within the radius of a cube, as differences of root numbers."""
     reach = range(-2, 3)
     around = [(x, y, z) for x in reach for y in reach for z in reach if (x, y, z) > (0, 0, 0)]
@@ -73,20 +74,26 @@ def _not_yet_connected(pairs: DataFrame, linked: DataFrame) -> DataFrame:
     return pairs.where(component_a != F.coalesce("b_component", "b_root"))
 
 
-def _linked_cubes(points: DataFrame, radius_km: float, pair_budget: int) -> DataFrame:
+def linked_cubes(
+    points: DataFrame,
+    radius_km: float,
+    pair_budget: int,
+    worth: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Pairs of neighbouring cubes (u, v) that hold two places within the radius.
 
     The number of cubes is bounded by the surface of the globe and the radius, whatever the number
-    of places.
+    of places. ``worth`` leaves out pairs (a_root, b_root) that need no look.
     """
     cubes = boxes(points, 0)
-    offsets = F.expr(f"array({', '.join(f'{offset}L' for offset in _neighbour_offsets())})")
+    offsets = F.expr(f"array({', '.join(f'{offset}L' for offset in neighbour_offsets())})")
     pairs = (
         prefixed(cubes, "a")
         .withColumn("offset", F.explode(offsets))
         .withColumn("b_root", F.col("a_root") + F.col("offset"))
         .join(prefixed(cubes, "b"), "b_root")
     )
+    pairs = pairs if worth is None else worth(pairs)
     linked, level = None, 0
     while True:
         judged = cut(_judged(pairs, radius_km))
@@ -105,6 +112,11 @@ def _linked_cubes(points: DataFrame, radius_km: float, pair_budget: int) -> Data
     return _edges(linked)
 
 
+def check_radius(radius_km: float) -> None:
+    if radius_km < SMALLEST_RADIUS_KM:
+        raise ValueError(f"radius_km must be at least {SMALLEST_RADIUS_KM}")
+
+
 def geo_regions(
     events: DataFrame, radius_km: float = REGION_RADIUS_KM, pair_budget: int = PAIR_BUDGET
 ) -> DataFrame:
@@ -113,13 +125,12 @@ def geo_regions(
     Clusters are the connected components of the neighbourhood graph, so every place belongs to
     one, alone or not, and a chain is one region. Its label is its smallest competition id.
     """
-    if radius_km < SMALLEST_RADIUS_KM:
-        raise ValueError(f"radius_km must be at least {SMALLEST_RADIUS_KM}")
-    located = _in_cubes(events.select("competition_id", "lat", "lon"), radius_km).select(
+    check_radius(radius_km)
+    located = in_cubes(events.select("competition_id", "lat", "lon"), radius_km).select(
         "competition_id", "root"
     )
-    places = _in_cubes(events.select("lat", "lon").distinct(), radius_km)
-    joined = connected_components(_linked_cubes(places, radius_km, pair_budget))
+    places = in_cubes(events.select("lat", "lon").distinct(), radius_km)
+    joined = connected_components(linked_cubes(places, radius_km, pair_budget))
     cubes = (
         located.groupBy("root")
         .agg(F.min("competition_id").alias("low"))

@@ -169,6 +169,7 @@ TABLES: dict[str, Query] = {
 UPKEEP: dict[str, Query] = {
     "ledger_attendance": _shared(lambda w: w.ledger.attendance),
     "ledger_first_dates": _shared(lambda w: w.ledger.first_dates),
+    "growing_regions": _shared(lambda w: w.grown_regions),
     "persons_by_span": _shared(lambda w: upkeep.spans_of_persons(w.rollup)),
     "quarantine_report": _shared(lambda w: rejection_report(w.checked)),
 }

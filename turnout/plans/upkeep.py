@@ -10,22 +10,23 @@ from turnout.operators.attendance import AttendanceModel
 from turnout.sources.tables import Sources
 
 
+def dealt(df: DataFrame, n: int, *keys: str) -> list[DataFrame]:
+    """The rows dealt out to ``n`` batches by a checksum of their keys."""
+    batch = F.crc32(F.concat_ws("/", *keys).cast("binary")) % n
+    return [df.where(batch == k) for k in range(n)]
+
+
 def late_batches(sources: Sources, n: int = 3) -> list[Sources]:
     """The sources dealt out to ``n`` batches by checksums of their keys, with no regard to time.
 
     Results come before, with and after their events, and debuts are found too late, as in real life.
     """
-
-    def dealt(df: DataFrame, *keys: str) -> list[DataFrame]:
-        batch = F.crc32(F.concat_ws("/", *keys).cast("binary")) % n
-        return [df.where(batch == k) for k in range(n)]
-
     return [
         Sources(*tables)
         for tables in zip(
-            dealt(sources.competitions, "id"),
-            dealt(sources.results, "competition_id", "person_id"),
-            dealt(sources.persons, "person_id"),
+            dealt(sources.competitions, n, "id"),
+            dealt(sources.results, n, "competition_id", "person_id"),
+            dealt(sources.persons, n, "person_id"),
         )
     ]
 

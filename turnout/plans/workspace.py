@@ -16,6 +16,7 @@ from turnout.plans import travel, upkeep
 from turnout.plans.attraction import competition_stats
 from turnout.sources.ledger import create_ledger, read_ledger, update_ledger
 from turnout.sources.quarantine import Checked, ingest_sources
+from turnout.sources.region_map import add_events, create_map, map_regions
 from turnout.sources.tables import Sources
 
 
@@ -98,6 +99,16 @@ class Workspace:
             update_ledger(spark, directory, batch)
         return read_ledger(spark, directory)
 
+    @cached_property
+    def grown_regions(self) -> DataFrame:
+        """The regions once more, of a map that gets its events in batches."""
+        spark = self.sources.results.sparkSession
+        directory = f"{self.folder}/map"
+        create_map(spark, directory)
+        for batch in upkeep.dealt(self.map.events, 3, "competition_id"):
+            add_events(spark, directory, batch)
+        return map_regions(spark, directory)
+
     @cached_property
     def rollup(self) -> DataFrame:
         return self._keep(upkeep.rollup_of(self.model))
