@@ -138,45 +138,65 @@ def person_spread(
     """Per person: starts, different regions and the largest distance between any two places.
 
     ``attendance`` has person_id, region, lat, lon, one row per start. Starts at one place are merged
-    first. One aggregate per person then gives the extent of the places along fixed directions, which
-    merges in any order and is as long for a busy person as for others. It rules out all places that
-    cannot be an end of the longest distance; of the few that stay, persons with up to
-    ``points_in_row`` are measured inside one row. The number is checked, and persons beyond it take
-    the box search over the places that stay. Everything is exact.
+    first. Persons with up to ``points_in_row`` places are measured inside one row; the number is
+    checked. Of the others, the extent of the places along fixed directions rules out all that cannot be
+    an end of the longest distance; few stay, and if they are still more than a row takes, the box
+    search measures them. Everything is exact, and nobody's places are gathered unchecked.
     """
-    places = with_position(
+    places = cut(
         attendance.groupBy("person_id", "region", "lat", "lon").agg(F.count(F.lit(1)).alias("starts"))
     )
-    per_region = places.groupBy("person_id", "region").agg(F.sum("starts").alias("starts"), *_extent(False))
+    busy = _persons_with_more(places, points_in_row)
+    if busy.isEmpty():
+        return _measured_in_row(places)
+    # Dealt out anew: places of a busy person are split by the joins below.
+    few = _measured_in_row(places.join(busy, "person_id", "left_anti"))
+    ends = _ends(places.join(busy, "person_id", "left_semi"))
+    still = _persons_with_more(ends, points_in_row)
+    stats = ends.groupBy("person_id").agg(F.max("n_starts").alias("n_starts"), F.max("n_regions").alias("n_regions"))
+    if still.isEmpty():
+        return few.unionByName(stats.join(_widest(ends), "person_id"))
+    searched = _spread_of_many(ends.join(still, "person_id", "left_semi").select("person_id", "lat", "lon"), pair_budget)
+    measured = _widest(ends.join(still, "person_id", "left_anti")).unionByName(searched)
+    return few.unionByName(stats.join(measured, "person_id"))
+
+
+def _persons_with_more(places: DataFrame, limit: int) -> DataFrame:
+    counted = places.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    return counted.select("person_id").hint("rebalance")
+
+
+def _ends(places: DataFrame) -> DataFrame:
+    """The places that can be an end of a person's longest distance, with the person's starts and regions.
+
+    One aggregate per person and region, and one per person, give the extents; they merge in any order
+    and are as long for a busy person as for others.
+    """
+    positions = with_position(places)
+    per_region = positions.groupBy("person_id", "region").agg(F.sum("starts").alias("starts"), *_extent(False))
     extents = per_region.groupBy("person_id").agg(
-        F.sum("starts").alias("n_starts"), F.count(F.lit(1)).alias("n_regions"), *_extent(True)
+        F.sum("starts").alias("n_starts"), F.count("region").alias("n_regions"), *_extent(True)
     )
-    # Dealt out anew: places of a busy person are split by the join.
-    ends = cut(
-        places.join(extents.hint("rebalance"), "person_id")
+    return cut(
+        positions.join(extents.hint("rebalance"), "person_id")
         .where(_may_be_farthest())
         .select("person_id", "n_starts", "n_regions", "lat", "lon")
     )
-    busy = ends.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > points_in_row)
-    busy = busy.select("person_id").hint("rebalance")
-    if busy.isEmpty():
-        return _measured_in_row(ends)
-    far = ends.join(busy, "person_id", "left_semi")
-    stats = far.groupBy("person_id").agg(F.max("n_starts").alias("n_starts"), F.max("n_regions").alias("n_regions"))
-    searched = stats.join(_spread_of_many(far.select("person_id", "lat", "lon"), pair_budget), "person_id")
-    return _measured_in_row(ends.join(busy, "person_id", "left_anti")).unionByName(searched)
-
-
-def _measured_in_row(ends: DataFrame) -> DataFrame:
-    return (
-        ends.groupBy("person_id")
-        .agg(
-            F.max("n_starts").alias("n_starts"),
-            F.max("n_regions").alias("n_regions"),
-            F.collect_list(F.struct("lat", "lon")).alias("places"),
-        )
-        .select("person_id", "n_starts", "n_regions", _widest_km(F.col("places")).alias("spread_km"))
+
+
+def _widest(places: DataFrame) -> DataFrame:
+    rows = places.groupBy("person_id").agg(F.collect_list(F.struct("lat", "lon")).alias("places"))
+    return rows.select("person_id", _widest_km(F.col("places")).alias("spread_km"))
+
+
+def _measured_in_row(places: DataFrame) -> DataFrame:
+    """Everything about persons with few places, by one aggregate."""
+    rows = places.groupBy("person_id").agg(
+        F.sum("starts").alias("n_starts"),
+        F.size(F.collect_set("region")).cast("long").alias("n_regions"),
+        F.collect_list(F.struct("lat", "lon")).alias("places"),
     )
+    return rows.select("person_id", "n_starts", "n_regions", _widest_km(F.col("places")).alias("spread_km"))
 
 
 def is_local(max_spread_km: float = MAX_SPREAD_KM, max_regions: int = MAX_REGIONS) -> Column:
