@@ -85,6 +85,10 @@ def test_results_wait_for_their_event(spark, folder):
     ledger.update_ledger(spark, directory, later)
     assert_same(spark, directory, joined(spark, [early, later]))
     ledger.update_ledger(spark, directory, later)  # the same again changes nothing
+    with_less = batch(spark, [EVENT["a21"]])
+    ledger.update_ledger(spark, f"{folder}/ledger", Sources(with_less.competitions.drop("end_date"), with_less.results, with_less.persons))
+    assert ledger.read_ledger(spark, directory).competitions.where("competition_id = 'a21' and end_date is null").count() == 1
+    directory = ledger_of(spark, f"{folder}/again", [early, later])
     assert_same(spark, directory, joined(spark, [early, later]))
     assert_same(spark, ledger_of(spark, f"{folder}/empty", []), batch(spark))
 

@@ -120,7 +120,9 @@ def update_ledger(spark: SparkSession, directory: str, batch: Sources) -> Versio
         return versions.read_part(spark, directory, ledger.tables[name], parts)
 
     with _Kept() as kept:
-        events = kept(with_dates(batch.competitions, bool(ledger.settings["lenient_dates"])).distinct())
+        events = with_dates(batch.competitions, bool(ledger.settings["lenient_dates"]))
+        absent = [f for f in ledger.tables["events"].schema if f.name not in events.columns]  # such as end_date
+        events = kept(events.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in absent)).distinct())
         results = kept(participations(batch.results))
         event_buckets = _values(events.withColumn("b", _bucket("competition_id", buckets)), "b")
         fresh = kept(_new_events(events, stored("events", event_buckets)))
