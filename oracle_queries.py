@@ -666,6 +666,10 @@ def all_oracles() -> dict[str, str]:
         "ledger_attendance": _model("SELECT * EXCLUDE (first_comp_date) FROM every_att"),
         "ledger_first_dates": _model("SELECT * FROM first_comp"),
         "growing_regions": q25(),
+        "stored_retention": q13(),
+        "stored_return_distribution": q15(),
+        "stored_followups": _model("SELECT * FROM followup", DEBUTS),
+        "stored_starts_last2": q08(2),
         "persons_by_span": persons_by_span(),
         "quarantine_report": quarantine_report(),
     }

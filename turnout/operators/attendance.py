@@ -23,7 +23,8 @@ class AttendanceModel:
 
     ``competitions`` and ``attendance`` cover one country; ``first_dates`` covers every country
     and all history, whatever period the other two are later restricted to. ``event_stats``, if a
-    caller computed it for several reports, has one row per event of ``attendance``.
+    caller computed it for several reports, has one row per event of ``attendance``. ``person_days``,
+    if the model comes from a store in buckets, has one row per person and day of ``attendance``.
     """
 
     competitions: DataFrame
@@ -31,6 +32,14 @@ class AttendanceModel:
     persons: DataFrame
     first_dates: DataFrame
     event_stats: DataFrame | None = None
+    person_days: DataFrame | None = None
+
+    @property
+    def by_person(self) -> DataFrame:
+        """What reports by person read: the days of persons if stored, with their numbers of starts."""
+        if self.person_days is not None:
+            return self.person_days
+        return self.attendance.withColumn("n_starts", F.lit(1).cast("long"))
 
 
 def with_dates(competitions: DataFrame, lenient: bool = False) -> DataFrame:
@@ -85,16 +94,21 @@ def mark_debuts(attendance: DataFrame, firsts: DataFrame) -> DataFrame:
     )
 
 
-def with_person_columns(attendance: DataFrame, per_person: DataFrame, how: str = "inner") -> DataFrame:
+def with_person_columns(
+    attendance: DataFrame, per_person: DataFrame, how: str = "inner", days: DataFrame | None = None
+) -> DataFrame:
     """Attendance with the columns of a table that has one row per person.
 
     The table is joined to the person's distinct days first, of which there are no more than days
     in the calendar, and the result to the rows by person and day. A join by person alone would
     send every row of a busy person to one task, and the adaptive skew split does not apply
-    where the other side comes straight from an aggregate on the same key.
+    where the other side comes straight from an aggregate on the same key. ``days`` has these days
+    if the caller stores them, one row per person and day.
     """
-    days = attendance.select("person_id", "date").distinct().join(per_person, "person_id")
-    return attendance.join(days, ["person_id", "date"], how)
+    if days is None:
+        days = attendance.select("person_id", "date").distinct()
+    known = days.select("person_id", "date").join(per_person, "person_id")
+    return attendance.join(known, ["person_id", "date"], how)
 
 
 def build_attendance(

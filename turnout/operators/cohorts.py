@@ -27,27 +27,34 @@ def debuts(attendance: DataFrame) -> DataFrame:
     )
 
 
-def followups(attendance: DataFrame) -> DataFrame:
-    """Every attendance of the newcomers with the days since their debut; the debut is day 0."""
+def followups(attendance: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Every attendance of the newcomers with the days since their debut; the debut is day 0.
+
+    ``days`` are the stored days of the persons, if the model has them.
+    """
     rows = attendance.select("person_id", "competition_id", "date")
-    return with_person_columns(rows, debuts(attendance)).withColumn(
+    newcomers = debuts(attendance if days is None else days)
+    return with_person_columns(rows, newcomers, days=days).withColumn(
         "days_after", days_between(F.col("date"), F.col("debut_date"))
     )
 
 
-def _histories(attendance: DataFrame) -> DataFrame:
+def _histories(days: DataFrame) -> DataFrame:
     """One row per person: debut in these rows (null if none), first return, returns, last date.
 
     A newcomer's rows are either on the debut day, and then marked as newcomer, or later. So
     retention needs no join of debuts to follow-ups: one aggregate per person, pre-aggregated in
     every task. Who first returns after d days has returned within every window of d days or more.
+    Days of persons count ``n_starts`` times, attendance rows once.
     """
+    starts = F.col("n_starts") if "n_starts" in days.columns else F.lit(1).cast("long")
+    returns = F.sum(F.when(~F.col("is_newcomer"), starts))
     return (
-        attendance.groupBy("person_id")
+        days.groupBy("person_id")
         .agg(
             F.min(F.when(F.col("is_newcomer"), F.col("date"))).alias("debut_date"),
             F.min(F.when(~F.col("is_newcomer"), F.col("date"))).alias("return_date"),
-            F.count_if(~F.col("is_newcomer")).alias("returns"),
+            F.coalesce(returns, F.lit(0).cast("long")).alias("returns"),
             F.max("date").alias("last_date"),
         )
         .withColumn("days_to_return", days_between(F.col("return_date"), F.col("debut_date")))

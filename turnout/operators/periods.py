@@ -32,6 +32,7 @@ def last_years(model: AttendanceModel, years: int | None) -> AttendanceModel:
         competitions=model.competitions.where(recent),
         attendance=model.attendance.where(recent),
         event_stats=None if model.event_stats is None else model.event_stats.where(recent),
+        person_days=None if model.person_days is None else model.person_days.where(recent),
     )
 
 

@@ -25,7 +25,7 @@ def _labelled(df: DataFrame, *measures: str) -> DataFrame:
 
 
 def unique_competitors(model: AttendanceModel) -> DataFrame:
-    per_quarter = model.attendance.groupBy("year", "quarter").agg(
+    per_quarter = model.by_person.groupBy("year", "quarter").agg(
         F.count_distinct("person_id").alias("n")
     )
     return _labelled(per_quarter, "n")
@@ -37,7 +37,7 @@ def _new_and_returning(model: AttendanceModel) -> DataFrame:
     Who debuts and starts again in one quarter is in both counts. Reducing to one row per person
     and quarter first replaces two distinct counts and an outer join by two plain aggregates.
     """
-    per_person = model.attendance.groupBy("year", "quarter", "person_id").agg(
+    per_person = model.by_person.groupBy("year", "quarter", "person_id").agg(
         F.bool_or("is_newcomer").alias("debuts"),
         F.bool_or(~F.col("is_newcomer")).alias("returns"),
     )
@@ -63,7 +63,7 @@ def newcomer_share(model: AttendanceModel) -> DataFrame:
 
 def _starts_per_year(model: AttendanceModel) -> DataFrame:
     """(year, starts, persons): how many persons had that many starts in the year."""
-    starts = model.attendance.groupBy("person_id", "year").agg(F.count(F.lit(1)).alias("n_comps"))
+    starts = model.by_person.groupBy("person_id", "year").agg(F.sum("n_starts").alias("n_comps"))
     return value_counts(starts, ["year"], "n_comps", "n_persons")
 
 
@@ -95,7 +95,7 @@ def consistently_active(model: AttendanceModel, min_quarters: int = ACTIVE_QUART
     A person's quarters are four flags, so no distinct aggregate is needed.
     """
     flags = [F.bool_or(F.col("quarter") == q).cast("int") for q in range(1, 5)]
-    per_person = model.attendance.groupBy("person_id", "year").agg(
+    per_person = model.by_person.groupBy("person_id", "year").agg(
         (flags[0] + flags[1] + flags[2] + flags[3]).alias("quarters_active")
     )
     return (

@@ -171,6 +171,10 @@ UPKEEP: dict[str, Query] = {
     "ledger_first_dates": _shared(lambda w: w.ledger.first_dates),
     "growing_regions": _shared(lambda w: w.grown_regions),
     "persons_by_span": _shared(lambda w: upkeep.spans_of_persons(w.rollup)),
+    "stored_retention": _shared(lambda w: newcomers.retention(w.stored_model)),
+    "stored_return_distribution": _shared(lambda w: newcomers.return_distribution(w.stored_model)),
+    "stored_followups": _shared(lambda w: followups(w.stored_model.attendance, w.stored_model.person_days)),
+    "stored_starts_last2": _shared(lambda w: activity.starts_histogram(last_years(w.stored_model, 2))),
     "quarantine_report": _shared(lambda w: rejection_report(w.checked)),
 }
 

@@ -15,7 +15,7 @@ from turnout.operators.histogram import unit_bins, value_counts
 
 def debuts_per_quarter(model: AttendanceModel) -> DataFrame:
     return (
-        debuts(model.attendance)
+        debuts(model.by_person)
         .groupBy(F.col("debut_year").alias("year"), F.col("debut_quarter").alias("quarter"))
         .agg(F.count(F.lit(1)).alias("newcomers"))
         .select(
@@ -27,11 +27,11 @@ def debuts_per_quarter(model: AttendanceModel) -> DataFrame:
 
 
 def debuts_per_month(model: AttendanceModel) -> DataFrame:
-    return dense_month_counts(debuts(model.attendance), "debut_year", "debut_month")
+    return dense_month_counts(debuts(model.by_person), "debut_year", "debut_month")
 
 
 def retention(model: AttendanceModel) -> DataFrame:
-    return cohort_retention(model.attendance).orderBy("year", "quarter")
+    return cohort_retention(model.by_person).orderBy("year", "quarter")
 
 
 def return_distribution(model: AttendanceModel, cap: int | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def return_distribution(model: AttendanceModel, cap: int | None = None) -> DataF
 
     Every number of returns has its row. With a ``cap`` the last row holds all from there on.
     """
-    counted = value_counts(return_counts(model.attendance), [], "returns", "n_persons")
+    counted = value_counts(return_counts(model.by_person), [], "returns", "n_persons")
     binned = unit_bins(counted, [], "returns", "n_persons", 0, cap).where(F.size("counts") > 0)
 
     def total(entries: Column) -> Column:

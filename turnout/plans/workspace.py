@@ -15,6 +15,7 @@ from turnout.operators.periods import last_years
 from turnout.plans import travel, upkeep
 from turnout.plans.attraction import competition_stats
 from turnout.sources.ledger import create_ledger, read_ledger, update_ledger
+from turnout.sources.person_store import read_person_store, write_person_store
 from turnout.sources.quarantine import Checked, ingest_sources
 from turnout.sources.region_map import add_events, create_map, map_regions
 from turnout.sources.tables import Sources
@@ -109,6 +110,15 @@ class Workspace:
             add_events(spark, directory, batch)
         return map_regions(spark, directory)
 
+    @cached_property
+    def stored_model(self) -> AttendanceModel:
+        """The model once more, read from buckets of persons."""
+        spark = self.sources.results.sparkSession
+        directory = f"{self.folder}/persons"
+        # Few buckets, as the tables are small; a large model takes more.
+        write_person_store(self.model, directory, buckets=8)
+        return read_person_store(spark, directory)
+
     @cached_property
     def rollup(self) -> DataFrame:
         return self._keep(upkeep.rollup_of(self.model))
