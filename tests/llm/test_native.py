@@ -288,3 +288,18 @@ def test_chat_round_trip(spark):
         for m in got[conv].loss_mask:
             assert 0 <= m["start"] <= m["start"] + m["length"] <= len(got[conv].formatted)
     assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_long_lists_are_laid_out_whole(spark):
+    """Masks and spans of many parts: 700 turns of a conversation, 900 secrets of a text."""
+    turns = [(1, k, ("user", "assistant", "assistant")[k % 3], f"<{k}>", None, None) for k in range(700)]
+    formatted = chat.format_conversations(spark.createDataFrame(turns, CHAT).repartition(3))
+    got = formatted.select("loss_mask", chat.masked_text(F.col("formatted"), F.col("loss_mask")).alias("learned")).first()
+    assert got.learned == "".join(t[3] for t in turns if t[2] == "assistant")
+    assert len(got.loss_mask) == sum(t[2] == "assistant" for t in turns)
+    parts = [f"\U0001f600{'x' * (k % 7)} token={'a1' * (2 + k % 3)} " for k in range(900)]
+    text = "".join(parts)
+    want = [(m.start(), m.end()) for m in re.finditer(r"token=([a1]+)", text) if len(m[1]) >= 6]
+    assert len(want) == 600
+    spans = secret_ledger.scan(documents(spark, [(1, text)])).first().assign
+    assert [(s["start"], s["end"]) for s in spans] == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import field, packed, text_or_empty
+from turnout.llm.common import field, laid_out, packed, text_or_empty
 
 # The template: <turn ROLE>TEXT<same>TEXT</turn>NEWLINE. <same> parts the texts of adjacent turns of
 # one role. No text or role holds a raw <, > or \: they are written \l, \g and \b.
@@ -71,27 +71,17 @@ def format_conversations(turns: DataFrame, learned_role: str = "assistant") -> D
         )
 
     pieces = roles.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    nothing = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    walked = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("mask")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["head"] + p["body"] + p["tail"]).alias("at"),
-            F.when(
-                p["learned"],
-                F.concat(
-                    acc["mask"],
-                    F.array(F.struct((acc["at"] + p["head"]).alias("start"), p["body"].alias("length"))),
-                ),
-            )
-            .otherwise(acc["mask"])
-            .alias("mask"),
-        ),
+    mask = laid_out(
+        F.col("pieces"),
+        lambda p: p["head"] + p["body"] + p["tail"],
+        lambda p, at: F.struct((at + p["head"]).alias("start"), p["body"].alias("length")),
+        lambda p: p["learned"],
+        "struct<start:bigint,length:bigint>",
     )
     return pieces.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["whole"]), "").alias("formatted"),
-        walked["mask"].alias("loss_mask"),
+        mask.alias("loss_mask"),
     )
 
 

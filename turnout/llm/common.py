@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,41 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(field(name), F.lit(""))
 
 
+# Items of a list that is copied to append one; longer lists are lists of such parts.
+LIST_PART = 256
+
+
+def laid_out(
+    steps: Column,
+    width: Callable[[Column], Column],
+    item: Callable[[Column, Column], Column],
+    wanted: Callable[[Column], Column],
+    item_type: str,
+) -> Column:
+    """``item(step, at)`` of the wanted steps, ``at`` being the widths of all steps before.
+
+    One pass with a running sum. Appending copies a list, so items are gathered in parts of
+    ``LIST_PART`` and a long array costs no square of its length.
+    """
+    start = F.struct(
+        F.lit(0).cast("long").alias("at"),
+        F.array().cast(f"array<{item_type}>").alias("open"),
+        F.array().cast(f"array<array<{item_type}>>").alias("full"),
+    )
+
+    def step(acc: Column, s: Column) -> Column:
+        one, ends = F.array(item(s, acc["at"])), F.size(acc["open"]) >= LIST_PART
+        grown = F.when(ends, one).otherwise(F.concat(acc["open"], one))
+        closed = F.concat(acc["full"], F.array(acc["open"]))
+        return F.struct(
+            (acc["at"] + width(s)).alias("at"),
+            F.when(wanted(s), grown).otherwise(acc["open"]).alias("open"),
+            F.when(wanted(s) & ends, closed).otherwise(acc["full"]).alias("full"),
+        )
+
+    return F.aggregate(steps, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["open"]))))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors see; only a local session may lack it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

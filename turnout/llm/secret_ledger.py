@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import apart, field, packed, stored, text_or_empty
+from turnout.llm.common import apart, field, laid_out, packed, stored, text_or_empty
 
-SPAN = "array<struct<start:bigint,end:bigint>>"
+SPAN = "struct<start:bigint,end:bigint>"
+SPANS = f"array<{SPAN}>"
 
 
 @dataclass(frozen=True)
@@ -60,28 +61,14 @@ def _spans(rule: Rule, found: Column, text: Column) -> Column:
             F.length(z["value"]).alias("value"),
         ),
     )
-    walked = F.aggregate(
+    spans = laid_out(
         F.slice(steps, F.lit(1), F.size(found)),  # the last gap follows the last match
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["size"]).alias("at"),
-            F.when(
-                s["value"] >= rule.value_min,
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + s["gap"]).alias("start"),
-                            (acc["at"] + s["gap"] + s["size"]).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
+        lambda s: s["gap"] + s["size"],
+        lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["gap"] + s["size"]).alias("end")),
+        lambda s: s["value"] >= rule.value_min,
+        SPAN,
     )
-    return F.when(F.size(found) > 0, walked["spans"]).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPANS))
 
 
 def scan_unseen(
@@ -158,7 +145,7 @@ def findings(
         versions.select("path", "blob")
         .join(apart(by_blob), F.col("blob") == F.col("found_blob"), "left")
         .select(
-            "path", "blob", *[F.coalesce(r.name, F.array().cast(SPAN)).alias(r.name) for r in rules]
+            "path", "blob", *[F.coalesce(r.name, F.array().cast(SPANS)).alias(r.name) for r in rules]
         )
     )
 
