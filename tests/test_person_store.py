@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,20 @@ def test_a_new_version_replaces_the_old_whole(spark, folder, monkeypatch):
     assert read_person_store(spark, folder).person_days.count() == 3
 
 
+def test_buckets_are_sorted_by_day(spark, folder, model):  # noqa: F811
+    """A period's rows lie together in every bucket, and the comparison by year reaches the files."""
+    write_person_store(model, folder, buckets=4)
+    stored = read_person_store(spark, folder)
+    for table in (stored.attendance, stored.person_days):
+        files = [r[0].removeprefix("file://") for r in table.select(F.input_file_name()).distinct().collect()]
+        assert len(files) == 4
+        for file in files:
+            days = pq.read_table(file, columns=["date"])["date"].to_pylist()
+            assert days == sorted(days) and len(set(days)) > 50  # of 420
+    plan = executed(newcomers.retention(last_years(stored, 2)))
+    assert re.search(r"DataFilters: \[[^\]]*year#\d+ >= ", plan)
+
+
 def test_nothing_stored(spark, folder):
     with pytest.raises(ValueError):
         read_person_store(spark, folder)

@@ -2,7 +2,8 @@
 
 ``person_days`` has one row per person and day and lies in buckets by person. A person has at most as
 many rows there as days in the calendar, so nobody fills a bucket, however often they start. The
-attendance rows, of which one person may hold a large part, lie in buckets by person and day.
+attendance rows, of which one person may hold a large part, lie in buckets by person and day. A bucket
+of either is sorted by day, so a report on a period skips the row groups of other years.
 """
 
 from __future__ import annotations
@@ -33,13 +34,18 @@ def person_days(attendance: DataFrame) -> DataFrame:
     )
 
 
+def _order(columns: Sequence[str], keys: Sequence[str]) -> list[str]:
+    """What a bucket is sorted by: the day first, if it has one."""
+    return ["date", "person_id"] if "date" in columns else list(keys)
+
+
 def _write_bucketed(df: DataFrame, path: str, buckets: int, keys: Sequence[str]) -> None:
-    """One file per bucket, sorted by its keys. The catalog entry serves the writer only."""
+    """One file per bucket. The catalog entry serves the writer only."""
     spark = df.sparkSession
     name = f"turnout_draft_{uuid.uuid4().hex}"
     writer = df.repartition(buckets, *keys).write.format("parquet").option("path", path)
     try:
-        writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+        writer.bucketBy(buckets, *keys).sortBy(*_order(df.columns, keys)).saveAsTable(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
@@ -77,12 +83,13 @@ def _registered(
     ((part,),) = table.parts.values()
     path = f"{directory}/{part}".replace("\\", "\\\\").replace("'", "\\'")
     keys = ", ".join(BUCKETED[name])
+    order = ", ".join(_order(table.schema.names, BUCKETED[name]))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
     # A data folder is written once and has a name of its own, so an entry never goes stale.
     entry = f"turnout_{part.replace('/', '_').replace('-', '_')}"
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {entry} ({columns}) USING parquet "
-        f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        f"CLUSTERED BY ({keys}) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}'"
     )
     return spark.table(entry)
 
