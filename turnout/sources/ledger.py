@@ -33,6 +33,8 @@ from turnout.sources.versions import Table, Version
 # Buckets of persons and of events. A batch reads and writes those that it has rows of.
 BUCKETS = 64
 PAIR = ["competition_id", "person_id"]
+# Columns of an event from which those of an attendance row follow.
+EVENT_DATES = [c for c in EVENT_COLUMNS if c != "quarter"]
 
 
 def _bucket(column: str, buckets: int) -> Column:
@@ -122,33 +124,33 @@ def update_ledger(spark: SparkSession, directory: str, batch: Sources) -> Versio
     with _Kept() as kept:
         events = with_dates(batch.competitions, bool(ledger.settings["lenient_dates"]))
         absent = [f for f in ledger.tables["events"].schema if f.name not in events.columns]  # such as end_date
-        events = kept(events.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in absent)).distinct())
-        results = kept(participations(batch.results))
+        events = events.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in absent))
         event_buckets = _values(events.withColumn("b", _bucket("competition_id", buckets)), "b")
-        fresh = kept(_new_events(events, stored("events", event_buckets)))
+        fresh = _new_events(kept, events, stored("events", event_buckets))
 
         # Results that waited for these events, and the dates of all events that the results name.
         waited = stored("waiting", event_buckets).join(fresh.select("competition_id"), "competition_id", "left_semi")
-        pairs = kept(results.unionByName(waited.select(*results.columns)).distinct())
+        pairs = kept(participations(batch.results.select(*PAIR).unionByName(waited.select(*PAIR))))
         named = sorted({*event_buckets, *_values(pairs.withColumn("b", _bucket("competition_id", buckets)), "b")})
         known = stored("events", named).unionByName(fresh)
-        waiting = pairs.join(known.select("competition_id"), "competition_id", "left_anti")
+
+        # One join says of every pair when its event was, whether it is the country's, and whether it is known.
+        held = F.coalesce((F.col("country_id") == country) & (F.col("cancelled") == 0), F.lit(False))
+        dates = known.select("competition_id", *EVENT_DATES, held.alias("_held"), F.lit(True).alias("_known"))
+        placed = kept(pairs.join(dates, "competition_id", "left"))
+        waiting = placed.where(F.col("_known").isNull()).select(*pairs.columns)
+        at_known = placed.where("_known")
 
         # First dates: the least of what is stored and what the batch brings.
-        brought = kept(first_dates(pairs, known))
-        person_buckets = _values(brought.withColumn("b", _bucket("person_id", buckets)), "b")
-        before = stored("first_dates", person_buckets)
-        firsts = before.unionByName(brought).groupBy("person_id").agg(F.min("first_comp_date").alias("first_comp_date"))
-        moved = kept(
-            brought.withColumnRenamed("first_comp_date", "new_date")
-            .join(before, "person_id")
-            .where(F.col("new_date") < F.col("first_comp_date"))
-            .select("person_id", F.col("first_comp_date").alias("date"))
-        )
+        person_buckets = _values(at_known.withColumn("b", _bucket("person_id", buckets)), "b")
+        seen = kept(_first_dates_seen(stored("first_dates", person_buckets), at_known))
+        firsts = _earlier(seen)
+        moved = kept(seen.where(F.col("new_date") < F.col("old_date")).select("person_id", F.col("old_date").alias("date")))
 
         # Attendance of the country: rows to add, and rows whose debut mark goes.
-        at_home = pairs.join(_home(known, country).select("competition_id", *EVENT_COLUMNS), "competition_id")
-        own_firsts = firsts.join(brought.select("person_id"), "person_id", "left_semi")
+        at_home = at_known.where("_held").select(*pairs.columns, *EVENT_DATES)
+        at_home = at_home.withColumn("quarter", quarter_of(F.col("month"))).select(*PAIR, *EVENT_COLUMNS)
+        own_firsts = _earlier(seen.where(F.col("new_date").isNotNull()))
         added = kept(_attendance_columns(mark_debuts(at_home, own_firsts)))
         old_years = [y for y in _values(moved.withColumn("y", F.year("date")), "y") if str(y) in ledger.tables["attendance"].parts]
         lost = stored("attendance", old_years).where("is_newcomer").join(moved, ["person_id", "date"], "left_semi")
@@ -175,24 +177,46 @@ def update_ledger(spark: SparkSession, directory: str, batch: Sources) -> Versio
     return versions.publish(spark, directory, replace(ledger, number=ledger.number + 1, tables=tables))
 
 
-def _new_events(events: DataFrame, stored: DataFrame) -> DataFrame:
-    """The events that are not stored yet; stored ones must come as they are."""
-    again = events.join(stored.select("competition_id"), "competition_id", "left_semi").select(*stored.columns)
-    changed = again.subtract(stored)
-    if not changed.isEmpty():
-        sample = [r["competition_id"] for r in changed.select("competition_id").limit(5).collect()]
-        raise ValueError(f"stored events come with other columns, so the ledger has to be built anew: {sample}")
-    return events.join(stored.select("competition_id"), "competition_id", "left_anti").select(*stored.columns)
+def _new_events(kept: _Kept, events: DataFrame, stored: DataFrame) -> DataFrame:
+    """The events that are not stored yet; stored ones must come as they are.
+
+    Whole rows of the batch are dealt out once, by the key that all steps share. Of the stored events the
+    keys are read, and whole rows only if some of them come again.
+    """
+    ids = stored.select("competition_id", F.lit(True).alias("_stored")).distinct()
+    marked = kept(events.repartition("competition_id").distinct().join(ids, "competition_id", "left"))
+    again = marked.where("_stored").select(*stored.columns)
+    if not again.isEmpty():
+        before = stored.join(again.select("competition_id"), "competition_id", "left_semi")
+        sample = [r["competition_id"] for r in again.subtract(before).select("competition_id").limit(5).collect()]
+        if sample:
+            raise ValueError(f"stored events come with other columns, so the ledger has to be built anew: {sample}")
+    return marked.where(F.col("_stored").isNull()).select(*stored.columns)
+
+
+def _first_dates_seen(stored: DataFrame, dated: DataFrame) -> DataFrame:
+    """(person_id, old_date, new_date): a person's first date as stored, and in the batch; either may be null."""
+    none = F.lit(None).cast("date")
+    old = stored.select("person_id", F.col("first_comp_date").alias("old_date"), none.alias("new_date"))
+    new = dated.select("person_id", none.alias("old_date"), F.col("date").alias("new_date"))
+    return old.unionByName(new).groupBy("person_id").agg(F.min("old_date").alias("old_date"), F.min("new_date").alias("new_date"))
+
+
+def _earlier(seen: DataFrame) -> DataFrame:
+    return seen.select("person_id", F.least("old_date", "new_date").alias("first_comp_date"))
 
 
 def _merged(before: DataFrame, added: DataFrame, moved: DataFrame) -> DataFrame:
-    """Attendance of some years with the batch's rows. A row that is there already stays one row."""
+    """Attendance of some years with the batch's rows. A row that is there already stays one row.
+
+    Only rows with a debut mark can lose it, so only these meet the first dates that moved.
+    """
     unmarked = moved.withColumn("_moved", F.lit(True))
-    kept = before.join(unmarked, ["person_id", "date"], "left").withColumn(
-        "is_newcomer", F.col("is_newcomer") & F.col("_moved").isNull()
+    debuts = before.where("is_newcomer").join(unmarked, ["person_id", "date"], "left").withColumn(
+        "is_newcomer", F.col("_moved").isNull()
     )
     new = added.join(before.select(*PAIR), PAIR, "left_anti")
-    return _attendance_columns(kept).unionByName(new)
+    return before.where(~F.col("is_newcomer")).unionByName(_attendance_columns(debuts)).unionByName(new)
 
 
 def read_ledger(spark: SparkSession, directory: str, number: int | None = None) -> AttendanceModel:
