@@ -23,8 +23,10 @@ class AttendanceModel:
 
     ``competitions`` and ``attendance`` cover one country; ``first_dates`` covers every country
     and all history, whatever period the other two are later restricted to. ``event_stats``, if a
-    caller computed it for several reports, has one row per event of ``attendance``. ``person_days``,
-    if the model comes from a store in buckets, has one row per person and day of ``attendance``.
+    caller computed it for several reports, has one row per event of ``attendance``. ``event_sizes``,
+    likewise, has (competition_id, n_competitors) of at least these events, and asks no debuts.
+    ``person_days``, if the model comes from a store in buckets, has one row per person and day of
+    ``attendance``.
     """
 
     competitions: DataFrame
@@ -32,6 +34,7 @@ class AttendanceModel:
     persons: DataFrame
     first_dates: DataFrame
     event_stats: DataFrame | None = None
+    event_sizes: DataFrame | None = None
     person_days: DataFrame | None = None
 
     @property

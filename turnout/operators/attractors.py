@@ -9,12 +9,12 @@ from turnout.functions.numbers import percentage
 from turnout.functions.text import EVENT_NAMES, display_name, tokens
 
 
-def competition_newcomer_stats(competitions: DataFrame, attendance: DataFrame) -> DataFrame:
-    """Participants, newcomers and their share per event, with the event's attributes.
+def newcomer_counts(attendance: DataFrame) -> DataFrame:
+    """Participants, newcomers and their share per event.
 
     An attendance row is one person at one event, so counting rows counts persons.
     """
-    counts = (
+    return (
         attendance.groupBy("competition_id")
         .agg(
             F.count(F.lit(1)).alias("total"),
@@ -22,6 +22,9 @@ def competition_newcomer_stats(competitions: DataFrame, attendance: DataFrame) -
         )
         .withColumn("pct_newcomers", percentage(F.col("newcomers"), F.col("total")))
     )
+
+
+def with_event_attributes(counts: DataFrame, competitions: DataFrame) -> DataFrame:
     return counts.join(
         competitions.select(
             "competition_id", "name", "city_name", "year", "month",
@@ -31,6 +34,11 @@ def competition_newcomer_stats(competitions: DataFrame, attendance: DataFrame) -
     )
 
 
+def competition_newcomer_stats(competitions: DataFrame, attendance: DataFrame) -> DataFrame:
+    """Participants, newcomers and their share per event, with the event's attributes."""
+    return with_event_attributes(newcomer_counts(attendance), competitions)
+
+
 def top_ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows in ``order`` with their ``rank``; the window sees those rows only."""
     return (

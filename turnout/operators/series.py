@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from turnout.functions.text import MONTH_ABBREVIATIONS, series_name, with_month
 
 
+def event_sizes(attendance: DataFrame) -> DataFrame:
+    """(competition_id, n_competitors) of events with participants."""
+    return attendance.groupBy("competition_id").agg(F.count(F.lit(1)).alias("n_competitors"))
+
+
 def recurring_series(
     competitions: DataFrame,
     attendance: DataFrame,
@@ -28,7 +33,7 @@ def recurring_series(
     counted from the attendance unless the caller has them.
     """
     if sizes is None:
-        sizes = attendance.groupBy("competition_id").agg(F.count(F.lit(1)).alias("n_competitors"))
+        sizes = event_sizes(attendance)
     monthly = (
         competitions.select(
             "competition_id", "year", "month", series_name(F.col("name")).alias("series")

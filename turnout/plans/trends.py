@@ -12,7 +12,9 @@ from turnout.operators.histogram import value_counts, weighted_mean, weighted_pe
 
 
 def field_sizes(model: AttendanceModel) -> DataFrame | None:
-    """(competition_id, n_competitors) of events with participants, if the model brings its events' stats along."""
+    """(competition_id, n_competitors) of events with participants, if the model brings its events' sizes or stats along."""
+    if model.event_sizes is not None:
+        return model.event_sizes
     if model.event_stats is None:
         return None
     return model.event_stats.select("competition_id", F.col("total").alias("n_competitors"))

@@ -10,22 +10,28 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from turnout.operators.attendance import AttendanceModel, build_attendance, participations
+from turnout.operators.attractors import newcomer_counts, with_event_attributes
 from turnout.operators.lineage import shared_folder
 from turnout.operators.periods import last_years
+from turnout.operators.series import event_sizes
 from turnout.plans import travel, upkeep
-from turnout.plans.attraction import competition_stats
 from turnout.sources.ledger import create_ledger, read_ledger, update_ledger
 from turnout.sources.person_store import read_person_store, write_person_store
 from turnout.sources.quarantine import Checked, ingest_sources
 from turnout.sources.region_map import add_events, create_map, map_regions
 from turnout.sources.tables import Sources
 
+# What the reports read of an attendance row; the columns of its event stay with the event.
+REPORTED = ("competition_id", "person_id", "date", "year", "month", "quarter", "is_newcomer")
+
 
 class Workspace:
     """Attendance model and year map of one country over one set of sources.
 
-    The model's tables are kept in memory and on disk of the executors; what an executor loses is
-    recomputed. Nothing is computed before the first report asks for it.
+    What is kept is small beside the results: rows and columns that the reports of the country read, in
+    memory and on disk of the executors; what an executor loses is recomputed. Nothing is computed before
+    the first report asks for it. The pairs of all countries and the events are not kept for the model: a
+    plan reads them in one shuffle each, which leaves the memory to its joins.
     """
 
     def __init__(self, sources: Sources, country: str, map_year: int):
@@ -45,19 +51,23 @@ class Workspace:
 
     @cached_property
     def full_model(self) -> AttendanceModel:
-        """Every column; only the pairs are kept."""
-        return build_attendance(self.sources, self.country, pairs=self.pairs)
+        """Every column; nothing is kept."""
+        return build_attendance(self.sources, self.country)
 
     @cached_property
     def model(self) -> AttendanceModel:
-        """What the reports read; none of them reads ``first_comp_date`` of an attendance."""
-        model = self.full_model
-        model = replace(
-            model,
-            competitions=self._keep(model.competitions),
-            attendance=self._keep(model.attendance.drop("first_comp_date")),
+        """What the reports read, each part computed for the first report that reads it.
+
+        Sizes of events need no debuts, and counts per event no rows that are kept.
+        """
+        whole = self.full_model
+        counts = self._keep(newcomer_counts(whole.attendance))
+        return replace(
+            whole,
+            attendance=self._keep(whole.attendance.select(*REPORTED)),
+            event_stats=with_event_attributes(counts, whole.competitions),
+            event_sizes=self._keep(event_sizes(whole.attendance)),
         )
-        return replace(model, event_stats=self._keep(competition_stats(model)))
 
     def model_of_last(self, years: int | None) -> AttendanceModel:
         return last_years(self.model, years)
@@ -116,7 +126,12 @@ class Workspace:
         spark = self.sources.results.sparkSession
         directory = f"{self.folder}/persons"
         # Few buckets, as the tables are small; a large model takes more.
-        write_person_store(self.model, directory, buckets=8)
+        # The store has rows and first dates, both of the pairs: those are kept while it is written.
+        kept = [self.pairs, self._keep(self.full_model.first_dates)]
+        whole = self.full_model
+        write_person_store(replace(whole, attendance=whole.attendance.drop("first_comp_date")), directory, buckets=8)
+        for df in kept:
+            df.unpersist()
         return read_person_store(spark, directory)
 
     @cached_property

@@ -25,7 +25,7 @@ SCHEMAS = {
 
 # The text keys of an event and of a person.
 COMPETITION_ID = "concat(l_suppkey, '-', month_key)"
-FAMILY = "l_partkey % 8"
+FAMILY = "cast(l_partkey % 8 as int)"
 PERSON_ID = "concat('P', o_custkey, '-', family)"
 
 # How the attributes of an event follow from its supplier, month and nation.
@@ -55,8 +55,9 @@ COMPETITION_COLUMNS = (
 
 
 def _line_items(tables: dict[str, DataFrame]) -> DataFrame:
+    """With all that is needed of a row made before it is shuffled."""
     return tables["lineitem"].selectExpr(
-        "l_orderkey", "l_partkey", "l_suppkey",
+        "l_orderkey", "l_partkey", "l_suppkey", f"{FAMILY} as family",
         "cast(l_shipdate as date) as day",
         "year(l_shipdate) * 100 + month(l_shipdate) as month_key",
     )
@@ -95,18 +96,20 @@ def _competitions(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _results(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per customer on the right, so that an unused country costs no join."""
+    """One row per customer on the right, so that an unused country costs no join.
+
+    Countries go to the orders, which are fewer than the line items.
+    """
     countries = (
         tables["customer"]
         .join(_nations(tables), F.expr("c_nationkey = n_nationkey"))
         .groupBy("c_custkey")
         .agg(F.max("r_name").alias("person_country_id"))
     )
+    orders = tables["orders"].join(countries, F.expr("o_custkey = c_custkey"), "left")
     return (
         _line_items(tables)
-        .join(tables["orders"], F.expr("l_orderkey = o_orderkey"))
-        .join(countries, F.expr("o_custkey = c_custkey"), "left")
-        .withColumn("family", F.expr(FAMILY))
+        .join(orders, F.expr("l_orderkey = o_orderkey"))
         .selectExpr(
             f"{COMPETITION_ID} as competition_id", f"{PERSON_ID} as person_id", "person_country_id"
         )
@@ -117,8 +120,9 @@ def _persons(tables: dict[str, DataFrame]) -> DataFrame:
     """A current record per person; every tenth customer's persons have an outdated one too."""
     return (
         tables["lineitem"]
+        .selectExpr("l_orderkey", f"{FAMILY} as family")
         .join(tables["orders"], F.expr("l_orderkey = o_orderkey"))
-        .selectExpr("o_custkey", f"{FAMILY} as family")
+        .select("o_custkey", "family")
         .distinct()
         .join(tables["customer"], F.expr("o_custkey = c_custkey"))
         .join(_nations(tables), F.expr("c_nationkey = n_nationkey"))
