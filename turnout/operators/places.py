@@ -28,13 +28,17 @@ def located_events(competitions: DataFrame, year: int, country: str) -> DataFram
     )
 
 
-def known_participants(results: DataFrame, events: DataFrame, persons: DataFrame) -> DataFrame:
-    """Distinct (event, person) pairs of the events whose person has a current record.
+def participants_at(results: DataFrame, events: DataFrame) -> DataFrame:
+    """Distinct (event, person) pairs of the events.
 
     One year's events are few, so results are cut down to them before they are shuffled.
     """
-    at_events = participations(results.join(events, "competition_id", "left_semi"))
-    return at_events.join(persons, "person_id", "left_semi")
+    return participations(results.join(events, "competition_id", "left_semi"))
+
+
+def known_participants(pairs: DataFrame, persons: DataFrame) -> DataFrame:
+    """The pairs whose person has a current record."""
+    return pairs.join(persons, "person_id", "left_semi")
 
 
 def attendance_density(events: DataFrame, participants: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def read_bundle(spark: SparkSession, directory: str, name: str, number: int | No
 
 def write_year_map(map_: travel.YearMap, directory: str, format: str = "parquet") -> list[tuple[str, str]]:
     """Write the tables of a year's map; regions and travel spread are computed once."""
-    kept = [map_.events.persist(StorageLevel.MEMORY_AND_DISK), map_.participants.persist(StorageLevel.MEMORY_AND_DISK)]
+    kept = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (map_.events, map_.persons, map_.participants)]
     try:
         region_of = travel.regions(map_).persist(StorageLevel.MEMORY_AND_DISK)
         kept.append(region_of)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from turnout.operators.places import (
     attendance_density,
     known_participants,
     located_events,
+    participants_at,
     region_summary,
 )
 from turnout.operators.regions import REGION_RADIUS_KM, geo_regions
@@ -32,7 +34,7 @@ TOP_TRAVELLERS = 10
 
 @dataclass(frozen=True)
 class YearMap:
-    """Located events of one year and country and their participants of any nationality."""
+    """Located events of one year and country, their participants of any nationality, and who these are."""
 
     events: DataFrame
     participants: DataFrame
@@ -40,10 +42,17 @@ class YearMap:
     country: str
 
 
-def year_map(sources: Sources, year: int, country: str) -> YearMap:
-    events = located_events(sources.competitions, year, country)
-    persons = current_persons(sources.persons)
-    return YearMap(events, known_participants(sources.results, events, persons), persons, country)
+def year_map(
+    sources: Sources, year: int, country: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> YearMap:
+    """The map's tables. ``keep`` may persist what is read more than once, all of it of that year only.
+
+    Records of persons are cut down to the participants, as the reports look up nobody else.
+    """
+    events = keep(located_events(sources.competitions, year, country))
+    pairs = keep(participants_at(sources.results, events))
+    persons = keep(current_persons(sources.persons).join(pairs.select("person_id"), "person_id", "left_semi"))
+    return YearMap(events, keep(known_participants(pairs, persons)), persons, country)
 
 
 def density_all(map_: YearMap) -> DataFrame:

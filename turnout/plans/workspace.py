@@ -74,10 +74,7 @@ class Workspace:
 
     @cached_property
     def map(self) -> travel.YearMap:
-        map_ = travel.year_map(self.sources, self.map_year, self.country)
-        return replace(
-            map_, events=self._keep(map_.events), participants=self._keep(map_.participants)
-        )
+        return travel.year_map(self.sources, self.map_year, self.country, self._keep)
 
     @cached_property
     def regions(self) -> DataFrame:
