@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tests.test_ledger import EVENT, assert_same, batch, joined, ledger_of
 from tests.test_plans import plan_of
+from turnout import build_attendance
 from turnout.plans import catalogue, recurring, trends
 from turnout.plans.workspace import Workspace
 from turnout.session import configure
@@ -65,3 +66,17 @@ def test_stored_events_are_compared_only_if_they_come_again(spark, folder, monke
     assert calls
     monkeypatch.undo()
     assert_same(spark, directory, joined(spark, [first, second]))
+
+
+def test_tables_that_are_written_together_share_their_pairs(spark, workspace):
+    kept = []
+    plain = workspace.full_model
+    shared = build_attendance(workspace.sources, "AMERICA", keep=lambda df: kept.append(df.persist()) or df)
+    for name in ("attendance", "first_dates"):
+        got, want = getattr(shared, name), getattr(plain, name)
+        assert got.columns == want.columns
+        assert "InMemoryTableScan" in plan_of(got)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+    assert len(kept) == 2
+    for df in kept:
+        df.unpersist()

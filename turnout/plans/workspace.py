@@ -123,12 +123,19 @@ class Workspace:
         spark = self.sources.results.sparkSession
         directory = f"{self.folder}/persons"
         # Few buckets, as the tables are small; a large model takes more.
-        # The store has rows and first dates, both of the pairs: those are kept while it is written.
-        kept = [self.pairs, self._keep(self.full_model.first_dates)]
-        whole = self.full_model
-        write_person_store(replace(whole, attendance=whole.attendance.drop("first_comp_date")), directory, buckets=8)
-        for df in kept:
-            df.unpersist()
+        # The store has rows and first dates, both of the pairs: what they share is kept while it is written.
+        kept: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+            return df
+
+        whole = build_attendance(self.sources, self.country, keep=keep)
+        try:
+            write_person_store(replace(whole, attendance=whole.attendance.drop("first_comp_date")), directory, buckets=8)
+        finally:
+            for df in kept:
+                df.unpersist()
         return read_person_store(spark, directory)
 
     @cached_property
